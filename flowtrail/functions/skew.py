@@ -37,18 +37,25 @@ def attach(
     lookup: DataFrame,
     on: tuple[str, str],
     values: dict[str, str],
-    weight: str,
+    weight: str | None = None,
     total: int | None = None,
 ) -> DataFrame:
     """Left many-to-one join of ``rows`` with a one-row-per-key ``lookup``.
 
-    ``values`` maps lookup columns to output names. Rows of heavy keys get their values
-    from a broadcast of the (bounded) heavy part and are spread over the shuffle by a
-    salt; the other rows meet the lookup in an ordinary equi-join.
+    ``values`` maps lookup columns to output names. ``weight`` is the lookup column that
+    says how many rows carry the key; without one the rows are counted. Rows of heavy
+    keys get their values from a broadcast of the (bounded) heavy part and are spread
+    over the shuffle by a salt; the other rows meet the lookup in an ordinary equi-join.
     """
     row_key, lookup_key = on
     names = list(values.items())
-    heavy = heavy_keys(lookup, weight, total).select(
+    if weight is None:
+        counted = rows.groupBy(F.col(row_key).alias("_ck")).agg(F.count("*").alias("_weight"))
+        hot = F.broadcast(heavy_keys(counted, "_weight", total))
+        weighted = lookup.join(hot, F.col(lookup_key) == F.col("_ck"))
+    else:
+        weighted = heavy_keys(lookup, weight, total)
+    heavy = weighted.select(
         F.col(lookup_key).alias("_hk"), *[F.col(c).alias(f"_h_{i}") for i, (c, _) in enumerate(names)]
     )
     light = lookup.select(
