@@ -17,7 +17,6 @@ from flowtrail.params import CARD_TRANSFERS, CASE_TRANSFERS
 BROADCAST_RINGS = 5_000
 
 TRANSFER_ORDER = ("timestamp", "from_node", "to_node", "amount_paid", "payment_currency")
-_TRANSFER = ("ring_id", "timestamp", "from_node", "to_node", "amount_paid", "payment_currency")
 
 
 def internal_transfers(selected: DataFrame, search: DataFrame, bound: int | None = None, edges: DataFrame | None = None) -> DataFrame:
@@ -30,14 +29,15 @@ def internal_transfers(selected: DataFrame, search: DataFrame, bound: int | None
     joined to the transfers.
     """
     members = memberships(selected)
+    moves = search.select(*TRANSFER_ORDER)
     if bound is not None and bound <= BROADCAST_RINGS:
         small = F.broadcast(members)
         senders = small.select("ring_id", F.col("account").alias("from_node"))
         receivers = small.select("ring_id", F.col("account").alias("to_node"))
         return (
-            search.join(F.broadcast(senders), "from_node")
+            moves.join(F.broadcast(senders), "from_node")
             .join(F.broadcast(receivers), ["ring_id", "to_node"])
-            .select(*_TRANSFER)
+            .select("ring_id", *TRANSFER_ORDER)
         )
     if edges is None:
         raise ValueError("an unbounded selection needs the enriched edges")
@@ -52,7 +52,7 @@ def internal_transfers(selected: DataFrame, search: DataFrame, bound: int | None
     pairs = (
         members.join(owned, "account").join(partners, ["ring_id", "other"]).select("ring_id", "from_node", "to_node")
     )
-    return search.join(pairs, ["from_node", "to_node"]).select(*_TRANSFER)
+    return moves.join(pairs, ["from_node", "to_node"]).select("ring_id", *TRANSFER_ORDER)
 
 
 def amount_by_currency(internal: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def investigate(selected: DataFrame, internal: DataFrame, requested: DataFrame |
         "signals",
         F.transform("amount_by_currency", lambda x: x["currency"]).alias("currencies"),
         transfers["transactions"].alias("transactions"),
-        F.greatest(F.lit(0), count - n).alias("transactions_truncated"),
+        F.when(count > n, count - n).when(count.isNotNull(), F.lit(0)).alias("transactions_truncated"),
     )
 
 
