@@ -325,8 +325,10 @@ def candidate_truth_ring(x: Lab) -> DataFrame:
     return ranker.touched_ring(evaluate.ranking_candidates(x.run), scoring.ring_accounts(x.transfers))
 
 
-@query("""SELECT ring_id, count(*) AS candidates, round(max(w.score), 6) AS best_score, string_agg(w.kind, '|' ORDER BY w.kind) AS kinds
-    FROM queue1 JOIN weighted w ON w.accounts = queue1.accounts GROUP BY ring_id""")
+@query("""WITH pool AS (SELECT array_to_string(accounts, '|') AS key, count(*) AS candidates, round(max(score), 6) AS best_score,
+        string_agg(kind, '|' ORDER BY kind) AS kinds FROM weighted WHERE len(accounts) <= 60 GROUP BY 1),
+    ranked_keys AS (SELECT ring_id, array_to_string(accounts, '|') AS key FROM queue1)
+    SELECT ring_id, candidates, best_score, kinds FROM ranked_keys JOIN pool USING (key)""")
 def cross_ranker_match(x: Lab) -> DataFrame:
     pool = evaluate.ranking_candidates(x.run).withColumnRenamed("score", "own_score")
     return (
@@ -364,7 +366,7 @@ def node_table(x: Lab) -> DataFrame:
     return graph.node_table(x.transfers)
 
 
-@query("""SELECT kind, hub, degree, n AS transactions, round(total, 2) AS total_amount, round(mu, 4) AS mean_amount,
+@query("""SELECT kind, hub, degree, n AS transactions, round(total, 2) AS total_amount,
     round(sd, 3) AS std_amount, round(tight, 6) AS tightness, round(uniform, 6) AS uniformity
     FROM stars WHERE 0.5 * tight + 0.5 * uniform > 0""")
 def star_statistics(x: Lab) -> DataFrame:
@@ -373,7 +375,7 @@ def star_statistics(x: Lab) -> DataFrame:
     both = out.unionByName(detectors.star_statistics(x.run.edges, False, p).withColumn("kind", F.lit("fan_in")))
     return both.select(
         "kind", "hub", "degree", "transactions", F.round("total_amount", 2).alias("total_amount"),
-        F.round("mean_amount", 4).alias("mean_amount"), F.round("std_amount", 3).alias("std_amount"),
+        F.round("std_amount", 3).alias("std_amount"),
         r6("tightness").alias("tightness"), r6("uniformity").alias("uniformity"),
     )
 
