@@ -19,9 +19,15 @@ def amount_key(amount: str) -> Column:
 
 
 def money_sum(amount) -> Column:
-    """Exact, order-independent sum of a float amount, returned as double."""
+    """Exact, order-independent sum of a float amount with up to six decimals.
+
+    Whole units and millionths are summed as two integers, so the result does not depend
+    on how rows are spread over tasks and costs no decimal arithmetic per row.
+    """
     col = F.col(amount) if isinstance(amount, str) else amount
-    return F.sum(col.cast(MONEY)).cast("double")
+    whole = F.floor(col)
+    millionths = F.round((col - whole) * 1_000_000).cast("bigint")
+    return F.sum(whole) + F.sum(millionths) / F.lit(1_000_000.0)
 
 
 def hours_between(start, end) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowtrail.session import stage
+
 MAX_HEAVY_KEYS = 20_000
 # Below this many rows a single key is no burden for one task.
 LIGHT_ROWS = 200_000
@@ -39,6 +41,7 @@ def attach(
     values: dict[str, str],
     weight: str | None = None,
     total: int | None = None,
+    staged: bool = False,
 ) -> DataFrame:
     """Left many-to-one join of ``rows`` with a one-row-per-key ``lookup``.
 
@@ -46,8 +49,12 @@ def attach(
     says how many rows carry the key; without one the rows are counted. Rows of heavy
     keys get their values from a broadcast of the (bounded) heavy part and are spread
     over the shuffle by a salt; the other rows meet the lookup in an ordinary equi-join.
+    The lookup is read more than once, so it is written out first unless it is ``staged``.
     """
     row_key, lookup_key = on
+    if not staged:
+        kept = dict.fromkeys([lookup_key, *values, *([weight] if weight else [])])
+        lookup = stage(lookup.select(*kept), "lookup")
     names = list(values.items())
     if weight is None:
         counted = rows.groupBy(F.col(row_key).alias("_ck")).agg(F.count("*").alias("_weight"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtrail.functions.columns import account_set, evidence, hours_between
+from flowtrail.functions.columns import account_set, evidence, hours_between, money_sum
 from flowtrail.functions.skew import drop_heavy
 from flowtrail.operators.filters import volume_capped
 from flowtrail.params import DetectionParams
@@ -37,7 +37,7 @@ def star_statistics(edges: DataFrame, outgoing: bool, params: DetectionParams) -
     stars = banded.groupBy(F.col(hub).alias("hub")).agg(
         F.count("*").alias("degree"),
         F.sum("count").alias("transactions"),
-        F.sum(F.col("total_amount").cast("decimal(20,6)")).cast("double").alias("total_amount"),
+        money_sum("total_amount").alias("total_amount"),
         F.max(mean).alias("mean_amount"),
         F.sum(F.col("m2") + F.col("count") * gap * gap).alias("m2"),
         F.min("first_seen").alias("first_seen"),
@@ -164,9 +164,7 @@ def activity(accounts: DataFrame) -> DataFrame:
     return accounts.select(
         "node",
         (F.col("out_rows") + F.col("in_rows")).alias("transactions"),
-        (F.col("out_total").cast("decimal(20,6)") + F.col("in_total").cast("decimal(20,6)"))
-        .cast("double")
-        .alias("total_amount"),
+        (F.col("out_total") + F.col("in_total")).alias("total_amount"),
         F.least("out_first", "in_first").alias("first_seen"),
         F.greatest("out_last", "in_last").alias("last_seen"),
     )

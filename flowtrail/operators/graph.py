@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtrail.functions.columns import MONEY, money_sum
+from flowtrail.functions.columns import money_sum
 from flowtrail.functions.skew import attach
 from flowtrail.operators.filters import self_payments, without_self_payments
 
@@ -58,7 +58,7 @@ def pair_table(transfers: DataFrame) -> DataFrame:
         when = F.when(cond, F.col("timestamp"))
         return [
             F.count_if(cond).alias(f"{tag}_count"),
-            F.sum(value.cast(MONEY)).cast("double").alias(f"{tag}_total"),
+            money_sum(value).alias(f"{tag}_total"),
             F.min(when).alias(f"{tag}_first"),
             F.max(when).alias(f"{tag}_last"),
             F.avg(value).alias(f"{tag}_mean"),
@@ -97,9 +97,9 @@ def account_table(pairs: DataFrame) -> DataFrame:
 
     def side(node, outgoing):
         zero, none = F.lit(0).cast("bigint"), F.lit(None)
-        count, total = F.col("count"), F.col("total_amount").cast(MONEY)
+        count, total = F.col("count"), F.col("total_amount")
         mine = {True: (count, total, F.col("first_seen"), F.col("last_seen"))}
-        mine[False] = (zero, F.lit(0).cast(MONEY), none.cast("timestamp_ntz"), none.cast("timestamp_ntz"))
+        mine[False] = (zero, F.lit(0.0), none.cast("timestamp_ntz"), none.cast("timestamp_ntz"))
         out, inn = mine[outgoing], mine[not outgoing]
         return F.struct(
             F.col(node).alias("node"),
@@ -126,7 +126,7 @@ def account_table(pairs: DataFrame) -> DataFrame:
             for tag in ("out", "in")
             for agg in (
                 F.sum(f"{tag}_rows").alias(f"{tag}_rows"),
-                F.sum(f"{tag}_total").cast("double").alias(f"{tag}_total"),
+                money_sum(f"{tag}_total").alias(f"{tag}_total"),
                 F.min(f"{tag}_first").alias(f"{tag}_first"),
                 F.max(f"{tag}_last").alias(f"{tag}_last"),
             )
@@ -150,6 +150,7 @@ def enriched_edges(pairs: DataFrame, accounts: DataFrame) -> DataFrame:
         ("from_node", "node"),
         {"degree": "from_degree", "out_degree": "from_out_degree", "in_degree": "from_in_degree", "out_mean": "from_out_mean"},
         weight="out_degree",
+        staged=True,
     )
     return attach(
         with_from,
@@ -157,6 +158,7 @@ def enriched_edges(pairs: DataFrame, accounts: DataFrame) -> DataFrame:
         ("to_node", "node"),
         {"degree": "to_degree", "in_degree": "to_in_degree", "out_degree": "to_out_degree", "in_mean": "to_in_mean"},
         weight="in_degree",
+        staged=True,
     )
 
 

@@ -57,11 +57,6 @@ def mask_kinds(mask: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*names)))
 
 
-def account_key(accounts: Column) -> Column:
-    """Fixed-size stand-in for an account set in shuffles."""
-    return F.unhex(F.sha2(F.array_join(accounts, "\u0001"), 256))
-
-
 def collapse(candidates: DataFrame, params: DetectionParams = DetectionParams()) -> DataFrame:
     """Candidates on one account set become one ring, evidence in detector order."""
     sized = size_guard(candidates, params.max_ring_accounts)
@@ -85,23 +80,22 @@ def collapse(candidates: DataFrame, params: DetectionParams = DetectionParams())
             *[x["evidence"][f.name].alias(f.name) for f in EVIDENCE.fields],
         ),
     )
-    return merged.select(
-        account_key(F.col("accounts")).alias("ring_key"), "accounts", "score", "first_kind", flat.alias("evidence")
-    )
+    return merged.select("accounts", "score", "first_kind", flat.alias("evidence"))
 
 
 def corroborate(rings: DataFrame, candidates: DataFrame) -> DataFrame:
     """Add the kinds of every candidate that touches any account of the ring.
 
     The masks come from all candidates, also those the size guard drops. An account in a
-    great many candidates is a heavy key of the lookup and is handled there.
+    great many candidates is a heavy key of the lookup and is handled there. ``rings`` is
+    read twice, so pass a table that is already ranked and written.
     """
-    members = rings.select("ring_key", F.explode("accounts").alias("account"))
+    members = rings.select("ring_id", F.explode("accounts").alias("account"))
     touched = attach(
         members, signals_by_account(candidates), ("account", "account"), {"mask": "mask"}, weight="candidates"
     )
-    masks = touched.groupBy("ring_key").agg(F.bit_or("mask").alias("mask"))
-    return rings.join(masks, "ring_key").withColumn("signals", mask_kinds(F.col("mask"))).drop("mask")
+    masks = touched.groupBy("ring_id").agg(F.bit_or("mask").alias("mask"))
+    return rings.join(masks, "ring_id").withColumn("signals", mask_kinds(F.col("mask"))).drop("mask")
 
 
 def rank_columns() -> list[Column]:
@@ -137,9 +131,8 @@ def global_rank(rows: DataFrame, order: list[Column], name: str, label: str) ->
 
 def combine(candidates: DataFrame, params: DetectionParams = DetectionParams()) -> DataFrame:
     """The whole ranked queue. Rings are ranked, never merged by shared accounts."""
-    rings = corroborate(collapse(candidates, params), candidates)
-    ranked = global_rank(rings, rank_columns(), "queue-order", "ring_id")
-    return ranked.select(
+    ranked = global_rank(collapse(candidates, params), rank_columns(), "queue-order", "ring_id")
+    return corroborate(ranked, candidates).select(
         "ring_id", "score", "accounts", "signals", "evidence", F.size("accounts").alias("account_count")
     )
 
@@ -147,7 +140,8 @@ def combine(candidates: DataFrame, params: DetectionParams = DetectionParams())
 def top_rings(candidates: DataFrame, k: int, params: DetectionParams = DetectionParams()) -> DataFrame:
     """Only the head of the queue: a top-k selection, then corroboration of k rings."""
     head = collapse(candidates, params).orderBy(*rank_columns()).limit(k)
-    ranked = head.withColumn("ring_id", F.row_number().over(Window.orderBy(*rank_columns())).cast("bigint"))
+    place = F.row_number().over(Window.orderBy(*rank_columns())).cast("bigint")
+    ranked = stage(head.withColumn("ring_id", place), "queue-head")
     return corroborate(ranked, candidates).select(
         "ring_id", "score", "accounts", "signals", "evidence", F.size("accounts").alias("account_count")
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowtrail.functions.columns import MONEY, ratio_or_zero
+from flowtrail.functions.columns import money_sum, ratio_or_zero
 from flowtrail.functions.skew import attach
 from flowtrail.params import RuleLimits
 
@@ -50,7 +50,7 @@ def _slot_totals(rollup: DataFrame, limits: RuleLimits) -> DataFrame:
     day = Window.partitionBy("from_node", "day")
     hour = Window.partitionBy("from_node", "day", "hour")
     return rollup.withColumn(
-        "high_daily_volume", F.coalesce(F.sum("amount").over(day) > F.lit(limits.daily_volume), F.lit(False))
+        "high_daily_volume", F.coalesce(F.round(F.sum("amount").over(day), 6) > F.lit(limits.daily_volume), F.lit(False))
     ).withColumn("high_frequency", F.sum("rows").over(hour) > limits.hourly_count)
 
 
@@ -59,7 +59,7 @@ def rule_flags(transfers: DataFrame, limits: RuleLimits = RuleLimits()) -> DataF
     slot = F.struct(F.col("from_node").alias("n"), F.to_date("timestamp").alias("d"), F.hour("timestamp").alias("h"))
     rollup = transfers.groupBy(
         "from_node", F.to_date("timestamp").alias("day"), F.hour("timestamp").alias("hour")
-    ).agg(F.count("*").alias("rows"), F.sum(F.col("amount_paid").cast(MONEY)).alias("amount"))
+    ).agg(F.count("*").alias("rows"), money_sum("amount_paid").alias("amount"))
     flagged_slots = _slot_totals(rollup, limits).where(F.col("high_daily_volume") | F.col("high_frequency")).select(
         F.struct(F.col("from_node").alias("n"), F.col("day").alias("d"), F.col("hour").alias("h")).alias("slot"),
         "rows",
@@ -85,7 +85,7 @@ def rule_profile(transfers: DataFrame, limits: RuleLimits = RuleLimits()) -> Dat
         F.hour("timestamp").alias("hour"),
         *[c.alias(n) for n, c in flags.items()],
         F.coalesce(F.col("is_laundering") == 1, F.lit(False)).alias("laundering"),
-    ).agg(F.count("*").alias("rows"), F.sum(F.col("amount_paid").cast(MONEY)).alias("amount"))
+    ).agg(F.count("*").alias("rows"), money_sum("amount_paid").alias("amount"))
     return _slot_totals(rollup, limits).groupBy(*RULES, "laundering").agg(F.sum("rows").alias("rows"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtrail.functions.skew import attach
-from flowtrail.session import checkpointed
+from flowtrail.session import stage
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
@@ -25,7 +25,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFram
         )
         frontier = out.unionByName(back).distinct().join(seen, "node", "left_anti")
         if hop < hops - 1:
-            frontier = checkpointed(frontier)
+            frontier = stage(frontier, "frontier")
         seen = seen.unionByName(frontier)
     present = edges.select(F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
     return seen.join(present, "node", "left_semi")
@@ -79,17 +79,18 @@ def weak_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, component`` with the smallest account id as the component's name.
 
     Alternating large-star and small-star contraction (Kiveris et al., SoCC 2014). Every
-    round ends in a reliable checkpoint; hubs, which contraction creates by design, are
+    half-round ends in a written table; hubs, which contraction creates by design, are
     heavy keys of the minimum lookup.
     """
-    links = checkpointed(
+    links = stage(
         edges.where(F.col("from_node") != F.col("to_node"))
         .select(F.greatest("from_node", "to_node").alias("child"), F.least("from_node", "to_node").alias("parent"))
-        .distinct()
+        .distinct(),
+        "links",
     )
     total, unsettled = _unsettled(links)
     while unsettled:
-        links = checkpointed(_small_star(_large_star(links, total), total))
+        links = stage(_small_star(stage(_large_star(links, total), "large-star"), total), "links")
         total, unsettled = _unsettled(links)
     return nodes.select("node").join(links, F.col("node") == F.col("child"), "left").select(
         "node", F.coalesce("parent", "node").alias("component")

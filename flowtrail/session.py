@@ -66,9 +66,3 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable (never local) checkpoint for iterative operators."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
