@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONEY = "decimal(20,6)"
@@ -36,6 +36,15 @@ def hours_between(start, end) -> Column:
     return F.timestamp_diff("MICROSECOND", a, b) / F.lit(3.6e9)
 
 
+def beside(base: DataFrame, *single: DataFrame) -> DataFrame:
+    """Add the columns of one-row tables to every row, as scalar subqueries."""
+    for one in single:
+        # One subquery per table, however many columns it has.
+        packed = base.withColumn("_one", one.select(F.struct(*one.columns)).scalar())
+        base = packed.select(*base.columns, *[F.col("_one")[c].alias(c) for c in one.columns])
+    return base
+
+
 def account_set(col: Column) -> Column:
     """Canonical form of a set of accounts: distinct, ascending."""
     return F.array_sort(F.array_distinct(col))

@@ -28,9 +28,14 @@ def heavy_keys(counts: DataFrame, weight: str, total: int | None = None) -> Data
     return counts.where(F.col(weight) > limit)
 
 
-def drop_heavy(rows: DataFrame, key: str, counts: DataFrame, counts_key: str, weight: str) -> DataFrame:
-    """Remove rows of heavy keys map-side, before they can fill one shuffle partition."""
-    heavy = heavy_keys(counts, weight).select(F.col(counts_key).alias(key))
+def drop_heavy(
+    rows: DataFrame, key: str, counts: DataFrame, counts_key: str, weight: str, needed: int
+) -> DataFrame:
+    """Remove rows of heavy keys map-side, before they can fill one shuffle partition.
+
+    For keys the caller discards anyway: those with more than ``needed`` rows.
+    """
+    heavy = heavy_keys(counts, weight).where(F.col(weight) > needed).select(F.col(counts_key).alias(key))
     return rows.join(F.broadcast(heavy), key, "left_anti")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowtrail.functions.columns import hours_between, money_sum
+from flowtrail.functions.columns import beside, hours_between, money_sum
 from flowtrail.operators.scoring import memberships
 from flowtrail.params import CARD_TRANSFERS, CASE_TRANSFERS
 
@@ -222,7 +222,7 @@ def scan_totals(selected: DataFrame, rings: DataFrame) -> DataFrame:
     queue = rings.agg(F.count("*").alias("rings_in_queue"))
     shown = selected.agg(F.count("*").alias("rings_detected"))
     flagged = memberships(selected).agg(F.count_distinct("account").alias("total_accounts_flagged"))
-    return shown.join(queue).join(flagged)
+    return beside(shown, queue, flagged)
 
 
 def dominant_currency(totals: DataFrame) -> DataFrame:
@@ -350,6 +350,5 @@ def ring_shape(selected: DataFrame, internal: DataFrame) -> DataFrame:
 
 
 def health(rings: DataFrame, transfers: DataFrame) -> DataFrame:
-    return rings.agg(F.count("*").alias("rings_in_queue")).join(
-        transfers.agg(F.count("*").alias("transactions_loaded"))
-    )
+    loaded = transfers.agg(F.count("*").alias("transactions_loaded"))
+    return beside(rings.agg(F.count("*").alias("rings_in_queue")), loaded)

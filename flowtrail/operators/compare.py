@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtrail.functions.columns import ratio_or_zero
+from flowtrail.functions.columns import beside, ratio_or_zero
 from flowtrail.functions.skew import attach
 from flowtrail.params import COMPARISON_DEPTHS
 
@@ -87,7 +87,7 @@ def queue_counts(depths: DataFrame, at: tuple[int, ...] = COMPARISON_DEPTHS) ->
 def compare(depths: DataFrame, rule_totals: DataFrame, rings: DataFrame, at=COMPARISON_DEPTHS) -> DataFrame:
     """One row per engine setting; depths beyond the queue are left out."""
     size = rings.agg(F.count("*").alias("rings_in_queue"))
-    queue = queue_counts(depths, at).join(size).where(F.col("depth").isNull() | (F.col("depth") <= F.col("rings_in_queue")))
+    queue = queue_counts(depths, at).where(F.col("depth").isNull() | (F.col("depth") <= size.scalar()))
     rules = rule_totals.select(
         F.col("transactions_scanned").alias("total"),
         F.col("total_laundering_transactions").alias("truth"),
@@ -96,7 +96,7 @@ def compare(depths: DataFrame, rule_totals: DataFrame, rings: DataFrame, at=COMP
         F.col("total_flags").alias("flagged"),
         F.col("laundering_caught").alias("caught"),
     )
-    rows = queue.drop("rings_in_queue").unionByName(rules)
+    rows = queue.unionByName(rules)
     return rows.select(
         "engine", "depth", *measure(F.col("flagged"), F.col("caught"), F.col("truth"), F.col("total"))
     )
@@ -107,7 +107,7 @@ def comparison_summary(comparison: DataFrame, rule_totals: DataFrame, rings: Dat
     size = rings.agg(F.count("*").alias("rings_in_queue"))
     head = comparison.where(F.col("depth").isNotNull()).agg(F.min_by("precision", "depth").alias("head_precision"))
     base = ratio_or_zero(F.col("total_laundering_transactions"), F.col("transactions_scanned"))
-    return rule_totals.join(size).join(head).select(
+    return beside(rule_totals, size, head).select(
         "transactions_scanned",
         F.col("total_laundering_transactions").alias("laundering_total"),
         F.round(base, 6).alias("base_rate"),
@@ -118,7 +118,7 @@ def comparison_summary(comparison: DataFrame, rule_totals: DataFrame, rings: Dat
 
 def headline(rule_totals: DataFrame, scan_totals: DataFrame) -> DataFrame:
     """Rule flags beside queue size, rings shown and accounts traced."""
-    return rule_totals.join(scan_totals).select(
+    return beside(rule_totals, scan_totals).select(
         F.col("total_flags").alias("rule_engine_flags"),
         F.col("laundering_caught").alias("rule_engine_caught"),
         F.col("laundering_missed").alias("rule_engine_missed"),

@@ -98,7 +98,7 @@ def pass_through_pairs(search: DataFrame, accounts: DataFrame, params: Detection
     eligible = volume_capped(accounts, cap).select(F.col("node").alias("_ok"))
 
     def side(node: str, weight: str) -> DataFrame:
-        return drop_heavy(search, node, accounts, "node", weight).join(
+        return drop_heavy(search, node, accounts, "node", weight, cap).join(
             eligible, F.col(node) == F.col("_ok"), "left_semi"
         )
 

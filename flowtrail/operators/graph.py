@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtrail.functions.columns import money_sum
+from flowtrail.functions.columns import beside, money_sum
 from flowtrail.functions.skew import attach
 from flowtrail.operators.filters import self_payments, without_self_payments
 
@@ -186,7 +186,6 @@ def graph_stats(transfers: DataFrame, components: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("members"))
         .agg(F.count("*").alias("weakly_connected_components"), F.max("members").alias("largest_component"))
     )
-    # Three one-row tables side by side.
-    return nodes.join(edges).join(sizes).select(
+    return beside(nodes, edges, sizes).select(
         "nodes", "edges", "self_loop_nodes", "weakly_connected_components", "largest_component"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtrail.functions.columns import amount_key, hours_between, money_sum
+from flowtrail.functions.columns import amount_key, beside, hours_between, money_sum
 
 JOIN_KEYS = ("timestamp", "from_node", "to_node", "payment_format", "amount_key")
 
@@ -46,8 +46,7 @@ def reconciliation(labelled: DataFrame, patterns: DataFrame, order: str = "line"
     key_counts = keys.agg(F.count("*").alias("pattern_keys"))
     unmatched = keys.join(matched, list(JOIN_KEYS), "left_anti").agg(F.count("*").alias("unmatched_pattern_keys"))
     log = patterns.agg(F.count("*").alias("pattern_rows"))
-    # Four one-row tables side by side.
-    return rows.join(log).join(key_counts).join(unmatched)
+    return beside(rows, log, key_counts, unmatched)
 
 
 def ring_members(patterns: DataFrame) -> DataFrame:

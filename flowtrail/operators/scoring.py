@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtrail.functions.columns import ratio_or_zero
+from flowtrail.functions.columns import beside, ratio_or_zero
 from flowtrail.params import DETECTABLE_MIN_TRANSFERS, PRECISION_DEPTHS, RING_COVERAGE
 
 
@@ -128,21 +128,23 @@ def distinct_shapes(predicted: DataFrame, truth_accounts: DataFrame) -> DataFram
     dominates, so one of them is kept. This is exact, and it is what keeps an account
     that sits in very many predictions from being paired with every true ring each time.
     """
-    sized = predicted.groupBy("ring_id").agg(F.count("*").alias("size"))
-    known = truth_accounts.select("account").distinct()
-    inside = predicted.join(known, "account", "left_semi")
-    shape = inside.groupBy("ring_id").agg(
-        F.bit_xor(F.xxhash64("account")).alias("a"),
-        F.bit_xor(F.xxhash64(F.lit("b"), "account")).alias("b"),
-        F.count("*").alias("hits"),
-    )
+    known = truth_accounts.select("account", F.lit(True).alias("known")).distinct()
+    marked = predicted.join(known, "account", "left")
+    hit = F.when(F.col("known"), F.col("account"))
     kept = (
-        shape.join(sized, "ring_id")
+        marked.groupBy("ring_id")
+        .agg(
+            F.bit_xor(F.when(hit.isNotNull(), F.xxhash64("account"))).alias("a"),
+            F.bit_xor(F.when(hit.isNotNull(), F.xxhash64(F.lit("b"), "account"))).alias("b"),
+            F.count(hit).alias("hits"),
+            F.count("*").alias("size"),
+        )
+        .where(F.col("hits") > 0)
         .groupBy("a", "b", "hits")
         .agg(F.min(F.struct("size", "ring_id")).alias("k"))
         .select("k.ring_id", "k.size")
     )
-    return inside.join(kept, "ring_id").select("ring_id", "size", "account")
+    return marked.where("known").join(kept, "ring_id").select("ring_id", "size", "account")
 
 
 def ring_metrics(
@@ -255,7 +257,7 @@ def score_report(predicted: DataFrame, labelled: DataFrame, coverage: float = RI
     """The whole scoring result in long form: ``section, metric, value``."""
     per_ring = ring_metrics(predicted, ring_truth(labelled), ring_accounts(labelled), coverage)
     accounts = account_metrics(account_sets(predicted, account_truth(labelled))).drop("depth")
-    rings = ring_totals(per_ring).join(predicted.agg(F.count_distinct("ring_id").alias("predicted")))
+    rings = beside(ring_totals(per_ring), predicted.agg(F.count_distinct("ring_id").alias("predicted")))
 
     def long(df: DataFrame, section: str) -> DataFrame:
         pairs = F.array(
@@ -293,6 +295,6 @@ def calibration(labelled: DataFrame, all_accounts: DataFrame, coverage: float =
     for name, predicted in baselines.items():
         accounts = account_metrics(account_sets(predicted, flags)).drop("depth")
         rings = ring_totals(ring_metrics(predicted, truth, members, coverage))
-        row = accounts.join(rings).withColumn("baseline", F.lit(name))
+        row = beside(accounts, rings).withColumn("baseline", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtrail.functions.columns import money_sum
+from flowtrail.functions.columns import beside, money_sum
 from flowtrail.operators.filters import induced_transfers
 from flowtrail.operators.traversal import neighbourhood
 from flowtrail.params import CONTEXT_HOPS, MAX_CONTEXT_DEGREE
@@ -47,9 +47,8 @@ def slice_nodes(links: DataFrame, flagged: DataFrame) -> DataFrame:
 
 
 def slice_summary(flagged: DataFrame, transfers: DataFrame, hops: int = CONTEXT_HOPS) -> DataFrame:
-    return flagged.agg(F.count("*").alias("ring_accounts")).join(
-        transfers.agg(F.count_distinct("from_node").alias("distinct_senders"))
-    ).select("ring_accounts", F.lit(hops).alias("hops"), "distinct_senders")
+    senders = transfers.agg(F.count_distinct("from_node").alias("distinct_senders"))
+    return beside(flagged.agg(F.count("*").alias("ring_accounts")), senders).select("ring_accounts", F.lit(hops).alias("hops"), "distinct_senders")
 
 
 def ring_slice_nodes(selected: DataFrame, roles: DataFrame) -> DataFrame:

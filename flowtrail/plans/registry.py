@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtrail.functions.columns import money_sum
+from flowtrail.functions.columns import beside, money_sum
 from flowtrail.operators import (
     cases, compare, cycles, detectors, filters, graph, labels, queue, ranker, rules, scoring, screening, slices, traversal,
 )
@@ -206,7 +206,7 @@ def labelled_cache_roundtrip(x: Lab) -> DataFrame:
     per_rail = rows.groupBy("payment_format").agg(
         F.count("*").alias("transfers"), F.round(money_sum("amount_paid"), 2).alias("amount"), F.count("ring_id").alias("labelled")
     )
-    return per_rail.join(rings).join(accounts)
+    return beside(per_rail, rings, accounts)
 
 
 @query(f"""SELECT ring_id, len(accounts) AS account_count, {_SET.format('accounts')} AS accounts, {_SET.format('signals')} AS signals,

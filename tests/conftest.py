@@ -18,7 +18,11 @@ TRANSFER = (
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[8]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"}
+        "tests",
+        "local[8]",
+        # Tiny inputs: compiling each stage would take longer than running it.
+        **{"spark.sql.shuffle.partitions": "3", "spark.driver.memory": "4g", "spark.sql.codegen.wholeStage": "false",
+           "spark.sql.adaptive.enabled": "false"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -1,5 +1,8 @@
 from flowtrail.operators import cases, graph, queue, screening, slices, traversal
 from flowtrail.operators.filters import induced_transfers
+from flowtrail.params import DetectionParams
+from flowtrail.plans.detect import Detection
+from flowtrail.session import stage
 
 RINGS = "ring_id bigint, accounts array<string>, signals array<string>, score double, account_count int"
 
@@ -12,12 +15,12 @@ def setup_case(spark, transfers):
     rings = spark.createDataFrame(
         [(1, ["A", "B", "C"], ["fan_in"], 0.5, 3), (2, ["D", "E"], ["cycle"], 0.4, 2), (3, ["A"], ["velocity_burst"], 0.1, 1)], RINGS
     )
-    return df, rings, cases.internal_transfers(rings, df, 3)
+    return df, rings, stage(cases.internal_transfers(rings, df, 3), "internal")
 
 
 def edges_of(df):
-    pairs = graph.pair_table(df)
-    return graph.enriched_edges(pairs, graph.account_table(pairs))
+    run = Detection(df, DetectionParams(rails=()))
+    return run.edges
 
 
 def test_both_internal_joins_agree(spark, transfers):

@@ -88,5 +88,6 @@ def test_drop_heavy_only_removes_heavy_keys(spark, monkeypatch):
     monkeypatch.setattr(skew, "MAX_HEAVY_KEYS", 4)
     df = spark.createDataFrame([("hot", i) for i in range(50)] + [(f"k{i}", i) for i in range(10)], "k string, v int")
     counts = df.groupBy("k").agg(F.count("*").alias("n"))
-    left = skew.drop_heavy(df, "k", counts, "k", "n")
+    left = skew.drop_heavy(df, "k", counts, "k", "n", 10)
+    assert skew.drop_heavy(df, "k", counts, "k", "n", 60).count() == 60
     assert left.where("k = 'hot'").count() == 0 and left.count() == 10
