@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtrail.llm import minhash, mixing, quality_rules
+from flowtrail.llm import minhash, mixing, pii, quality_model, quality_rules
 from flowtrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.found(table(spark, folder, "documents"))
+
+
 @query
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
@@ -31,3 +36,8 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality(table(spark, folder, "documents"))
+
+
+@query
+def op6_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
