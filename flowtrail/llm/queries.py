@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtrail.llm import chat, minhash, mixing, pii, quality_model, quality_rules, quantised, token_counts
+from flowtrail.llm import chat, minhash, mixing, pieces, pii, quality_model, quality_rules, quantised, token_counts
 from flowtrail.llm.common import table
 from flowtrail.session import scratch_path
 
@@ -29,6 +29,11 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.found(table(spark, folder, "documents"))
 
 
+@query
+def op3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(table(spark, folder, "documents"), pieces.Model.read())
+
+
 @query
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
