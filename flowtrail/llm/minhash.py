@@ -143,17 +143,15 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     key = ["fp1", "fp2", "n_shingles"]
     live = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stage(live.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = stage(
-        live.join(classes.select("rep", "fp1", "fp2").withColumnRenamed("rep", "doc_id"), ["doc_id", "fp1", "fp2"], "left_semi"),
-        "representatives",
-    )
+    ids = classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2")
+    banded = live.select("doc_id", "fp1", "fp2", "bands").join(ids, ["doc_id", "fp1", "fp2"], "left_semi")
+    banded = stage(banded.select("doc_id", F.explode("bands").alias("band")), "bands")
     texts = docs.where("doc_id is not null")
 
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1")
+    centers = banded.groupBy("band").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1")
+    shared = stage(banded.join(centers.select("band", "center"), "band"), "shared_bands")
     first = (
-        banded.join(shared.select("band", "center"), "band")
-        .where("doc_id != center")
+        shared.where("doc_id != center")
         .groupBy("doc_id", "center")
         .agg(F.count("*").alias("n"))
         .groupBy("doc_id")
@@ -164,15 +162,17 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     links = components(confirmed(texts, first, percent), "a", "b")
     links = stage(links, "first_components")
 
-    rows = (
-        reps.join(links.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .withColumn("component", F.coalesce("component", "doc_id"))
-        .select("doc_id", "component", "n_shingles", *SKETCH, *PARITY, F.explode("bands").alias("band"))
+    rows = shared.join(links.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "doc_id", "band", F.coalesce("component", "doc_id").alias("component")
     )
     spread = (
         rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     )
-    rows = stage(rows.join(spread.select("band"), "band", "left_semi"), "mixed_buckets")
+    rows = stage(rows.join(spread.select("band"), "band", "left_semi"), "mixed_bands")
+    sketches = live.select("doc_id", "fp1", "fp2", "n_shingles", *SKETCH, *PARITY).join(
+        ids.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id", "fp1", "fp2"], "left_semi"
+    )
+    rows = stage(rows.join(sketches.drop("fp1", "fp2").dropDuplicates(["doc_id"]), "doc_id"), "mixed_buckets")
     a, b = rows.alias("a"), rows.alias("b")
     size_a, size_b = F.col("a.n_shingles"), F.col("b.n_shingles")
     odd_limit = SKETCH_BITS / 2 * (1 - np.exp(-4 * BANDS * ROWS * (1 - LEAST_ESTIMATE) / SKETCH_BITS))
