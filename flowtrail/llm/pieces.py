@@ -29,6 +29,10 @@ CHUNK_DOCS = 16_384
 SHIFT = 10
 FALLBACK = -30.0
 INNER = "\x00"  # starts the name of a unit that does not follow a blank
+# Packed lattice: an edge is end, start, id + 1 and cost; a best path's end is cost, start, id + 1.
+COST_BITS, ID_BITS, PLACE_BITS = 20, 16, 7
+COST_UNIT = 10_000
+RARE = re.compile("[\x00\x09\x0b-\x0d" + BLANK + "]")
 SPECIAL = re.compile("[\x00\x09-\x0d" + BLANK + "]")
 PARTS = re.compile("[\x00\x09-\x0d" + BLANK + "]|[^\x00\x09-\x0d" + BLANK + "]+")
 
@@ -94,10 +98,16 @@ class Model:
 
 
 def names(text: str) -> list[str]:
-    """Names of the units of a text, in order."""
+    """Names of the units of a text, in order.
+
+    Line ends, and full stops and commas before white space, are units of their own.
+    """
     words = text.split(" ")
-    if not SPECIAL.search(text) and max(map(len, words)) <= LONGEST_UNIT:
-        return words
+    if not RARE.search(text):
+        cut = text.replace("\n", f" {INNER}\n {INNER}").replace(", ", f" {INNER}, ").replace(". ", f" {INNER}. ")
+        plain = cut.split(" ")
+        if max(map(len, plain)) <= LONGEST_UNIT:
+            return plain
     out = []
     for word in words:
         if len(word) <= LONGEST_UNIT and not SPECIAL.search(word):
@@ -148,6 +158,7 @@ def lister(batches):
             for text in unpacked(data)["text"].to_pylist():
                 if text is not None:
                     found.update(names(text))
+            found.discard(INNER)
             for at in range(0, len(listed := list(found)), 50_000):
                 part = listed[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays(
@@ -163,53 +174,59 @@ def unit_text(name):
 def encoded_units(units: DataFrame, pieces: DataFrame, longest: int, byte_ids: list[int]) -> DataFrame:
     """Adds ``ids`` to units (name, chunks): the best path through each unit's lattice.
 
-    The best path has the largest sum of scores; of equal sums, the longer last piece, then
-    the smaller id. A mark that stands for itself is no blank and is spelled in bytes.
+    The best path has the largest sum of scores, kept as whole ten-thousandths; of equal
+    sums, the longer last piece, then the smaller id. A mark that stands for itself is no blank and is spelled in bytes.
     """
     spelled = units.withColumn("unit", unit_text(F.col("name"))).withColumn("n", F.length("unit"))
-    starts = spelled.select("name", "unit", "n", F.posexplode(F.sequence(F.lit(1), F.col("n"))).alias("start", "_"),
-                            "chunks")
+    starts = spelled.select("name", "unit", "n", "chunks", F.explode(F.expr("sequence(0, n - 1)")).alias("start"))
     spans = starts.select(
-        "name", "unit", "n", "start", F.when(F.col("start") == 0, F.col("chunks")).alias("chunks"),
+        "name", "unit", "start", F.when(F.col("start") == 0, F.col("chunks")).alias("chunks"),
         F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("start")))).alias("len"),
-    ).withColumn("chunks", F.when(F.col("len") == 1, F.col("chunks")))
+    )
     edges = (
-        spans.withColumn("sub", F.expr("substring(unit, start + 1, len)"))
+        spans.select("name", "start", "len", F.when(F.col("len") == 1, F.col("chunks")).alias("chunks"),
+                     F.expr("substring(unit, start + 1, len)").alias("sub"))
         .join(F.broadcast(pieces), (F.col("sub") == F.col("piece")) & (F.col("name") != INNER + BLANK), "left")
         .where("id is not null or len = 1")
     )
+    packed = (
+        F.shiftleft((F.col("start") + F.col("len")).cast("long"), PLACE_BITS + ID_BITS + COST_BITS)
+        + F.shiftleft(F.col("start").cast("long"), ID_BITS + COST_BITS)
+        + F.shiftleft((F.coalesce("id", F.lit(-1)) + 1).cast("long"), COST_BITS)
+        + F.round(-F.coalesce("score", F.lit(FALLBACK)) * COST_UNIT).cast("long")
+    )
     lattice = edges.groupBy("name").agg(
-        F.first("unit").alias("unit"),
-        F.first("n").alias("n"),
-        F.first("chunks", ignorenulls=True).alias("chunks"),
-        F.collect_list(
-            F.struct(
-                (F.col("start") + F.col("len")).alias("end"), "start",
-                F.coalesce("score", F.lit(FALLBACK)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"),
-            )
-        ).alias("edges"),
+        F.first("chunks", ignorenulls=True).alias("chunks"), F.sort_array(F.collect_list(packed)).alias("edges")
+    ).withColumn("unit", unit_text(F.col("name"))).withColumn("n", F.length("unit"))
+    step = (
+        f"shiftleft(shiftright({{best}}, {PLACE_BITS + ID_BITS}) + (x & {(1 << COST_BITS) - 1}), {PLACE_BITS + ID_BITS})"
+        f" + (shiftright(x, {COST_BITS}) & {(1 << PLACE_BITS + ID_BITS) - 1})"
     )
+    top, mask, id_mask = PLACE_BITS + ID_BITS, (1 << PLACE_BITS) - 1, (1 << ID_BITS) - 1
+    # Edges come by end. ``done`` holds the best paths to all ends before the one at hand.
     best = F.expr(
-        """aggregate(sequence(1, n),
-             array(named_struct('score', 0D, 'start', -1, 'id', -1)),
-             (acc, e) -> concat(acc, array(
-               array_max(transform(filter(edges, x -> x.end = e),
-                 x -> named_struct('score', acc[x.start].score + x.score, 'start', -x.start, 'id', -x.id))))))"""
+        f"""aggregate(edges, named_struct('done', cast(array() as array<long>), 'now', 0L),
+              (acc, x) -> if(shiftright(x, {top + COST_BITS}) = size(acc.done),
+                named_struct('done', acc.done, 'now', least(acc.now, {step.format(best="acc.done[start]")})),
+                named_struct('done', concat(acc.done, array(acc.now)), 'now', {step.format(best="if(start = size(acc.done), acc.now, acc.done[start])")})),
+              acc -> concat(acc.done, array(acc.now)))""".replace("start", f"cast(shiftright(x, {ID_BITS + COST_BITS}) & {mask} as int)")
     )
     back = F.expr(
-        """aggregate(sequence(n, 1, -1),
-             named_struct('at', n, 'path', cast(array() as array<struct<start:int,id:int>>)),
-             (acc, e) -> if(acc.at = e,
-               named_struct('at', -best[e].start,
-                 'path', concat(array(named_struct('start', -best[e].start, 'id', -best[e].id)), acc.path)),
-               acc),
-             acc -> acc.path)"""
+        f"""aggregate(sequence(n, 1, -1), named_struct('at', n, 'path', cast(array() as array<long>)),
+              (acc, e) -> if(acc.at = e,
+                named_struct('at', cast(shiftright(best[e], {ID_BITS}) & {mask} as int),
+                             'path', concat(array(best[e] & {(1 << top) - 1}), acc.path)),
+                acc),
+              acc -> acc.path)"""
     )
     table = F.array(*map(F.lit, byte_ids))
+    char = f"substring(unit, cast(shiftright(p, {ID_BITS}) as int) + 1, 1)"
     spelled_out = F.expr(
-        """flatten(transform(path, p -> if(p.id >= 0, array(p.id),
-             transform(sequence(1, octet_length(substring(unit, p.start + 1, 1))),
-               k -> byte_ids[cast(conv(hex(substring(encode(substring(unit, p.start + 1, 1), 'utf-8'), k, 1)), 16, 10) as int)]))))"""
+        f"""if(exists(path, p -> p & {id_mask} = 0),
+              flatten(transform(path, p -> if(p & {id_mask} > 0, array(cast(p & {id_mask} as int) - 1),
+                transform(sequence(1, octet_length({char})),
+                  k -> byte_ids[cast(conv(hex(substring(encode({char}, 'utf-8'), k, 1)), 16, 10) as int)])))),
+              transform(path, p -> cast(p & {id_mask} as int) - 1))"""
     )
     return (
         lattice.withColumn("best", best)
@@ -224,7 +241,8 @@ def applier(model: Model):
     pieces = model.bytes_of
 
     def apply(packed: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
-        known = dict(zip(units["name"], (np.asarray(x, np.int32).tobytes() for x in units["ids"])))
+        known = {INNER: b""}
+        known.update(zip(units["name"], (np.asarray(x, np.int32).tobytes() for x in units["ids"])))
         out = []
         for data in packed["packed"]:
             table = unpacked(data)
