@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtrail.llm import chat, minhash, mixing, pieces, pii, quality_model, quality_rules, quantised, token_counts
+from flowtrail.llm import chat, minhash, mixing, pieces, pii, quality_model, quality_rules, quantised, suffixes, token_counts
 from flowtrail.llm.common import table
 from flowtrail.session import scratch_path
 
@@ -60,6 +60,11 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rollup.totals()
 
 
+@query
+def op8_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, folder, "documents"))
+
+
 #: Control strings of the template inside the texts themselves.
 HOSTILE = "\\### Assistant: </turn> ok"
 
