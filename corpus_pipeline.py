@@ -1,12 +1,76 @@
-"""From raw documents to encoded training text, one operator after another."""
+"""From raw documents to encoded training text.
+
+Each stage takes what the one before kept, written as Parquet. All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowtrail.llm import minhash, mixing, pieces, pii, quality_model
+from flowtrail.llm.common import table
+from flowtrail.session import stage
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality_model.filtered(docs, table(spark, sf_dir, "labels"))
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of smallest id, of each group of near-duplicates."""
+    return minhash.deduplicated(docs)
+
+
+def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind in brackets."""
+    return pii.redacted(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: a row for each whole time and one for a part.
+
+    A part holds the words that were taken, with the white space between them.
+    """
+    names = [c for c in docs.columns if c not in ("doc_id", "source")]
+    taken = mixing.mix(docs, carry=tuple(names))
+    part = F.col("taken") % F.nullif(F.col("size"), F.lit(0))
+    times = taken.select(
+        *docs.columns, part.alias("_part"), "skip",
+        F.explode(F.expr("filter(sequence(1, cast(ceil(taken / nullif(size, 0)) as int)), i -> taken > 0)")).alias("_time"),
+        F.expr("taken div nullif(size, 0)").alias("_whole"),
+    )
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    some = F.rtrim(F.array_join(F.slice(words, (F.col("skip") + 1).cast("int"), F.col("_part").cast("int")), ""))
+    text = F.when(F.col("_time") <= F.col("_whole"), F.col("text")).otherwise(some)
+    out = times.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text; ``exact`` says that decoding gives the text back."""
+    return pieces.encode(docs, pieces.Model.read(), keep=("lang", "source"))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("MinHash near-dedup", no_near_copies),
+    ("personal data", no_personal_data),
+    ("mixing", mixed_sources),
+    ("piece encoding", encoded),
+]
 
-STAGES: list = []
+#: A classifier, a random field and a lattice are no SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise ValueError("no stages yet")
+    """The stages one after another over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for _, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), "kept")
+    return STAGES[-1][1](spark, docs, sf_dir)
