@@ -34,21 +34,20 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A part holds the words that were taken, with the white space between them.
     """
-    names = [c for c in docs.columns if c not in ("doc_id", "source")]
-    taken = mixing.mix(docs, carry=tuple(names))
-    part = F.col("taken") % F.nullif(F.col("size"), F.lit(0))
-    times = taken.select(
-        *docs.columns, part.alias("_part"), "skip",
-        F.explode(F.expr("filter(sequence(1, cast(ceil(taken / nullif(size, 0)) as int)), i -> taken > 0)")).alias("_time"),
-        F.expr("taken div nullif(size, 0)").alias("_whole"),
+    taken = mixing.mix(docs, carry=tuple(docs.columns))
+    size = F.nullif(F.col("size"), F.lit(0))
+    times = taken.where("taken > 0").select(
+        "carried", "skip",
+        (F.col("taken") % size).cast("int").alias("part"),
+        F.floor(F.col("taken") / size).alias("whole"),
+        F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / size).cast("int"))).alias("time"),
     )
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    some = F.rtrim(F.array_join(F.slice(words, (F.col("skip") + 1).cast("int"), F.col("_part").cast("int")), ""))
-    text = F.when(F.col("_time") <= F.col("_whole"), F.col("text")).otherwise(some)
-    out = times.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    words = F.regexp_extract_all("carried.text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    some = F.rtrim(F.array_join(F.slice(words, (F.col("skip") + 1).cast("int"), F.col("part")), ""))
+    text = F.when(F.col("time") <= F.col("whole"), F.col("carried.text")).otherwise(some)
+    length = F.length(text).cast(docs.schema["n_chars"].dataType)
+    new = {"text": text, "n_chars": length}
+    return times.select(*[new.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

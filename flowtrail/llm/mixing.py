@@ -100,7 +100,8 @@ def mix(
 
     Returns a row per row of ``docs`` (doc_id, text, source): doc_id, size, source_size,
     target, taken, source, ``skip`` (words before the taken part where less than the whole
-    document is taken in the last round) and the ``carry`` columns.
+    document is taken in the last round) and, if there are any, the ``carry`` columns as
+    one struct ``carried``.
 
     A null source is a source of its own; null and empty texts have size 0 and are taken 0
     times; null ids are ordinary ids; repeated rows are rows of their own, their order does
@@ -163,5 +164,5 @@ def mix(
         (F.col("rounds") * F.col("_size") + head + wrapped).alias("taken"),
         F.col("_source").alias("source"),
         F.when(wrapped > 0, F.lit(0)).otherwise(F.greatest(F.lit(0), low - F.col("start"))).alias("skip"),
-        *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)],
+        *([F.struct(*[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)]).alias("carried")] if carry else []),
     )

@@ -147,33 +147,27 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> t
     return fit(rows["text"].tolist(), rows["_quality"].tolist())
 
 
-def scored(docs: DataFrame, labels: DataFrame, cut: float = CUT, keep: tuple[str, ...] = (), max_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """A row per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted, and ``keep``.
+def scored(docs: DataFrame, labels: DataFrame, cut: float = CUT, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """A row per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted.
 
     ``score`` is the probability of quality 1 from the text alone. Null, empty and blank
     texts get the score of the bias. Without labelled rows every score is one half or so,
     set by the untrained table. Null ids are never learned from. Repeated rows get equal
     scores; labels that contradict each other are all learned. An empty table gives no rows.
+    Columns not named here are left out.
     """
     odds, bias = train(docs, labels, max_rows)
-    columns = [F.col("doc_id"), F.col("text")] + [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
-    rows = docs.select(*columns)
-    schema = [f for f in rows.schema.fields if f.name != "text"]
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    if keep:
-        rows = rows.withColumn("_text", F.col("text"))
-        names += ", _text string"
-    out = rows.mapInPandas(scorer(odds, bias), f"{names}, score double")
+    rows = docs.select("doc_id", "text")
+    out = rows.mapInPandas(scorer(odds, bias), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select(
-        "doc_id",
-        held_out().alias("held_out"),
-        "score",
-        F.when(F.col("score") >= cut, 1).otherwise(0).alias("predicted"),
-        *[F.col("_text" if c == "text" else f"_keep_{i}").alias(c) for i, c in enumerate(keep)],
+        "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= cut, 1).otherwise(0).alias("predicted")
     )
 
 
-def filtered(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+def filtered(docs: DataFrame, labels: DataFrame, cut: float = CUT, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    names = tuple(c for c in docs.columns if c != "doc_id")
-    return scored(docs, labels, cut, names).where("predicted = 1").select(*docs.columns)
+    odds, bias = train(docs, labels, max_rows)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
+    return rows.mapInPandas(scorer(odds, bias), f"{kinds}, score double").where(F.col("score") >= cut).drop("score").toDF(*docs.columns)
