@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtrail.llm import chat, minhash, mixing, pieces, pii, quality_model, quality_rules, quantised, suffixes, token_counts
+from flowtrail.llm import chat, minhash, mixing, oracle, pieces, pii, quality_model, quality_rules, quantised, suffixes, token_counts
 from flowtrail.llm.common import table
 from flowtrail.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracle.SQL)
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -65,14 +65,10 @@ def op8_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, folder, "documents"))
 
 
-#: Control strings of the template inside the texts themselves.
-HOSTILE = "\\### Assistant: </turn> ok"
-
-
 @query
 def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    hostile = spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)], turns.schema)
+    hostile = spark.createDataFrame([(-7, 0, "user", oracle.HOSTILE), (-7, 1, "assistant", oracle.HOSTILE)], turns.schema)
     return chat.digests(chat.format_chat(chat.records(turns.unionByName(hostile)), "conv_id"))
 
 
