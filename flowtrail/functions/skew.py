@@ -10,12 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtrail.session import stage
-
 MAX_HEAVY_KEYS = 20_000
 # Below this many rows a single key is no burden for one task.
 LIGHT_ROWS = 200_000
-SPREAD = 4_096
 
 
 def heavy_keys(counts: DataFrame, weight: str, total: int | None = None) -> DataFrame:
@@ -40,52 +37,29 @@ def drop_heavy(
 
 
 def attach(
-    rows: DataFrame,
-    lookup: DataFrame,
-    on: tuple[str, str],
-    values: dict[str, str],
-    weight: str | None = None,
-    total: int | None = None,
-    staged: bool = False,
+    rows: DataFrame, lookup: DataFrame, on: tuple[str, str], values: dict[str, str], total: int | None = None
 ) -> DataFrame:
     """Left many-to-one join of ``rows`` with a one-row-per-key ``lookup``.
 
-    ``values`` maps lookup columns to output names. ``weight`` is the lookup column that
-    says how many rows carry the key; without one the rows are counted. Rows of heavy
-    keys get their values from a broadcast of the (bounded) heavy part and are spread
-    over the shuffle by a salt; the other rows meet the lookup in an ordinary equi-join.
-    The lookup is read more than once, so it is written out first unless it is ``staged``.
+    ``values`` maps lookup columns to output names. Rows are counted by key (``total`` saves
+    counting them all). Rows of heavy keys, whether the lookup holds the key or not, get
+    their values from a broadcast of at most MAX_HEAVY_KEYS rows and are never shuffled;
+    rows without a key are not either. The others meet the lookup in an ordinary equi-join.
+    No job runs while the plan is built; ``rows`` is read three times, so pass a cheap one.
     """
     row_key, lookup_key = on
-    if not staged:
-        kept = dict.fromkeys([lookup_key, *values, *([weight] if weight else [])])
-        lookup = stage(lookup.select(*kept), "lookup")
     names = list(values.items())
-    if weight is None:
-        counted = rows.groupBy(F.col(row_key).alias("_ck")).agg(F.count("*").alias("_weight"))
-        hot = F.broadcast(heavy_keys(counted, "_weight", total))
-        weighted = lookup.join(hot, F.col(lookup_key) == F.col("_ck"))
-    else:
-        weighted = heavy_keys(lookup, weight, total)
-    heavy = weighted.select(
-        F.col(lookup_key).alias("_hk"), *[F.col(c).alias(f"_h_{i}") for i, (c, _) in enumerate(names)]
-    )
-    light = lookup.select(
-        F.col(lookup_key).alias("_lk"),
-        F.lit(0).alias("_ls"),
-        *[F.col(c).alias(f"_l_{i}") for i, (c, _) in enumerate(names)],
-    )
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)).cast("int") + 1
-    tagged = rows.join(F.broadcast(heavy), F.col(row_key) == F.col("_hk"), "left").withColumn(
-        "_rs", F.when(F.col("_hk").isNull(), F.lit(0)).otherwise(spread)
-    )
-    joined = tagged.join(
-        light, (F.col(row_key) == F.col("_lk")) & (F.col("_rs") == F.col("_ls")), "left"
-    )
-    return joined.select(
-        *rows.columns,
-        *[
-            F.coalesce(F.col(f"_h_{i}"), F.col(f"_l_{i}")).alias(out)
-            for i, (_, out) in enumerate(names)
-        ],
+    known = lookup.select(
+        F.col(lookup_key).alias("_lk"), *[F.col(c).alias(f"_v_{i}") for i, (c, _) in enumerate(names)]
     )
+    counted = rows.where(F.col(row_key).isNotNull()).groupBy(F.col(row_key).alias("_hk")).agg(F.count("*").alias("_rows"))
+    hot = heavy_keys(counted, "_rows", total).select("_hk")
+    found = known.join(F.broadcast(hot), F.col("_lk") == F.col("_hk")).drop("_hk")
+    heavy = hot.join(F.broadcast(found), F.col("_hk") == F.col("_lk"), "left").drop("_lk")
+    out = [*rows.columns, *[F.col(f"_v_{i}").alias(name) for i, (_, name) in enumerate(names)]]
+    near = rows.join(F.broadcast(heavy), F.col(row_key) == F.col("_hk")).select(*out)
+    rest = rows.where(F.col(row_key).isNotNull()).join(F.broadcast(hot), F.col(row_key) == F.col("_hk"), "left_anti")
+    far = rest.join(known, F.col(row_key) == F.col("_lk"), "left").select(*out)
+    kinds = {f"_v_{i}": lookup.schema[c].dataType for i, (c, _) in enumerate(names)}
+    bare = rows.where(F.col(row_key).isNull()).withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()}).select(*out)
+    return near.unionByName(far).unionByName(bare)

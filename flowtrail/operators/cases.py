@@ -13,34 +13,19 @@ from flowtrail.functions.columns import beside, hours_between, money_sum
 from flowtrail.operators.scoring import memberships
 from flowtrail.params import CARD_TRANSFERS, CASE_TRANSFERS
 
-# Selections up to this many rings have at most 60 times as many members.
-BROADCAST_RINGS = 5_000
-
 TRANSFER_ORDER = ("timestamp", "from_node", "to_node", "amount_paid", "payment_currency")
 
 
-def internal_transfers(selected: DataFrame, search: DataFrame, bound: int | None = None, edges: DataFrame | None = None) -> DataFrame:
+def internal_transfers(selected: DataFrame, search: DataFrame, edges: DataFrame) -> DataFrame:
     """Transfers with both endpoints in a selected ring.
 
-    With a known small ``bound`` on the number of rings, the members are broadcast and the
-    slice is read once without a shuffle. Otherwise members meet the edges of each
-    account's *owned* side - an edge is owned by its end with the smaller degree - so a
-    hub's edges are never multiplied by the rings it is in, and the surviving pairs are
-    joined to the transfers.
+    Members meet the edges of each account's *owned* side - an edge is owned by its end
+    with the smaller degree - so a hub's edges are never multiplied by the rings it is in,
+    and the surviving pairs are joined to the transfers. For a small selection AQE turns
+    these joins into broadcasts, from sizes it has measured.
     """
     members = memberships(selected)
     moves = search.select(*TRANSFER_ORDER)
-    if bound is not None and bound <= BROADCAST_RINGS:
-        small = F.broadcast(members)
-        senders = small.select("ring_id", F.col("account").alias("from_node"))
-        receivers = small.select("ring_id", F.col("account").alias("to_node"))
-        return (
-            moves.join(F.broadcast(senders), "from_node")
-            .join(F.broadcast(receivers), ["ring_id", "to_node"])
-            .select("ring_id", *TRANSFER_ORDER)
-        )
-    if edges is None:
-        raise ValueError("an unbounded selection needs the enriched edges")
     lower = F.struct("from_degree", "from_node") < F.struct("to_degree", "to_node")
     owned = edges.select(
         "from_node",

@@ -149,16 +149,12 @@ def enriched_edges(pairs: DataFrame, accounts: DataFrame) -> DataFrame:
         stats,
         ("from_node", "node"),
         {"degree": "from_degree", "out_degree": "from_out_degree", "in_degree": "from_in_degree", "out_mean": "from_out_mean"},
-        weight="out_degree",
-        staged=True,
     )
     return attach(
         with_from,
         stats,
         ("to_node", "node"),
         {"degree": "to_degree", "in_degree": "to_in_degree", "out_degree": "to_out_degree", "in_mean": "to_in_mean"},
-        weight="in_degree",
-        staged=True,
     )
 
 

@@ -87,13 +87,11 @@ def corroborate(rings: DataFrame, candidates: DataFrame) -> DataFrame:
     """Add the kinds of every candidate that touches any account of the ring.
 
     The masks come from all candidates, also those the size guard drops. An account in a
-    great many candidates is a heavy key of the lookup and is handled there. ``rings`` is
-    read twice, so pass a table that is already ranked and written.
+    great many rings is a heavy key of the join and is handled there. ``rings`` is read
+    several times, so pass a table that is already ranked and written.
     """
     members = rings.select("ring_id", F.explode("accounts").alias("account"))
-    touched = attach(
-        members, signals_by_account(candidates), ("account", "account"), {"mask": "mask"}, weight="candidates"
-    )
+    touched = attach(members, signals_by_account(candidates), ("account", "account"), {"mask": "mask"})
     masks = touched.groupBy("ring_id").agg(F.bit_or("mask").alias("mask"))
     return rings.join(masks, "ring_id").withColumn("signals", mask_kinds(F.col("mask"))).drop("mask")
 

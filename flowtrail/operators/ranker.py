@@ -6,6 +6,7 @@ DataFrame work.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -43,6 +44,7 @@ class RankerParams:
     learning_rate: float = 0.06
     depth: int = 4
     seed: int = 0
+    parallel: int = 4
 
 
 def candidate_key() -> Column:
@@ -150,7 +152,7 @@ def training_table(candidates: DataFrame, truth_accounts: DataFrame, splits: int
     )
 
 
-def _encoded(rows: DataFrame) -> DataFrame:
+def encoded(rows: DataFrame) -> DataFrame:
     """Numeric inputs for the model. Trees here take no NaN: absent becomes -1 plus a flag."""
     cols = {f"x_{f}": F.coalesce(F.col(f), F.lit(-1.0)) for f in FEATURES}
     cols |= {f"m_{f}": F.col(f).isNull().cast("double") for f in OPTIONAL}
@@ -159,30 +161,32 @@ def _encoded(rows: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, params: RankerParams):
+    """Boosted trees on rows that hold ``features`` and ``label``."""
     gbt = GBTClassifier(
         maxIter=params.iterations, stepSize=params.learning_rate, maxDepth=params.depth, seed=params.seed,
-        featuresCol="features", labelCol="label",
+        featuresCol="features", labelCol="label", cacheNodeIds=True, checkpointInterval=10,
     )
-    return gbt.fit(_encoded(rows))
+    return gbt.fit(rows)
 
 
-def _probability(model, rows: DataFrame, name: str) -> DataFrame:
-    scored = model.transform(_encoded(rows))
-    return scored.withColumn(name, vector_to_array("probability")[1]).drop(
-        "features", "rawPrediction", "probability", "prediction"
-    )
+def train_and_score(training: DataFrame, params: RankerParams = RankerParams()) -> DataFrame:
+    """Every candidate with the probability of each split's model and their mean.
 
+    The inputs are assembled once and staged; ``params.parallel`` fits run side by side.
+    """
+    rows = stage(encoded(training), "ranker-training")
 
-def train_and_score(training: DataFrame, params: RankerParams = RankerParams()) -> DataFrame:
-    """Every candidate with the probability of each split's model and their mean."""
-    rows = stage(training, "ranker-training")
-    names = [f"p_{s}" for s in range(params.splits)]
+    def of_split(s: int):
+        return fit(rows.where(~F.array_contains("held_out", s)).select("features", "label"), params)
+
+    with ThreadPoolExecutor(params.parallel) as pool:
+        models = list(pool.map(of_split, range(params.splits)))
     scored = rows
-    for s, name in enumerate(names):
-        model = fit(rows.where(~F.array_contains("held_out", s)), params)
-        scored = _probability(model, scored, name)
-    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    return stage(scored.withColumn("learned", total / params.splits), "ranker-scores")
+    for s, model in enumerate(models):
+        made = ("rawPrediction", "probability", "prediction")
+        scored = model.transform(scored).withColumn(f"p_{s}", vector_to_array("probability")[1]).drop(*made)
+    total = sum((F.col(f"p_{s}") for s in range(1, params.splits)), F.col("p_0"))
+    return stage(scored.drop("features").withColumn("learned", total / params.splits), "ranker-scores")
 
 
 def precision_at(scored: DataFrame, rankers: dict[str, Column], ks=PRECISION_DEPTHS) -> DataFrame:
@@ -272,7 +276,7 @@ def permutation_importance(model, rows: DataFrame, repeats: int = 3, top: int =
     metric = BinaryClassificationEvaluator(
         metricName="areaUnderPR", rawPredictionCol="rawPrediction", labelCol="label", numBins=0
     )
-    base = metric.evaluate(model.transform(_encoded(placed)))
+    base = metric.evaluate(model.transform(encoded(placed)))
     drops = {f: 0.0 for f in FEATURES}
     for r in range(repeats):
         shift = 1 + (n * (r + 1)) // (repeats + 1)
@@ -283,6 +287,6 @@ def permutation_importance(model, rows: DataFrame, repeats: int = 3, top: int =
         paired = stage(placed.join(donors, "place"), "importance-pairs")
         for f in FEATURES:
             mixed = paired.withColumn(f, F.col(f"d_{f}"))
-            drops[f] += (base - metric.evaluate(model.transform(_encoded(mixed)))) / repeats
+            drops[f] += (base - metric.evaluate(model.transform(encoded(mixed)))) / repeats
     ranked = sorted(drops.items(), key=lambda x: (-x[1], x[0]))[:top]
     return spark.createDataFrame(ranked, "feature string, importance double")

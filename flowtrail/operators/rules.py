@@ -71,7 +71,6 @@ def rule_flags(transfers: DataFrame, limits: RuleLimits = RuleLimits()) -> DataF
         flagged_slots,
         ("_slot", "slot"),
         {"high_daily_volume": "high_daily_volume", "high_frequency": "high_frequency"},
-        weight="rows",
     )
     return marked.drop("_slot").fillna(False, ["high_daily_volume", "high_frequency"])
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtrail.functions.skew import attach
-from flowtrail.session import stage
+from flowtrail.session import release, stage
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
@@ -14,7 +13,9 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFram
 
     Seeds that are not in the graph are left out, as an induced subgraph would.
     """
-    seen = seeds.select("node").distinct()
+    ends = edges.select(F.explode(F.array("from_node", "to_node")).alias("node"))
+    # Only seeds can be outside the graph; they are few, the ends are not.
+    seen = seeds.select("node").distinct().join(ends, "node", "left_semi")
     frontier = seen
     for hop in range(hops):
         out = edges.join(frontier, F.col("from_node") == F.col("node"), "left_semi").select(
@@ -27,8 +28,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFram
         if hop < hops - 1:
             frontier = stage(frontier, "frontier")
         seen = seen.unionByName(frontier)
-    present = edges.select(F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
-    return seen.join(present, "node", "left_semi")
+    return seen
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -38,60 +38,42 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _large_star(links: DataFrame, total: int) -> DataFrame:
-    both = links.unionByName(links.select(F.col("parent").alias("child"), F.col("child").alias("parent")))
-    both = both.select(F.col("child").alias("u"), F.col("parent").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("rows"))
-    told = attach(both, least, ("u", "u"), {"least": "least"}, weight="rows", total=2 * total)
-    return (
-        told.where(F.col("v") > F.col("u"))
-        .select(F.col("v").alias("child"), F.least("u", "least").alias("parent"))
-        .distinct()
-    )
-
-
-def _small_star(links: DataFrame, total: int) -> DataFrame:
-    least = links.groupBy("child").agg(F.min("parent").alias("least"), F.count("*").alias("rows"))
-    told = attach(links, least, ("child", "child"), {"least": "least"}, weight="rows", total=total)
-    moved = told.where(F.col("parent") > F.col("least")).select(F.col("parent").alias("child"), F.col("least").alias("parent"))
-    return moved.unionByName(least.select("child", F.col("least").alias("parent"))).distinct()
+def _star(links: DataFrame) -> DataFrame:
+    """Each account's neighbours, itself left out, beside the smallest account it knows."""
+    least = links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"))
+    return links.join(least, "u")
 
 
-def _unsettled(links: DataFrame) -> tuple[int, int]:
-    """Rows, and accounts that still have two parents or are both parent and child."""
-    role = links.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("child").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
-                F.struct(F.col("parent").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")),
-            )
-        ).alias("r")
-    ).select("r.*")
-    per_node = role.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    row = per_node.agg(
-        F.coalesce(F.sum("up"), F.lit(0)).alias("rows"),
-        F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).alias("open"),
-    ).head()
-    return row["rows"], row["open"]
-
-
-def weak_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def weak_components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, component`` with the smallest account id as the component's name.
 
-    Alternating large-star and small-star contraction (Kiveris et al., SoCC 2014). Every
-    half-round ends in a written table; hubs, which contraction creates by design, are
-    heavy keys of the minimum lookup.
+    Alternating large-star and small-star contraction (Kiveris et al., SoCC 2014) over
+    account pairs in either direction or both. The minimum per account is a partial
+    aggregate and the join with it is many to one between two plain exchanges, so the hubs
+    that contraction creates are split by AQE. A round writes one table and deletes the one
+    before; the links' count and checksum, read from that table, tell when nothing moves.
     """
     links = stage(
-        edges.where(F.col("from_node") != F.col("to_node"))
-        .select(F.greatest("from_node", "to_node").alias("child"), F.least("from_node", "to_node").alias("parent"))
+        pairs.where(F.col("from_node") != F.col("to_node"))
+        .select(F.greatest("from_node", "to_node").alias("u"), F.least("from_node", "to_node").alias("v"))
         .distinct(),
         "links",
     )
-    total, unsettled = _unsettled(links)
-    while unsettled:
-        links = stage(_small_star(stage(_large_star(links, total), "large-star"), total), "links")
-        total, unsettled = _unsettled(links)
-    return nodes.select("node").join(links, F.col("node") == F.col("child"), "left").select(
-        "node", F.coalesce("parent", "node").alias("component")
+    mark = None
+    while True:
+        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
+        if now[0] == 0 or now == mark:
+            break
+        mark, old = now, links
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _star(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        small = _star(large).select(
+            F.explode(
+                F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))
+            ).alias("l")
+        )
+        links = stage(small.select("l.*").where("u != v").distinct(), "links")
+        release(old)
+    return nodes.select("node").join(links, F.col("node") == F.col("u"), "left").select(
+        "node", F.coalesce("v", "node").alias("component")
     )

@@ -30,7 +30,7 @@ class CaseBook:
     @cached_property
     def internal(self) -> DataFrame:
         return stage(
-            cases.internal_transfers(self.selected, self.run.search, self.top_k, self.run.edges), "internal"
+            cases.internal_transfers(self.selected, self.run.search, self.run.edges), "internal"
         )
 
     @cached_property
@@ -85,7 +85,7 @@ class Evaluation:
 
     def graph_stats(self, transfers: DataFrame) -> DataFrame:
         nodes = graph.node_table(transfers)
-        components = traversal.weak_components(graph.edge_table(transfers), nodes)
+        components = traversal.weak_components(transfers, nodes)
         return graph.graph_stats(transfers, components)
 
 

@@ -22,7 +22,7 @@ from flowtrail.session import scratch_path, stage
 from flowtrail.sources import ring_log, tables, transfer_csv
 from flowtrail.sources.commerce import derive_transfers
 
-RANKER = ranker.RankerParams(splits=8, iterations=10)
+RANKER = ranker.RankerParams()
 
 
 @dataclass
@@ -299,7 +299,7 @@ def pass_through_pairing(x: Lab) -> DataFrame:
 @query("""SELECT m.ring_id, count(*) AS transfers, round(CAST(sum(amt) AS DOUBLE), 2) AS amount FROM slice s
     JOIN member m ON s.f = m.account JOIN member n ON n.ring_id = m.ring_id AND s.t = n.account GROUP BY m.ring_id""")
 def ring_internal_transfers_all(x: Lab) -> DataFrame:
-    inside = cases.internal_transfers(x.run.rings, x.run.search, None, x.run.edges)
+    inside = cases.internal_transfers(x.run.rings, x.run.search, x.run.edges)
     return inside.groupBy("ring_id").agg(
         F.count("*").alias("transfers"), F.round(money_sum("amount_paid"), 2).alias("amount")
     )
@@ -438,7 +438,7 @@ _COMPONENTS = """WITH tied AS (SELECT f AS a, t AS b FROM transfers WHERE f <> t
 @query(_COMPONENTS + "SELECT node, component FROM cc")
 def weak_components(x: Lab) -> DataFrame:
     nodes = graph.node_table(x.transfers)
-    return traversal.weak_components(graph.edge_table(x.transfers), nodes)
+    return traversal.weak_components(x.transfers, nodes)
 
 
 @query(_COMPONENTS + """SELECT (SELECT count(*) FROM verts) AS nodes,
@@ -775,7 +775,8 @@ def learned_queue_order(x: Lab) -> DataFrame:
 def feature_importance(x: Lab) -> DataFrame:
     first = x.training.where(~F.array_contains("held_out", 0))
     tests = x.training.where(F.array_contains("held_out", 0))
-    return ranker.permutation_importance(ranker.fit(first, RANKER), tests, repeats=3)
+    model = ranker.fit(ranker.encoded(first).select("features", "label"), RANKER)
+    return ranker.permutation_importance(model, tests, repeats=3)
 
 
 # --- case views --------------------------------------------------------------------------

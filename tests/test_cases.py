@@ -15,7 +15,7 @@ def setup_case(spark, transfers):
     rings = spark.createDataFrame(
         [(1, ["A", "B", "C"], ["fan_in"], 0.5, 3), (2, ["D", "E"], ["cycle"], 0.4, 2), (3, ["A"], ["velocity_burst"], 0.1, 1)], RINGS
     )
-    return df, rings, stage(cases.internal_transfers(rings, df, 3), "internal")
+    return df, rings, stage(cases.internal_transfers(rings, df, edges_of(df)), "internal")
 
 
 def edges_of(df):
@@ -23,10 +23,12 @@ def edges_of(df):
     return run.edges
 
 
-def test_both_internal_joins_agree(spark, transfers):
-    df, rings, small = setup_case(spark, transfers)
-    large = cases.internal_transfers(rings, df, None, edges_of(df))
-    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect())) and small.count() == 5
+def test_internal_transfers_are_those_with_both_ends_in_the_ring(spark, transfers):
+    df, rings, internal = setup_case(spark, transfers)
+    members = {r.ring_id: set(r.accounts) for r in rings.collect()}
+    want = [(i, r.from_node, r.to_node, r.amount_paid) for i, m in members.items() for r in df.collect() if {r.from_node, r.to_node} <= m]
+    got = [(r.ring_id, r.from_node, r.to_node, r.amount_paid) for r in internal.collect()]
+    assert sorted(got) == sorted(want) and len(got) == 5
 
 
 def test_investigation_statuses_and_contents(spark, transfers):
@@ -69,7 +71,7 @@ def test_shape_timeline_and_cards(spark, transfers):
 def test_traced_totals_count_a_shared_transfer_per_ring(spark, transfers):
     df = transfers([("A", "B", 10, 0)])
     rings = spark.createDataFrame([(1, ["A", "B"], [], 1.0, 2), (2, ["A", "B", "C"], [], 1.0, 3)], RINGS)
-    totals = cases.traced_totals(cases.internal_transfers(rings, df, 2))
+    totals = cases.traced_totals(cases.internal_transfers(rings, df, edges_of(df)))
     assert cases.dominant_currency(totals).head().amount == 20
 
 

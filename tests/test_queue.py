@@ -69,18 +69,28 @@ def test_global_rank_equals_row_number_with_ties(spark):
     assert key(got) == key(want)
 
 
-@pytest.mark.parametrize("weighted", [True, False])
-def test_attach_with_heavy_key_equals_plain_join(spark, monkeypatch, weighted):
-    monkeypatch.setattr(skew, "LIGHT_ROWS", 50)
+@pytest.mark.parametrize("present", [True, False])
+def test_attach_spreads_a_heavy_key(spark, monkeypatch, present):
+    """Four fifths of the rows on one key, in the lookup or not: values of a plain join, even partitions."""
+    monkeypatch.setattr(skew, "LIGHT_ROWS", 500)
     monkeypatch.setattr(skew, "MAX_HEAVY_KEYS", 10)
-    df = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 700).alias("k"), F.col("id").alias("v")
-    )
-    lookup = df.where("k % 5 <> 1").groupBy("k").agg(F.count("*").alias("n"), (F.max("v") * 2).alias("x"))
-    assert skew.heavy_keys(lookup, "n").count() == 1
-    got = skew.attach(df, lookup, ("k", "k"), {"x": "x"}, weight="n" if weighted else None)
-    want = df.join(lookup.select("k", "x"), "k", "left").select("k", "v", "x")
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    key = F.when(F.col("id") % 5 != 0, F.lit(-1)).when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.col("id") % 1700)
+    df = spark.range(20_000, numPartitions=16).select(key.alias("k"), F.col("id").alias("v"))
+    lookup = spark.range(-1 if present else 0, 1200).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
+    old = {c: spark.conf.get(c, None) for c in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = skew.attach(df, lookup, ("k", "k"), {"x": "x"})
+        sizes = got.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        want = df.join(lookup, "k", "left").select("k", "v", "x")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        for c, value in old.items():
+            spark.conf.unset(c) if value is None else spark.conf.set(c, value)
+    assert sizes.max() <= 20_000 / 16
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "SortMergeJoin" in plan
 
 
 def test_drop_heavy_only_removes_heavy_keys(spark, monkeypatch):
