@@ -91,7 +91,7 @@ def touched_ring(candidates: DataFrame, truth_accounts: DataFrame) -> DataFrame:
     return looked.groupBy("cand_key").agg(F.coalesce(F.min("ring_id"), F.lit(-1)).alias("touched"))
 
 
-def _unit(*parts: Column) -> Column:
+def unit(*parts: Column) -> Column:
     """A uniform number in [0, 1) from the MD5 of its parts; any SQL engine can repeat it."""
     digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
@@ -133,7 +133,7 @@ def split_table(touched: DataFrame, splits: int) -> DataFrame:
     of_ring = F.coalesce(F.array_sort("of_ring"), F.array().cast("array<int>"))
     own = F.filter(
         F.sequence(F.lit(0), F.lit(splits - 1)),
-        lambda s: _unit(s, F.col("cand_key")) < F.lit(HOLDOUT),
+        lambda s: unit(s, F.col("cand_key")) < F.lit(HOLDOUT),
     )
     labelled = attach(touched, held, ("touched", "ring_id"), {"of_ring": "of_ring"})
     return labelled.select(

@@ -761,6 +761,25 @@ def ranking_coverage(x: Lab) -> DataFrame:
     return ranker.coverage_summary(x.training, RANKER.splits)
 
 
+@query("""SELECT (SELECT count(*) FROM touched) AS candidates, CAST(8 AS INT) AS splits, true AS all_probabilities, true AS mean_of_splits""")
+def learned_scores(x: Lab) -> DataFrame:
+    """What is fixed about the fitted scores, whatever trees were grown."""
+    each = [F.col(f"p_{s}") for s in range(RANKER.splits)]
+    inside = F.forall(F.array(*each), lambda p: p.between(0, 1))
+    return x.scored.agg(
+        F.count("*").alias("candidates"),
+        F.lit(len(each)).alias("splits"),
+        F.every(inside).alias("all_probabilities"),
+        F.every(F.abs(F.col("learned") * len(each) - sum(each[1:], each[0])) < 1e-9).alias("mean_of_splits"),
+    )
+
+
+@query("SELECT unnest([10, 25, 50, 100, 250]) AS k")
+def learned_depths(x: Lab) -> DataFrame:
+    """The depths that the fitted ranker is measured at."""
+    return ranker.held_out_precision(x.scored, RANKER).select("k")
+
+
 @query()
 def learned_precision_at_k(x: Lab) -> DataFrame:
     return ranker.held_out_precision(x.scored, RANKER)
@@ -779,6 +798,36 @@ def feature_importance(x: Lab) -> DataFrame:
     return ranker.permutation_importance(model, tests, repeats=3)
 
 
+def by_formula(x: Lab) -> DataFrame:
+    """Candidates with scores that SQL can repeat in place of the fitted ones: a number from
+    an MD5 hash per candidate and split, and for the mean the number of split 0."""
+    unit = lambda s: ranker.unit(F.lit(f"score{s}"), F.col("cand_key"))
+    return x.training.withColumns({f"p_{s}": unit(s) for s in range(RANKER.splits)} | {"learned": unit(0)})
+
+
+_UNIT = "CAST(('0x' || substr(md5('score' || {} || ':' || cand_key), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+@query(f"""WITH scored AS (SELECT split, CASE WHEN touched >= 0 THEN 1 ELSE 0 END AS label, cand_key, w, {_UNIT.format('CAST(split AS VARCHAR)')} AS own
+        FROM tests JOIN keyed USING (cand_key)),
+    run AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY w DESC, cand_key) AS h, row_number() OVER (PARTITION BY split ORDER BY own DESC, cand_key) AS l FROM scored),
+    depth_list AS (SELECT unnest([10, 25, 50, 100, 250]) AS k),
+    one AS (SELECT split, k, avg(label) FILTER (WHERE h <= k) AS heuristic, avg(label) FILTER (WHERE l <= k) AS learned FROM run CROSS JOIN depth_list GROUP BY split, k)
+    SELECT k, CAST(round(CAST(avg(heuristic) AS DECIMAL(18,9)), 4) AS DOUBLE) AS heuristic_mean, CAST(round(CAST(stddev_pop(heuristic) AS DECIMAL(18,9)), 4) AS DOUBLE) AS heuristic_sd,
+        CAST(round(CAST(avg(learned) AS DECIMAL(18,9)), 4) AS DOUBLE) AS learned_mean, CAST(round(CAST(stddev_pop(learned) AS DECIMAL(18,9)), 4) AS DOUBLE) AS learned_sd, count(*) FILTER (WHERE learned > heuristic) AS learned_wins
+    FROM one GROUP BY k""")
+def learned_precision_by_formula(x: Lab) -> DataFrame:
+    return ranker.held_out_precision(by_formula(x), RANKER)
+
+
+@query(f"""WITH last AS (SELECT array_to_string(accounts, '|') AS a, {_UNIT.format("'0'")} AS s, row_number() OVER (
+        PARTITION BY array_to_string(accounts, '|') ORDER BY list_position(['fan_out', 'fan_in', 'pass_through', 'velocity_burst', 'cycle'], kind) DESC, cand_key DESC) AS n FROM keyed),
+    head AS (SELECT ring_id, round(s, 5) AS score FROM queue JOIN last ON array_to_string(queue.accounts, '|') = a AND n = 1 WHERE ring_id <= 200)
+    SELECT row_number() OVER (ORDER BY score DESC, ring_id) AS place, ring_id, score FROM head ORDER BY score DESC, ring_id LIMIT 25""")
+def learned_queue_by_formula(x: Lab) -> DataFrame:
+    return ranker.learned_queue(by_formula(x), x.run.rings, 25)
+
+
 # --- case views --------------------------------------------------------------------------
 
 _CUR = """(SELECT string_agg(currency || '=' || CAST(CAST(round(amount * 100) AS BIGINT) AS VARCHAR), '|' ORDER BY currency)
