@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 LONGEST_UNIT = 64
-CHUNK_DOCS = 16_384
+CHUNK_DOCS = 8_192
+#: Partitions of distinct units for each chunk of documents.
+UNIT_PARTS = 6
 #: A piece of the model's n-th rank has the log-probability -ln(n + SHIFT), up to a constant.
 SHIFT = 10
 FALLBACK = -30.0
@@ -236,36 +238,57 @@ def encoded_units(units: DataFrame, pieces: DataFrame, longest: int, byte_ids: l
     )
 
 
-def applier(model: Model):
+class Speller:
+    """Texts of piece ids: bytes of all pieces in one array, taken by place and length."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+        self.length = np.array([len(p) for p in pieces], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def text(self, ids: np.ndarray) -> str:
+        """The bytes of the ids, without the blank in front."""
+        n = self.length[ids]
+        ends = np.cumsum(n)
+        at = np.repeat(self.start[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[at].tobytes()[1:].decode("utf-8", "replace")
+
+
+def applier(model: Model, columns: list[str]):
     """Encodes the texts of a chunk with the encodings of its units, and decodes them again."""
     pieces = model.bytes_of
 
-    def apply(packed: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
+    def apply(packed: pa.Table, units: pa.Table) -> pa.Table:
+        speller = Speller(pieces)
         known = {INNER: b""}
-        known.update(zip(units["name"], (np.asarray(x, np.int32).tobytes() for x in units["ids"])))
+        for batch in units.to_batches():
+            ids = batch["ids"]
+            ends = (ids.offsets.to_numpy() * 4).tolist()
+            data = ids.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
+            known.update(zip(batch["name"].to_pylist(), (data[i:j] for i, j in zip(ends, ends[1:]))))
         out = []
-        for data in packed["packed"]:
+        for data in packed["packed"].to_pylist():
             table = unpacked(data)
-            ids, exact = [], []
+            found, exact = [], []
             for text in table["text"].to_pylist():
-                if text is None:
-                    ids.append(None), exact.append(None)
-                    continue
-                found = np.frombuffer(b"".join(map(known.__getitem__, names(text))), np.int32)
-                ids.append(found)
-                exact.append(decoded(found, pieces) == text)
-            rest = table.drop_columns(["text"]).to_pandas(integer_object_nulls=True)
-            out.append(rest.assign(ids=ids, exact=exact))
-        return pd.concat(out) if out else pd.DataFrame()
+                ids = None if text is None else b"".join(map(known.__getitem__, names(text)))
+                found.append(ids)
+                exact.append(None if ids is None else speller.text(np.frombuffer(ids, np.int32)) == text)
+            lengths = np.array([len(x or b"") // 4 for x in found])
+            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32(), mask=np.array([x is None for x in found] + [False]))
+            values = pa.array(np.frombuffer(b"".join(x or b"" for x in found), np.int32))
+            out.append(
+                table.select(columns)
+                .append_column("ids", pa.ListArray.from_arrays(ends, values))
+                .append_column("exact", pa.array(exact, pa.bool_()))
+            )
+        if out:
+            return pa.concat_tables(out)
+        return pa.table({c: pa.array([]) for c in [*columns, "ids", "exact"]})
 
     return apply
 
 
-def decoded(ids, pieces: list[bytes]) -> str:
-    """The text of a sequence of ids: their bytes, without the blank in front."""
-    return b"".join(map(pieces.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
-
-
 def encode(docs: DataFrame, model: Model, chunk_docs: int = CHUNK_DOCS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Encodes the texts of ``docs`` (doc_id, text): doc_id, ``keep``, ids, n_pieces, exact.
 
@@ -278,14 +301,15 @@ def encode(docs: DataFrame, model: Model, chunk_docs: int = CHUNK_DOCS, keep: tu
     rows = docs.select("doc_id", *keep, "text")
     n_chunks = max(1, -(-docs.count() // chunk_docs))
     packed = rows.mapInArrow(packer(n_chunks), "chunk int, packed binary").repartition("chunk")
-    units = packed.mapInArrow(lister, "name string, chunk int")
+    # Each chunk lists a unit once, so nothing is gained by summing up before this shuffle.
+    units = packed.mapInArrow(lister, "name string, chunk int").repartition(max(UNIT_PARTS * n_chunks, 8), "name")
     units = units.groupBy("name").agg(F.collect_set("chunk").alias("chunks"))
     ids = encoded_units(units, model.table(spark), model.longest, model.byte_ids)
     by_chunk = ids.select(F.explode("chunks").alias("unit_chunk"), "name", "ids")
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name != "text")
     out = (
         packed.groupBy("chunk").cogroup(by_chunk.groupBy("unit_chunk"))
-        .applyInPandas(applier(model), f"{kept}ids array<int>, exact boolean")
+        .applyInArrow(applier(model, ["doc_id", *keep]), f"{kept}ids array<int>, exact boolean")
     )
     return out.withColumn("n_pieces", F.coalesce(F.size("ids"), F.lit(0)).cast("long"))
 
@@ -297,7 +321,8 @@ def decode(rows: DataFrame, model: Model) -> DataFrame:
     pieces = model.bytes_of
 
     def run(batches):
+        speller = Speller(pieces)
         for batch in batches:
-            yield batch.assign(text=[None if x is None else decoded(x, pieces) for x in batch["ids"].tolist()])
+            yield batch.assign(text=[None if x is None else speller.text(np.asarray(x, np.int64)) for x in batch["ids"].tolist()])
 
     return rows.mapInPandas(run, f"{kept}text string")

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from tests.llm.helpers import WORD, odd_rows, prose, row
 
@@ -62,7 +63,7 @@ def test_stages_take_effect_and_run_is_all_of_them(spark, folder):
     assert all(r.text == whole[r.doc_id] or " ".join(WORD.findall(r.text)) in " ".join(WORD.findall(whole[r.doc_id])) for r in mix)
     assert max(sum(r.doc_id == i for r in mix) for i in {r.doc_id for r in mix}) <= 3
     # Encoding keeps every row.
-    model = pieces.Model.read()
-    assert sorted(pieces.decoded(__import__("numpy").array(r.ids), model.bytes_of) for r in ids) == sorted(r.text for r in mix)
+    speller = pieces.Speller(pieces.Model.read().bytes_of)
+    assert sorted(speller.text(np.array(r.ids)) for r in ids) == sorted(r.text for r in mix)
     final = corpus_pipeline.run(spark, folder)
     assert sorted(map(str, final.collect())) == sorted(map(str, ids))
