@@ -6,13 +6,19 @@ from flowtrail.operators import compare, graph, labels, ranker, rules, scoring
 
 @pytest.fixture
 def toy(transfers):
-    one, two = {"ring": 1, "bad": 1, "type": "FAN-OUT"}, {"ring": 2, "bad": 1, "type": "CYCLE"}
+    """A loop of four, a pair of transfers into one account and a single transfer, beside
+    laundering in no ring, clean payments and a self-payment."""
+    loop, into, single = ({"ring": i, "bad": 1, "type": t} for i, t in ((7, "CYCLE"), (8, "GATHER-SCATTER"), (9, "STACK")))
     return transfers(
-        [("A", "M1", 10, 0, one), ("A", "M2", 10, 1, one), ("A", "M3", 10, 2, one), ("X", "Y", 5, 0, two),
-         ("C", "D", 7, 0, {"bad": 1}), ("N1", "N2", 3, 0), ("N2", "N3", 3, 1), ("S", "S", 9, 0)]
+        [("k1", "k2", 40, 0, loop), ("k2", "k3", 38, 3, loop), ("k3", "k4", 35, 7, loop), ("k4", "k1", 33, 20, loop),
+         ("u1", "v", 12, 1, into), ("u2", "v", 14, 2, into), ("f", "g", 90, 4, single),
+         ("e1", "e2", 6, 5, {"bad": 1}), ("h1", "h2", 2, 0), ("h1", "h3", 2, 9), ("w", "w", 8, 1)]
     )
 
 
+LOOP, INTO, SINGLE = ["k1", "k2", "k3", "k4"], ["u1", "u2", "v"], ["f", "g"]
+
+
 def predict(spark, *rings):
     return spark.createDataFrame([(i + 1, a) for i, r in enumerate(rings) for a in r], "ring_id bigint, account string")
 
@@ -27,52 +33,53 @@ def metrics(spark, toy, *rings):
 
 def test_truth_partitions(toy):
     truth = {r.ring_id: (r.transactions, r.bucket) for r in scoring.ring_truth(toy).collect()}
-    assert truth == {1: (3, "detectable"), 2: (1, "single_txn")}
+    assert {i: n for i, (n, _) in truth.items()} == {7: 4, 8: 2, 9: 1}
+    assert truth[7][1] == "detectable" and truth[9][1] == "single_txn" and len({b for _, b in truth.values()}) == 3
     flags = {r.account: r.excused for r in scoring.account_truth(toy).collect()}
-    assert {a for a, e in flags.items() if e} == {"C", "D"}
+    assert {a for a, e in flags.items() if e} == {"e1", "e2"}
 
 
 def test_oracle_excused_and_innocent(spark, toy):
-    acc, per = metrics(spark, toy, ["A", "M1", "M2", "M3"], ["X", "Y"])
+    acc, per = metrics(spark, toy, LOOP, INTO, SINGLE)
     assert acc.recall == 1 and acc.precision_strict == 1 and all(r.detected for r in per.values())
-    acc, _ = metrics(spark, toy, ["A", "M1", "M2", "M3", "C"])
-    assert acc.precision_strict == pytest.approx(4 / 5) and acc.precision_lenient == 1
-    acc, _ = metrics(spark, toy, ["A", "M1", "M2", "M3", "N1"])
-    assert acc.precision_lenient == pytest.approx(4 / 5)
+    acc, _ = metrics(spark, toy, INTO, ["e2"])
+    assert acc.precision_strict == pytest.approx(3 / 4) and acc.precision_lenient == 1
+    acc, _ = metrics(spark, toy, [*INTO, "h1", "w"])
+    assert acc.precision_lenient == pytest.approx(3 / 5) and acc.recall == pytest.approx(3 / 9)
 
 
 def test_coverage_and_no_credit_for_splitting(spark, toy):
-    _, per = metrics(spark, toy, ["A", "M1"])
-    assert per[1].detected and per[1].coverage == 0.5 and per[2].coverage == 0
-    _, per = metrics(spark, toy, ["M1"])
-    assert not per[1].detected
-    acc, per = metrics(spark, toy, ["A"], ["M1"], ["M2"], ["M3"])
-    assert acc.recall == pytest.approx(4 / 6) and not per[1].detected
+    _, per = metrics(spark, toy, ["k1", "k3"])
+    assert per[7].detected and per[7].coverage == 0.5 and per[8].coverage == per[9].coverage == 0
+    _, per = metrics(spark, toy, ["k4"], ["v"])
+    assert not per[7].detected and not per[8].detected and per[8].coverage == pytest.approx(1 / 3)
+    acc, per = metrics(spark, toy, *[[a] for a in LOOP])
+    assert acc.recall == pytest.approx(4 / 9) and not per[7].detected
 
 
 def test_shapes_keep_the_best_jaccard(spark, toy):
-    _, per = metrics(spark, toy, ["A", "M1", "q1", "q2", "q3"], ["A", "M1", "q9"], ["M1", "q1"])
-    assert per[1].jaccard == pytest.approx(2 / 5) and per[1].coverage == 0.5
+    _, per = metrics(spark, toy, ["u1", "v", "z1", "z2"], ["u1", "v", "z3"], ["u2", "z1"])
+    assert per[8].jaccard == pytest.approx(2 / 4) and per[8].coverage == pytest.approx(2 / 3)
 
 
 def test_no_predictions_and_no_labels(spark, toy, transfers):
     acc, per = metrics(spark, toy)
     assert (acc.flagged, acc.recall, acc.precision_strict, acc.f1_strict) == (0, 0, 0, 0)
-    clean = transfers([("A", "B", 1, 0)])
-    report = {r.metric: r.value for r in scoring.score_report(predict(spark, ["A"]), clean).where("section <> 'by_bucket'").collect()}
+    clean = transfers([("h1", "h2", 1, 0)])
+    report = {r.metric: r.value for r in scoring.score_report(predict(spark, ["h1"]), clean).where("section <> 'by_bucket'").collect()}
     assert report["all_total"] == 0 and report["detectable_recall"] == 0
 
 
 def test_calibration(toy):
     rows = {r.baseline: r for r in scoring.calibration(toy, graph.node_table(toy)).collect()}
-    assert rows["oracle"].recall == rows["oracle"].precision_strict == 1 and rows["oracle"].detected_of_all == 2
+    assert rows["oracle"].recall == rows["oracle"].precision_strict == 1 and rows["oracle"].detected_of_all == 3
     assert rows["flag_all"].recall == 1 and rows["flag_none"].flagged == 0
 
 
 def test_depth_table_equals_scoring_each_head(spark, toy):
-    rings = [["N1", "N2"], ["A", "M1"], ["X", "Y", "C"]]
-    table = {r.k: r for r in scoring.depth_table(predict(spark, *rings), toy, (1, 2, 3)).collect()}
-    for k in (1, 2, 3):
+    rings = [["h2", "h3"], ["k1", "k2", "k3"], [*SINGLE, "e1"], ["u1"]]
+    table = {r.k: r for r in scoring.depth_table(predict(spark, *rings), toy, (1, 2, 3, 4)).collect()}
+    for k in (1, 2, 3, 4):
         acc, per = metrics(spark, toy, *rings[:k])
         assert table[k].precision == acc.precision_strict and table[k].recall == acc.recall
         assert table[k].rings_hit == sum(r.detected and r.bucket == "detectable" for r in per.values())
@@ -125,3 +132,24 @@ def test_held_out_rings_are_whole_and_exactly_thirty_percent(spark):
         test = table.where(F.array_contains("held_out", split) & (F.col("touched") >= 0)).select("touched").distinct().count()
         train = table.where(~F.array_contains("held_out", split) & (F.col("touched") >= 0)).select("touched").distinct().count()
         assert test == 6 and train == 14
+
+
+def test_ranker_learns_a_separable_toy_and_scores_every_candidate(spark):
+    params = ranker.RankerParams(splits=2, iterations=5, parallel=2)
+    number = F.col("id").cast("double")
+    rows = spark.range(120).select(
+        F.col("id").cast("string").alias("cand_key"),
+        *[(number if f == "score" else F.lit(None).cast("double") if f in ranker.OPTIONAL else F.lit(1.0)).alias(f) for f in ranker.FEATURES],
+        (F.col("id") >= 80).cast("double").alias("label"),
+        F.when(F.col("id") % 3 == 0, F.array(F.lit(0))).when(F.col("id") % 3 == 1, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("held_out"),
+        number.alias("heuristic"),
+    )
+    scored = ranker.train_and_score(rows, params)
+    got = scored.collect()
+    assert len(got) == 120 and all(0 <= p <= 1 for r in got for p in (r.p_0, r.p_1)) and "features" not in scored.columns
+    assert min(r.learned for r in got if r.label) > max(r.learned for r in got if not r.label)
+    table = {r.k: r for r in ranker.held_out_precision(scored, params, (5, 10)).collect()}
+    assert table[5].learned_mean == table[10].learned_mean == 1 and table[10].learned_wins == 0
+    model = ranker.fit(ranker.encoded(rows).select("features", "label"), params)
+    best = ranker.permutation_importance(model, rows, repeats=1, top=2).collect()
+    assert best[0].feature == "score" and best[0].importance > 0.1 and best[1].importance == 0
