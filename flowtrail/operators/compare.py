@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowtrail.functions.columns import beside, ratio_or_zero
 from flowtrail.functions.skew import attach
 from flowtrail.params import COMPARISON_DEPTHS
+from flowtrail.session import stage
 
 
 def measure(flagged: Column, caught: Column, truth: Column, total: Column) -> list[Column]:
@@ -42,7 +43,7 @@ def pair_depth(labels: DataFrame, rings: DataFrame) -> DataFrame:
 
     The two accounts may come from different rings. NULL when either is in no ring.
     """
-    ranks = best_rank(rings)
+    ranks = stage(best_rank(rings), "best-rank")
     one = attach(labels, ranks, ("from_node", "account"), {"best_rank": "from_rank"})
     both = attach(one, ranks, ("to_node", "account"), {"best_rank": "to_rank"})
     known = F.col("from_rank").isNotNull() & F.col("to_rank").isNotNull()
@@ -51,6 +52,11 @@ def pair_depth(labels: DataFrame, rings: DataFrame) -> DataFrame:
     )
 
 
+def depth_histogram(depths: DataFrame) -> DataFrame:
+    """Transfers and laundering transfers per queue depth; at most a row per ring."""
+    return depths.groupBy("depth").agg(F.sum("rows").alias("rows"), F.sum("bad").alias("bad"))
+
+
 def queue_counts(depths: DataFrame, at: tuple[int, ...] = COMPARISON_DEPTHS) -> DataFrame:
     """Flagged and caught transfers at every depth, from one pass."""
 

@@ -75,9 +75,14 @@ class Evaluation:
         labels = stage(compare.pair_labels(self.run.transfers), "pair-labels")
         return compare.pair_depth(labels, self.run.rings)
 
+    @cached_property
+    def depth_histogram(self) -> DataFrame:
+        """What every depth, the full queue, the summary and the deltas are read from."""
+        return stage(compare.depth_histogram(self.depths), "depth-histogram")
+
     @cached_property
     def comparison(self) -> DataFrame:
-        return compare.compare(self.depths, self.rule_totals, self.run.rings)
+        return compare.compare(self.depth_histogram, self.rule_totals, self.run.rings)
 
     @cached_property
     def predicted(self) -> DataFrame:
@@ -98,7 +103,30 @@ def training(run: Detection, splits: int) -> DataFrame:
     return ranker.training_table(ranking_candidates(run), scoring.ring_accounts(run.transfers), splits)
 
 
-def bundle_sections(book: CaseBook, evaluation: Evaluation) -> dict[str, DataFrame]:
+@dataclass
+class Ranking:
+    """The learned order of a run's candidates."""
+
+    run: Detection
+    params: ranker.RankerParams = ranker.RankerParams()
+
+    @cached_property
+    def training(self) -> DataFrame:
+        return stage(training(self.run, self.params.splits), "training")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return ranker.train_and_score(self.training, self.params)
+
+    def sections(self, top_k: int) -> dict[str, DataFrame]:
+        return {
+            "ranking": ranker.learned_queue(self.scored, self.run.rings, top_k),
+            "ranking_metrics": ranker.held_out_precision(self.scored, self.params),
+            "ranking_coverage": ranker.coverage_summary(self.training, self.params.splits),
+        }
+
+
+def bundle_sections(book: CaseBook, evaluation: Evaluation, ranking: Ranking) -> dict[str, DataFrame]:
     """The findings, one table per section."""
     totals = cases.scan_totals(book.selected, book.run.rings)
     return {
@@ -117,11 +145,9 @@ def bundle_sections(book: CaseBook, evaluation: Evaluation) -> dict[str, DataFra
         ),
         "detail": book.investigation,
         "roles": book.roles,
+        **ranking.sections(book.top_k),
     }
 
 
-def export(book: CaseBook, evaluation: Evaluation, folder: str, learned: DataFrame | None = None) -> None:
-    sections = bundle_sections(book, evaluation)
-    if learned is not None:
-        sections["ranking"] = learned
-    write_bundle(sections, folder)
+def export(book: CaseBook, evaluation: Evaluation, ranking: Ranking, folder: str) -> None:
+    write_bundle(bundle_sections(book, evaluation, ranking), folder)

@@ -59,12 +59,16 @@ class Lab:
         )
 
     @cached_property
+    def ranking(self) -> evaluate.Ranking:
+        return evaluate.Ranking(self.run, RANKER)
+
+    @property
     def training(self) -> DataFrame:
-        return stage(evaluate.training(self.run, RANKER.splits), "training")
+        return self.ranking.training
 
-    @cached_property
+    @property
     def scored(self) -> DataFrame:
-        return ranker.train_and_score(self.training, RANKER)
+        return self.ranking.scored
 
     def messages(self) -> DataFrame:
         raw = self.spark.read.parquet(f"{self.folder}/conversations.parquet")
@@ -226,10 +230,12 @@ def detected_ring_roundtrip(x: Lab) -> DataFrame:
     UNION ALL SELECT 'graph_nodes', count(*) FROM shown UNION ALL SELECT 'graph_links', count(*) FROM link
     UNION ALL SELECT 'rules', 5 UNION ALL SELECT 'benchmark', count(*) FROM engines
     UNION ALL SELECT 'traced', count(DISTINCT currency) FROM money
+    UNION ALL SELECT 'ranking', least(25, count(*)) FROM queue WHERE ring_id <= 200
+    UNION ALL SELECT 'ranking_metrics', 5 UNION ALL SELECT 'ranking_coverage', 1
     UNION ALL SELECT unnest(['scan_totals', 'rule_totals', 'headline', 'benchmark_summary']), 1""")
 def findings_bundle(x: Lab) -> DataFrame:
     path = scratch_path(x.spark, "bundle")
-    sections = evaluate.bundle_sections(x.book, x.evaluation)
+    sections = evaluate.bundle_sections(x.book, x.evaluation, x.ranking)
     tables.write_bundle(sections, path)
     out = None
     for name, rows in sections.items():
