@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 LONGEST_UNIT = 64
-CHUNK_DOCS = 8_192
+CHUNK_DOCS = 16_384
 #: Partitions of distinct units for each chunk of documents.
-UNIT_PARTS = 6
+UNIT_PARTS = 12
 #: A piece of the model's n-th rank has the log-probability -ln(n + SHIFT), up to a constant.
 SHIFT = 10
 FALLBACK = -30.0
@@ -124,30 +124,42 @@ def names(text: str) -> list[str]:
     return out
 
 
+def parts(table: pa.Table, chunk: np.ndarray) -> pa.RecordBatch:
+    """The rows of a table packed by chunk, as compressed Arrow streams."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    order = np.argsort(chunk, kind="stable")
+    table, chunk = table.take(order), chunk[order]
+    keys, starts = np.unique(chunk, return_index=True)
+    packed = []
+    for a, b in zip(starts, [*starts[1:], len(chunk)]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+            out.write_table(table.slice(a, b - a).combine_chunks())
+        packed.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "packed"])
+
+
 def packer(n_chunks: int):
-    """Packs the rows of a batch by chunk, as compressed Arrow tables of (row columns, text)."""
+    """Packs rows (row columns, text) by chunk."""
 
     def pack(batches):
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            digest = xxhash.xxh3_64_intdigest
-            chunk = np.array([digest(f"{i}\n{t}".encode("utf-8", "surrogatepass")) % n_chunks
-                              for i, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist())], np.int32)
-            order = np.argsort(chunk, kind="stable")
-            table, chunk = table.take(order), chunk[order]
-            keys, starts = np.unique(chunk, return_index=True)
-            packed = []
-            for a, b in zip(starts, [*starts[1:], len(chunk)]):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, table.schema, options=options) as out:
-                    out.write_table(table.slice(a, b - a).combine_chunks())
-                packed.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "packed"])
+            chunk = [digest(f"{i}\n{t}".encode("utf-8", "surrogatepass")) % n_chunks
+                     for i, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist())]
+            yield parts(table, np.array(chunk, np.int32))
 
     return pack
 
 
+def unit_packer(batches):
+    """Packs encodings (chunk, name, ids) by chunk."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        yield parts(table.select(["name", "ids"]), table["chunk"].to_numpy().astype(np.int32))
+
+
 def unpacked(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
@@ -261,10 +273,10 @@ def applier(model: Model, columns: list[str]):
     def apply(packed: pa.Table, units: pa.Table) -> pa.Table:
         speller = Speller(pieces)
         known = {INNER: b""}
-        for batch in units.to_batches():
+        for batch in (b for data in units["packed"].to_pylist() for b in unpacked(data).to_batches()):
             ids = batch["ids"]
-            ends = (ids.offsets.to_numpy() * 4).tolist()
-            data = ids.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
+            ends = ((ids.offsets.to_numpy() - ids.offsets[0].as_py()) * 4).tolist()
+            data = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
             known.update(zip(batch["name"].to_pylist(), (data[i:j] for i, j in zip(ends, ends[1:]))))
         out = []
         for data in packed["packed"].to_pylist():
@@ -305,10 +317,10 @@ def encode(docs: DataFrame, model: Model, chunk_docs: int = CHUNK_DOCS, keep: tu
     units = packed.mapInArrow(lister, "name string, chunk int").repartition(max(UNIT_PARTS * n_chunks, 8), "name")
     units = units.groupBy("name").agg(F.collect_set("chunk").alias("chunks"))
     ids = encoded_units(units, model.table(spark), model.longest, model.byte_ids)
-    by_chunk = ids.select(F.explode("chunks").alias("unit_chunk"), "name", "ids")
+    by_chunk = ids.select(F.explode("chunks").alias("chunk"), "name", "ids").mapInArrow(unit_packer, "chunk int, packed binary")
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name != "text")
     out = (
-        packed.groupBy("chunk").cogroup(by_chunk.groupBy("unit_chunk"))
+        packed.groupBy("chunk").cogroup(by_chunk.groupBy("chunk"))
         .applyInArrow(applier(model, ["doc_id", *keep]), f"{kept}ids array<int>, exact boolean")
     )
     return out.withColumn("n_pieces", F.coalesce(F.size("ids"), F.lit(0)).cast("long"))
