@@ -70,7 +70,11 @@ def keys_of(batches):
 
 
 def sides(batches):
-    """The kept suffixes of a document whose runs are in ``keys``: words before (nearest first) and after."""
+    """The kept suffixes of a document whose runs are in ``keys``: words before (nearest first) and after.
+
+    Where a text repeats itself, near suffixes in a row can look alike; they become one row
+    that says in ``extent`` how much further on the last of them is.
+    """
     pad = SIDE
     for batch in batches:
         out = []
@@ -84,8 +88,12 @@ def sides(batches):
             short = np.concatenate([np.zeros(pad, np.uint32), (words >> U(32)).astype(np.uint32) | np.uint32(1), np.zeros(pad, np.uint32)])
             before = short[at[:, None] + pad - 1 - np.arange(SIDE)]
             after = short[at[:, None] + pad + RUN + np.arange(SIDE)]
+            alike = (key[1:] == key[:-1]) & (before[1:] == before[:-1]).all(axis=1) & (after[1:] == after[:-1]).all(axis=1)
+            first = np.flatnonzero(np.append(True, ~(alike & (np.diff(at) <= RUN)))[: len(at)])
+            last = np.append(first[1:] - 1, len(at) - 1)[: len(first)]
+            extent, at, key, before, after = at[last] - at[first], at[first], key[first], before[first], after[first]
             out.append(pd.DataFrame({
-                "doc_id": doc_id, "place": at.astype(np.int32), "key": key,
+                "doc_id": doc_id, "place": at.astype(np.int32), "extent": extent.astype(np.int32), "key": key,
                 "after": [x.astype(">u4").tobytes() for x in after], "before": [x.astype(">u4").tobytes() for x in before],
             }))
         if out:
@@ -119,6 +127,7 @@ def matches(part: pd.DataFrame) -> pd.DataFrame:
     """Repeated stretches around suffixes, from rows sorted by key, words after and words before."""
     n = len(part)
     key, doc, place = part["key"].to_numpy(), part["doc_id"].to_numpy(), part["place"].to_numpy()
+    extent = part["extent"].to_numpy()
     after, before = words_of(part["after"], n), words_of(part["before"], n)
     start, end, other = [], [], []
     rows = []
@@ -129,7 +138,7 @@ def matches(part: pd.DataFrame) -> pd.DataFrame:
         long = right + left + RUN >= MIN_WORDS
         i, right, left = i[long], right[long], left[long]
         for a, b in ((i, i + 1), (i + 1, i)):
-            rows.append(a), start.append(place[a] - left), end.append(place[a] + RUN + right), other.append(doc[b])
+            rows.append(a), start.append(place[a] - left), end.append(place[a] + extent[a] + RUN + right), other.append(doc[b])
             settled[a[(left == SIDE) & (right == SIDE)]] = True
     # Runs with a suffix that its neighbours did not settle in full.
     edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.empty(0, int)
@@ -149,7 +158,7 @@ def matches(part: pd.DataFrame) -> pd.DataFrame:
                 low, high = np.repeat(d[first], size), np.repeat(d[first + size - 1], size)
                 hit = low != high
                 r = at[order[hit]]
-                rows.append(r), start.append(place[r] - k), end.append(place[r] - k + MIN_WORDS)
+                rows.append(r), start.append(place[r] - k), end.append(place[r] + extent[r] - k + MIN_WORDS)
                 other.append(np.where(low[hit] == d[hit], high[hit], low[hit]))
     if not rows:
         return pd.DataFrame({"doc_id": [], "start": [], "end": [], "other": []})
@@ -177,7 +186,7 @@ def every_placement(batches):
         whole, exists = placements(batch["key"].to_numpy(), words_of(batch["before"], n), words_of(batch["after"], n))
         k, row = np.nonzero(exists)
         yield pd.DataFrame({
-            "doc_id": batch["doc_id"].to_numpy()[row], "start": batch["place"].to_numpy()[row] - k, "h": whole[k, row].view(np.int64),
+            "doc_id": batch["doc_id"].to_numpy()[row], "start": batch["place"].to_numpy()[row] - k, "extent": batch["extent"].to_numpy()[row], "h": whole[k, row].view(np.int64),
         })
 
 
@@ -205,7 +214,7 @@ def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
         ),
         "suffixes_wanted",
     )
-    schema = "doc_id long, place int, key long, after binary, before binary"
+    schema = "doc_id long, place int, extent int, key long, after binary, before binary"
     texts = docs.join(wanted, "doc_id")
     rows = texts.where(F.size("keys") > 0).select("doc_id", "text", "keys").mapInPandas(sides, schema)
     spans = (
@@ -214,13 +223,13 @@ def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     )
     if not found.where("is_hot").isEmpty():
         placed = texts.where(F.size("hot_keys") > 0).select("doc_id", "text", F.col("hot_keys").alias("keys")).mapInPandas(sides, schema)
-        placed = stage(placed.mapInPandas(every_placement, "doc_id long, start long, h long"), "hot_placements")
+        placed = stage(placed.mapInPandas(every_placement, "doc_id long, start long, extent long, h long"), "hot_placements")
         ends = stage(
             placed.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"), "hot_repeats"
         )
         spans = spans.unionByName(
             placed.join(ends, "h").select(
-                "doc_id", "start", (F.col("start") + MIN_WORDS).alias("end"),
+                "doc_id", "start", (F.col("start") + F.col("extent") + MIN_WORDS).alias("end"),
                 F.when(F.col("low") == F.col("doc_id"), F.col("high")).otherwise(F.col("low")).alias("other"),
             )
         )
