@@ -97,6 +97,7 @@ def hold_times(internal: DataFrame, flow: DataFrame) -> DataFrame:
 def positions(selected: DataFrame, internal: DataFrame) -> DataFrame:
     """Every account of every selected ring with its place in the flow."""
     gets, sends = F.coalesce("gets", F.lit(0)), F.coalesce("sends", F.lit(0))
+    # The names of positions here and of roles and actions below.
     position = (
         F.when((sends > 0) & (gets == 0), "source")
         .when((gets > 0) & (sends == 0), "cash_out")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowtrail.functions.columns import evidence
 
+# Fixed values.
 SHORT_SCORE, LONG_SCORE = 0.4, 0.8
 
 

@@ -21,6 +21,7 @@ from flowtrail.operators.queue import global_rank, kind_order, prior
 from flowtrail.params import KINDS, PRECISION_DEPTHS
 from flowtrail.session import stage
 
+# The features, in order.
 NUMERIC = (
     "score",
     "size",

@@ -26,6 +26,7 @@ RULES = (
 
 
 def rule_descriptions(limits: RuleLimits = RuleLimits()) -> dict[str, str]:
+    # The wording of the reports.
     texts = (
         f"Single transaction over {limits.single_amount:,}",
         f"Account moves over {limits.daily_volume:,} in a day",

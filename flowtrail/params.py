@@ -33,6 +33,7 @@ PRECISION_DEPTHS = (10, 25, 50, 100, 250)
 COMPARISON_DEPTHS = (10, 25, 100, 1000)
 
 
+# Fixed values, as defaults.
 @dataclass(frozen=True)
 class DetectionParams:
     rails: tuple[str, ...] = ("ACH",)
@@ -51,6 +52,7 @@ class DetectionParams:
         return self.star_max * 2
 
 
+# Fixed values, as defaults.
 @dataclass(frozen=True)
 class RuleLimits:
     single_amount: float = 1_000_000
@@ -62,6 +64,7 @@ class RuleLimits:
 
 
 # A true ring counts as found when one predicted ring holds this share of it.
+# Fixed values of scoring and the case views.
 RING_COVERAGE = 0.5
 DETECTABLE_MIN_TRANSFERS = 3
 

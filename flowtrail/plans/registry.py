@@ -13,7 +13,7 @@ from flowtrail.functions.columns import beside, money_sum
 from flowtrail.operators import (
     cases, compare, cycles, detectors, filters, graph, labels, queue, ranker, rules, scoring, screening, slices, traversal,
 )
-from flowtrail.params import PRECISION_DEPTHS, DetectionParams
+from flowtrail.params import KINDS, PRECISION_DEPTHS, DetectionParams
 from flowtrail.plans import evaluate
 from flowtrail.plans.detect import Detection
 from flowtrail.plans.evaluate import CaseBook, Evaluation
@@ -733,13 +733,16 @@ def comparison_deltas(x: Lab) -> DataFrame:
 
 @query("""SELECT cand_key, kind, round(score, 6) AS score, len(accounts) AS size, degree, round(tight, 3) AS tightness,
     round(uniform, 3) AS uniformity, round(ln(1 + total), 6) AS total_amount, hold AS hold_hours,
-    round(ln(1 + ain), 6) AS amount_in, len AS cycle_length, round(w, 9) AS heuristic FROM keyed""")
+    round(ln(1 + ain), 6) AS amount_in, len AS cycle_length, round(w, 9) AS heuristic,
+    CAST(kind = 'fan_out' AS INT) AS kind_fan_out, CAST(kind = 'fan_in' AS INT) AS kind_fan_in, CAST(kind = 'pass_through' AS INT) AS kind_pass_through,
+    CAST(kind = 'velocity_burst' AS INT) AS kind_velocity_burst, CAST(kind = 'cycle' AS INT) AS kind_cycle FROM keyed""")
 def candidate_features(x: Lab) -> DataFrame:
     return x.training.select(
         "cand_key", "kind", r6("score").alias("score"), F.col("size").cast("bigint").alias("size"),
         F.col("degree").cast("bigint").alias("degree"), "tightness", "uniformity", r6("total_amount").alias("total_amount"),
         "hold_hours", r6("amount_in").alias("amount_in"), F.col("cycle_length").cast("int").alias("cycle_length"),
         F.round("heuristic", 9).alias("heuristic"),
+        *[F.col(f"kind_{k}").cast("int").alias(f"kind_{k}") for k in KINDS],
     )
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 TIMESTAMP_FORMAT = "yyyy/MM/dd HH:mm"
 
 # Bank and account ids are text: leading zeros are significant.
+# Fixed values.
 RAW_TRANSFER = T.StructType(
     [
         T.StructField("timestamp", T.TimestampNTZType()),
