@@ -165,19 +165,20 @@ def unpacked(data: bytes) -> pa.Table:
 
 
 def lister(batches):
-    """Distinct units of every packed part."""
+    """Distinct units of every chunk. All parts of a chunk are in one task, so each unit comes once."""
+    found: dict[int, set[str]] = {}
     for batch in batches:
         for chunk, data in zip(batch["chunk"].to_pylist(), batch["packed"].to_pylist()):
-            found: set[str] = set()
+            own = found.setdefault(chunk, set())
             for text in unpacked(data)["text"].to_pylist():
                 if text is not None:
-                    found.update(names(text))
-            found.discard(INNER)
-            for at in range(0, len(listed := list(found)), 50_000):
-                part = listed[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.string()), pa.array(np.full(len(part), chunk, np.int32))], ["name", "chunk"]
-                )
+                    own.update(names(text))
+    for chunk, own in found.items():
+        own.discard(INNER)
+        listed = list(own)
+        for at in range(0, len(listed), 50_000):
+            part = listed[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk, np.int32))], ["name", "chunk"])
 
 
 def unit_text(name):
