@@ -14,6 +14,10 @@ from flowtrail.llm.common import table
 from flowtrail.session import stage
 
 
+#: Share of common shingles from which documents are near copies; op1_minhash has its own.
+NEAR_PERCENT = 80
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     return quality_model.filtered(docs, table(spark, sf_dir, "labels"))
@@ -21,7 +25,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest id, of each group of near-duplicates."""
-    return minhash.deduplicated(docs)
+    return minhash.deduplicated(docs, NEAR_PERCENT)
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

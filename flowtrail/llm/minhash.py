@@ -28,9 +28,9 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 PARITY_BITS = 1024
-# Pairs whose Odd sketches estimate less are refused: five standard deviations below 0.85.
-LEAST_ESTIMATE = 0.65
 SIMILARITY_PERCENT = 85
+# Chance that a pair at the threshold shares no band, and standard deviations of its Odd sketch.
+MOST_MISSED, DEVIATIONS = 1e-6, 5
 
 SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 PARITY = [f"p{i}" for i in range(PARITY_BITS // 64)]
@@ -128,6 +128,24 @@ def popcount(a: str, b: str, columns: list[str]) -> Column:
     return total
 
 
+def missed(percent: int) -> float:
+    """Chance that a pair of this similarity shares none of the bands."""
+    return (1 - (percent / 100) ** ROWS) ** BANDS
+
+
+def odd_limit(percent: int) -> float:
+    """Most bits in which the Odd sketches of a pair of this similarity differ, ``DEVIATIONS`` above the mean.
+
+    The spread is that of the number of samples that differ, and that of the bits they set.
+    """
+    samples, same = BANDS * ROWS, percent / 100
+    differ = samples * (1 - same)
+    slope = 2 * np.exp(-4 * differ / SKETCH_BITS)
+    bits = SKETCH_BITS / 4 * (1 - np.exp(-8 * differ / SKETCH_BITS))
+    spread = np.sqrt(samples * same * (1 - same) + bits / slope**2)
+    return float(SKETCH_BITS / 2 * (1 - np.exp(-4 * min(samples, differ + DEVIATIONS * spread) / SKETCH_BITS)))
+
+
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -136,8 +154,10 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     or blank have no shingles and are linked with nothing. Rows with a null id are linked
     with nothing, have a null component_id and are kept. Repeated rows give repeated result
     rows; rows with one id and several texts are one node. An empty table gives no rows.
-    Columns not named here are left out.
+    Columns not named here are left out. A ``percent`` that the bands are too coarse for is refused.
     """
+    if missed(percent) > MOST_MISSED:
+        raise ValueError(f"{BANDS} bands of {ROWS} miss too many pairs at {percent} %")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(docs.mapInPandas(sign, SIGNED), "signatures")
     key = ["fp1", "fp2", "n_shingles"]
@@ -175,7 +195,6 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     rows = stage(rows.join(sketches.drop("fp1", "fp2").dropDuplicates(["doc_id"]), "doc_id"), "mixed_buckets")
     a, b = rows.alias("a"), rows.alias("b")
     size_a, size_b = F.col("a.n_shingles"), F.col("b.n_shingles")
-    odd_limit = SKETCH_BITS / 2 * (1 - np.exp(-4 * BANDS * ROWS * (1 - LEAST_ESTIMATE) / SKETCH_BITS))
     second = (
         a.join(
             b,
@@ -183,7 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
             & (F.col("a.component") < F.col("b.component"))
             & (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b))
             & ((100 + percent) * popcount("a", "b", PARITY) <= (100 - percent) * (size_a + size_b))
-            & (popcount("a", "b", SKETCH) <= float(odd_limit)),
+            & (popcount("a", "b", SKETCH) <= odd_limit(percent)),
         )
         .select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"))
         .distinct()

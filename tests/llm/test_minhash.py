@@ -57,3 +57,26 @@ def test_components_of_a_path_a_hub_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (None, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(60)}
+
+
+def test_sketch_limit_and_bands_follow_the_threshold():
+    import numpy as np
+    import pandas as pd
+    import pytest
+
+    # Pairs of about 80 %: their sketches stay within the limit of 80.
+    texts = []
+    for i in range(300):
+        items = [f"t{i}_{k}" for k in range(450)]
+        texts.append([" ".join(f"{x} a b c d" for x in items[a : a + 405]) for a in (0, 45)])
+    limit = minhash.odd_limit(80)
+    assert minhash.odd_limit(85) < limit < minhash.SKETCH_BITS / 2
+
+    flat = pd.DataFrame({"doc_id": range(600), "text": [t for pair in texts for t in pair]})
+    (signed,) = minhash.sign([flat])
+    bits = signed[minhash.SKETCH].to_numpy().astype(np.int64)
+    far = [sum(int(x).bit_count() for x in (bits[i] ^ bits[i + 1]).view(np.uint64)) for i in range(0, 600, 2)]
+    assert max(far) <= limit
+    assert minhash.missed(80) < minhash.MOST_MISSED
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(None, 60)

@@ -67,3 +67,20 @@ def test_stages_take_effect_and_run_is_all_of_them(spark, folder):
     assert sorted(speller.text(np.array(r.ids)) for r in ids) == sorted(r.text for r in mix)
     final = corpus_pipeline.run(spark, folder)
     assert sorted(map(str, final.collect())) == sorted(map(str, ids))
+
+
+def test_near_copies_between_80_and_85_percent_become_one(spark):
+    rng, rows, sets = random.Random(8), [], {}
+    for i in range(60):
+        words = prose(300, 500 + i).split()
+        copy = list(words)
+        for at in rng.sample(range(5, 295, 6), 6):
+            copy[at] = f"edit{at}"
+        rows += [row(i, " ".join(words))[:5], row(1000 + i, " ".join(copy))[:5]]
+    for r in rows:
+        w = r[1].split()
+        sets[r[0]] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    alike = [len(sets[i] & sets[1000 + i]) / len(sets[i] | sets[1000 + i]) for i in range(60)]
+    assert all(0.8 <= x < 0.85 for x in alike)
+    kept = corpus_pipeline.no_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
