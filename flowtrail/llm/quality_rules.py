@@ -15,7 +15,7 @@ from flowtrail.session import stage
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-# A line found in more distinct documents of a host than this is boilerplate there.
+# A line found in more distinct documents of a host than this is boilerplate there; the query's SQL has the same limit.
 LINE_LIMIT = 100
 # A document that loses more than this share of its words to such lines is rejected.
 MAX_LOST_PERCENT = 70
@@ -27,6 +27,10 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), BLANK, " "))
 
 
+def line_key(host: Column, line: Column) -> Column:
+    return F.xxhash64(host, normal_line(line))
+
+
 def measured(docs: DataFrame, host: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), text.alias("text"))
@@ -50,7 +54,7 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform(
             "lines",
-            lambda x: F.struct(F.xxhash64("host", normal_line(x)).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")),
+            lambda x: F.struct(line_key(F.col("host"), x).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")),
         ).alias("line_words"),
     ).drop("words", "lines")
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
@@ -70,15 +74,49 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
     return placed.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("found")
 
 
+def losses(rows: DataFrame, line_limit: int, line_share: float | None) -> DataFrame:
+    """Texts with over-limit lines: their keys, words lost and words of all lines."""
+    text = ["text_key", "text_key2"]
+    lines = rows.select(*text, F.inline("line_words")).groupBy(*text, "line").agg(F.sum("n").alias("n"))
+    common = lines.groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts") > line_limit)
+    if line_share is not None:
+        hosts = rows.select("host", *text).distinct().groupBy("host").agg(F.count("*").alias("all_texts"))
+        owners = rows.select("host", F.explode("line_words.line").alias("line")).distinct()
+        common = common.join(owners, "line").join(hosts, "host").where(F.col("texts") > line_share * F.col("all_texts"))
+    # Copies of a text add alike to both sums, so the share is that of one of them.
+    return (
+        lines.join(common.select("line", F.lit(1).alias("common")), "line", "left")
+        .groupBy(*text)
+        .agg(
+            F.sum(F.when(F.col("common") == 1, F.col("n")).otherwise(0)).alias("lost"),
+            F.sum("n").alias("all_n"),
+        )
+        .where("lost > 0")
+    )
+
+
+def failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def depleted(max_lost_percent: int) -> Column:
+    return F.coalesce(100 * F.col("lost") > max_lost_percent * F.col("all_n"), F.lit(False))
+
+
 def quality(
-    docs: DataFrame, host: str = "source", line_limit: int = LINE_LIMIT, max_lost_percent: int = MAX_LOST_PERCENT
+    docs: DataFrame,
+    host: str = "source",
+    line_limit: int = LINE_LIMIT,
+    max_lost_percent: int = MAX_LOST_PERCENT,
+    line_share: float | None = None,
 ) -> DataFrame:
     """Counts and verdict for every row of ``docs`` (doc_id, text, ``host``).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, n_lost_words (words in lines that more than ``line_limit`` distinct
-    texts of the host hold). Lines are compared in normal form; exact copies count as one
-    document and get one verdict.
+    texts of the host hold, and with ``line_share`` more than that share of them too).
+    Lines are compared in normal form; exact copies count as one document and get one
+    verdict.
 
     A null text counts as empty: no words, so it fails. A null host is the empty host. Null
     ids and repeated rows keep their rows. An empty table gives no rows. Other columns are
@@ -86,25 +124,14 @@ def quality(
     hashes (texts by 96 bits).
     """
     rows = stage(measured(docs, host), "quality_rows")
-    text = ["text_key", "text_key2"]
-    lines = rows.select(*text, F.inline("line_words")).groupBy(*text, "line").agg(F.sum("n").alias("n"))
-    common = lines.groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts") > line_limit).select("line")
-    # Copies of a text add alike to both sums, so the share is that of one of them.
-    lost = (
-        lines.join(common.withColumn("common", F.lit(1)), "line", "left")
-        .groupBy(*text)
-        .agg(F.sum(F.when(F.col("common") == 1, F.col("n")).otherwise(0)).alias("lost"), F.sum("n").alias("all_n"))
-        .where("lost > 0")
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    depleted = F.coalesce(100 * F.col("lost") > max_lost_percent * F.col("all_n"), F.lit(False))
+    lost = losses(rows, line_limit, line_share)
     return (
         rows.drop("line_words")
-        .join(lost, text, "left")
+        .join(lost, ["text_key", "text_key2"], "left")
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            failed.alias("base_failed"),
-            (~failed & ~depleted).alias("kept"),
+            failed().alias("base_failed"),
+            (~failed() & ~depleted(max_lost_percent)).alias("kept"),
             F.coalesce(F.expr("lost * n_words div all_n"), F.lit(0)).alias("n_lost_words"),
         )
     )

@@ -1,8 +1,9 @@
 from collections import Counter
 
+import duckdb
 from tests.llm.helpers import WORD, frame, odd_rows, prose, row
 
-from flowtrail.llm import quality_rules
+from flowtrail.llm import oracle, quality_rules
 
 
 def brute(text):
@@ -38,3 +39,29 @@ def test_counts_and_verdicts(spark):
 
 def test_empty_table(spark):
     assert quality_rules.quality(frame(spark, [])).count() == 0
+
+
+def test_equals_its_sql_where_the_line_rule_fires(spark, tmp_path):
+    common, other = "Share this article with 12 friends today", "Read more on our other pages"
+    rows = [row(i, f"{common}\n{prose(30, i)}\n{other if i < 100 else ''}") for i in range(130)]
+    rows += [row(200 + i, f"{common}\n{common.upper()}\nown {i}", source="a") for i in range(5)]
+    rows += [row(300 + i, f"{common}\n{prose(30, i)}", source="b") for i in range(100)] + [row(400 + i, rows[0][1]) for i in range(90)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({oracle.SQL['op5_quality_rules']})").fetchall()
+    got = [tuple(r) for r in quality_rules.quality(spark.read.parquet(f"{tmp_path}/documents.parquet")).select(*names).collect()]
+    assert sorted(got) == sorted(want)
+    by = {r[0]: dict(zip(names, r)) for r in got}
+    assert by[0]["n_lost_words"] == 7 and by[0]["kept"] and not by[200]["kept"] and by[300]["n_lost_words"] == 0
+
+
+def test_share_of_the_host_acts_alike_at_every_size(spark):
+    for n in (20, 200):
+        rows = [row(i, f"{'common line of words' if i % 2 else 'own line'}\n{prose(30, i)}") for i in range(n)]
+        rows += [row(1000 + i, prose(30, 900 + i), source="b") for i in range(3 * n)]
+        got = quality_rules.quality(frame(spark, rows), line_limit=3, line_share=0.4).collect()
+        assert sum(r.n_lost_words for r in got) == n // 2 * 4 + n // 2 * 2
+        none = quality_rules.quality(frame(spark, rows), line_limit=3, line_share=0.6).collect()
+        assert not any(r.n_lost_words for r in none)
