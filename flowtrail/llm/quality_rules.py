@@ -74,8 +74,14 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
     return placed.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("found")
 
 
+def keyed(docs: DataFrame, host: str) -> tuple[Column, Column]:
+    """Two hashes that tell the texts of all hosts apart."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    return F.xxhash64(F.coalesce(docs[host], F.lit("")), text).alias("text_key"), F.hash(text).alias("text_key2")
+
+
 def losses(rows: DataFrame, line_limit: int, line_share: float | None) -> DataFrame:
-    """Texts with over-limit lines: their keys, words lost and words of all lines."""
+    """Texts with over-limit lines: their keys, hashes of those lines, words lost and words of all lines."""
     text = ["text_key", "text_key2"]
     lines = rows.select(*text, F.inline("line_words")).groupBy(*text, "line").agg(F.sum("n").alias("n"))
     common = lines.groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts") > line_limit)
@@ -90,6 +96,7 @@ def losses(rows: DataFrame, line_limit: int, line_share: float | None) -> DataFr
         .agg(
             F.sum(F.when(F.col("common") == 1, F.col("n")).otherwise(0)).alias("lost"),
             F.sum("n").alias("all_n"),
+            F.collect_list(F.when(F.col("common") == 1, F.col("line"))).alias("gone"),
         )
         .where("lost > 0")
     )
@@ -116,7 +123,7 @@ def quality(
     base_failed, kept, n_lost_words (words in lines that more than ``line_limit`` distinct
     texts of the host hold, and with ``line_share`` more than that share of them too).
     Lines are compared in normal form; exact copies count as one document and get one
-    verdict.
+    verdict. ``cleaned`` gives the documents without these lines.
 
     A null text counts as empty: no words, so it fails. A null host is the empty host. Null
     ids and repeated rows keep their rows. An empty table gives no rows. Other columns are
@@ -124,7 +131,7 @@ def quality(
     hashes (texts by 96 bits).
     """
     rows = stage(measured(docs, host), "quality_rows")
-    lost = losses(rows, line_limit, line_share)
+    lost = losses(rows, line_limit, line_share).drop("gone")
     return (
         rows.drop("line_words")
         .join(lost, ["text_key", "text_key2"], "left")
@@ -135,3 +142,31 @@ def quality(
             F.coalesce(F.expr("lost * n_words div all_n"), F.lit(0)).alias("n_lost_words"),
         )
     )
+
+
+def cleaned(
+    docs: DataFrame,
+    host: str = "source",
+    line_limit: int = LINE_LIMIT,
+    max_lost_percent: int = MAX_LOST_PERCENT,
+    line_share: float | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, all columns, over-limit lines taken out of ``text``.
+
+    What stays of a text stays as it was and in its order; blank lines stay. Other columns,
+    also those that count the text, are not changed. The text is cut where it lies: only
+    hashes of lines meet it, those of its own over-limit lines.
+    """
+    rows = stage(measured(docs, host), "quality_rows")
+    lost = losses(rows, line_limit, line_share)
+    good = rows.where(~failed()).select("text_key", "text_key2").distinct()
+    verdicts = good.join(lost, ["text_key", "text_key2"], "left").where(~depleted(max_lost_percent))
+    verdicts = verdicts.select(F.col("text_key").alias("_key"), F.col("text_key2").alias("_key2"), F.col("gone").alias("_gone"))
+    key, key2 = keyed(docs, host)
+    found = docs.withColumns({"_text_key": key, "_text_key2": key2}).join(
+        verdicts, (F.col("_text_key") == F.col("_key")) & (F.col("_text_key2") == F.col("_key2"))
+    )
+    own = F.coalesce(F.col(host), F.lit(""))
+    stays = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(WORD) | ~F.array_contains("_gone", line_key(own, x)))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    return found.withColumn("text", text).select(*docs.columns)

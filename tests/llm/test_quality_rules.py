@@ -65,3 +65,22 @@ def test_share_of_the_host_acts_alike_at_every_size(spark):
         assert sum(r.n_lost_words for r in got) == n // 2 * 4 + n // 2 * 2
         none = quality_rules.quality(frame(spark, rows), line_limit=3, line_share=0.6).collect()
         assert not any(r.n_lost_words for r in none)
+
+
+def test_cleaned_takes_lines_out_and_rejects_depleted_documents(spark):
+    common = "Share this article with 12 friends today"
+    rows = [row(i, f"  {common}\n\n{prose(40, i)}\r\n{common.upper().replace('12', '99')}\n tail {'abcdefgh'[i]} ") for i in range(8)]
+    rows += [row(20 + i, f"{common}\n{common}\nshort own line {i} here") for i in range(8)] + [row(0, rows[0][1])]
+    rows += [row(50, f"{common}\n{prose(20, 50)}", source="other"), row(None, f"{prose(20, 51)}\n{common}", source="a")] + odd_rows()
+    docs = frame(spark, rows)
+    out = quality_rules.cleaned(docs, line_limit=5)
+    assert out.dtypes == docs.dtypes
+    got = sorted(((r.doc_id is None, r.doc_id), r.text) for r in out.collect() if r.doc_id is None or r.doc_id < 100)
+    want = [((False, i), f"\n{prose(40, i)}\r\n tail {'abcdefgh'[i]} ") for i in [0, *range(8)]]
+    want += [((False, 50), rows[17][1]), ((True, None), prose(20, 51))]
+    assert [x for x in got if x[0] != (True, None)] == [x for x in want if x[0] != (True, None)]
+    assert prose(20, 51) in [t for i, t in got if i[0]]
+    judged = quality_rules.quality(docs, line_limit=5)
+    assert out.count() == judged.where("kept").count()
+    # A text that loses nothing stays as it was.
+    assert {r.text for r in quality_rules.cleaned(docs).where("doc_id < 8").collect()} == {r[1] for r in rows[:8]}
