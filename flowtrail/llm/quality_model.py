@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word and its character n-grams have learned vectors in a hashed table. A document is
+Every word and all of its character n-grams, however long the word, have learned vectors in a hashed table. A document is
 the mean of all of them, a softmax layer gives the class. It is trained by stochastic
 gradient descent in numpy on a bounded sample of labelled documents and applied in batches
 on the executors. As softmax over two classes only needs one number per vector, what is
@@ -26,6 +26,8 @@ CUT = 0.3
 # Words of their own: a word that repeats the one before, a line that repeats an earlier one.
 SAME_WORD, SAME_LINE = "\x00word", "\x00line"
 MOST_CACHED = 400_000
+#: A word of more characters is hashed in slices and, in scoring, summed without being kept.
+LONG_WORD, SLICE = 256, 65_536
 
 
 def buckets(word: str) -> list[int]:
@@ -33,12 +35,25 @@ def buckets(word: str) -> list[int]:
     digest = xxhash.xxh3_64_intdigest
     ids = [digest(word.encode("utf-8", "surrogatepass")) % BUCKETS]
     if word[0] != "\x00":
-        marked = f"<{word}>"[:64]
+        marked = f"<{word}>"
         ids += [digest(marked[i : i + n].encode("utf-8", "surrogatepass"), seed=1) % BUCKETS
                 for n in NGRAMS for i in range(len(marked) - n + 1)]
     return ids
 
 
+def long_buckets(word: str):
+    """The ids of ``buckets`` for a long word, as arrays of bounded size."""
+    yield np.array([xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % BUCKETS], np.int32)
+    marked, digest = f"<{word}>", xxhash.xxh3_64_intdigest
+    for n in NGRAMS:
+        count = len(marked) - n + 1
+        for at in range(0, count, SLICE):
+            part = marked[at : min(at + SLICE, count) + n - 1]
+            found = (digest(part[i : i + n].encode("utf-8", "surrogatepass"), seed=1) % BUCKETS
+                     for i in range(len(part) - n + 1))
+            yield np.fromiter(found, np.int32, len(part) - n + 1)
+
+
 def units(text: str | None) -> list[str]:
     """Words of a text, with the marks of repetition."""
     words = (text or "").split()
@@ -67,12 +82,12 @@ def numbers(words: Words, text: str | None) -> np.ndarray:
 def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
     """Learns vectors and softmax; returns the log-odds of class 1 per bucket, and their bias."""
     rng = np.random.default_rng(seed)
-    features: list[list[int]] = []
-    words = Words(lambda w: features.append(buckets(w)))
+    features: list[np.ndarray] = []
+    words = Words(lambda w: features.append(np.concatenate(list(long_buckets(w))) if len(w) > LONG_WORD else np.array(buckets(w), np.int32)))
     docs = [np.unique(numbers(words, t), return_counts=True) for t in texts]
     length = np.array([len(f) for f in features] or [0])
     start = np.concatenate([[0], np.cumsum(length)])
-    flat = np.array([i for f in features for i in f], np.int64)
+    flat = np.concatenate(features or [np.empty(0, np.int32)])
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     layer, bias = rng.normal(0, 0.5, (2, DIM)), np.zeros(2)
     labels = np.asarray(labels, np.int64)
@@ -117,9 +132,21 @@ def scorer(odds: np.ndarray, bias: float):
 
         words = Words(made)
         for batch in batches:
-            docs = [numbers(words, t if isinstance(t, str) else None) for t in batch["text"].tolist()]
+            docs, more_s, more_n = [], [], []
+            for t in batch["text"].tolist():
+                found = units(t if isinstance(t, str) else None)
+                long = [w for w in found if len(w) > LONG_WORD]
+                if long:
+                    found = [w for w in found if len(w) <= LONG_WORD]
+                more = [(float(odds[ids].sum()), len(ids)) for w in long for ids in long_buckets(w)]
+                more_s.append(sum(x for x, _ in more))
+                more_n.append(sum(n for _, n in more))
+                docs.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
             s, n = np.array(sums or [0.0]), np.array(sizes or [0])
-            logit = np.array([bias + (s[d].sum() / n[d].sum() if len(d) else 0.0) for d in docs])
+            logit = np.array([
+                bias + ((s[d].sum() + a) / (n[d].sum() + k) if len(d) or k else 0.0)
+                for d, a, k in zip(docs, more_s, more_n)
+            ])
             rest = batch.drop(columns="text")
             yield rest.assign(score=1 / (1 + np.exp(-np.clip(logit, -500, 500))))
             if len(words) > MOST_CACHED:

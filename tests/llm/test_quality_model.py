@@ -43,3 +43,33 @@ def test_fit_does_not_depend_on_labels_of_held_out_rows(spark):
     two = spark.createDataFrame([(i, 1 - i % 2 if i in held else i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     a, b = (quality_model.scored(frame(spark, rows), x).select("doc_id", "score").collect() for x in (one, two))
     assert a == b
+
+
+def test_whole_long_words_are_scored():
+    import numpy as np
+    import pandas as pd
+
+    def score(odds, texts):
+        (got,) = quality_model.scorer(odds, 0.1)([pd.DataFrame({"text": texts})])
+        return got["score"].tolist()
+
+    rng = random.Random(6)
+    odds = np.random.default_rng(1).normal(0, 1, quality_model.BUCKETS).astype(np.float32)
+    start = "".join(rng.choice("甲乙丙丁戊己庚辛壬癸") for _ in range(63))
+    rests = ["子" * 500, "丑寅卯" * 300, "x" * 150_000, "y" * 40]
+    # All of a word's n-grams count, those at the seams of slices too.
+    want = []
+    for rest in rests:
+        ids = quality_model.buckets(start + rest)
+        assert len(ids) == 2 * len(start + rest)
+        want.append(1 / (1 + np.exp(-(0.1 + odds[ids].astype(float).sum() / len(ids)))))
+    got = score(odds, [start + rest for rest in rests])
+    assert np.allclose(got, want, atol=1e-4)
+    # The hash of the whole word aside, what differs is after the first 63 characters.
+    flat = odds.copy()
+    for rest in rests:
+        flat[quality_model.buckets(start + rest)[0]] = 0
+    assert len({round(x, 6) for x in score(flat, [start + rest for rest in rests])}) == len(rests)
+    long = [w for rest in rests if len(w := start + rest) > quality_model.LONG_WORD]
+    for w in long:
+        assert sorted(np.concatenate(list(quality_model.long_buckets(w))).tolist()) == sorted(quality_model.buckets(w))
