@@ -1,10 +1,12 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text is cut into units: each blank starts one, written with the piece table's blank mark;
-control white space stands alone. Every distinct unit is encoded once: its substrings of
-bounded length are joined with the piece table, what matches are the edges of a lattice,
-edges are grouped by unit, and the best path is folded over the end positions. Characters
-without a piece become byte pieces, so decoding gives the text back exactly.
+A text, with a blank in front, is cut into units wherever no piece of the table holds the two
+characters that meet there: no piece reaches across such a place, so the best paths of the
+units make up the best path of the text. Every distinct unit is encoded once: its substrings
+of bounded length are joined with the piece table, what matches are the edges of a lattice,
+edges are grouped by unit, and the best path is folded over the end positions. The few units
+longer than that are folded whole where they occur. Characters without a piece become byte
+pieces, so decoding gives the text back exactly.
 
 Texts are shuffled once, packed by chunk; a chunk meets the encodings of just its own
 units, so no table that grows with the corpus is broadcast.
@@ -13,6 +15,8 @@ units, so no table that grows with the corpus is broadcast.
 from __future__ import annotations
 
 import re
+from array import array
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +27,10 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
+#: Longer units are not shuffled.
 LONGEST_UNIT = 64
+#: Longest word whose ids are kept, and how many of them.
+LONGEST_KEPT, MOST_KEPT = 1024, 500_000
 CHUNK_DOCS = 16_384
 #: Partitions of distinct units for each chunk of documents.
 UNIT_PARTS = 12
@@ -34,9 +41,8 @@ INNER = "\x00"  # starts the name of a unit that does not follow a blank
 # Packed lattice: an edge is end, start, id + 1 and cost; a best path's end is cost, start, id + 1.
 COST_BITS, ID_BITS, PLACE_BITS = 20, 16, 7
 COST_UNIT = 10_000
-RARE = re.compile("[\x00\x09\x0b-\x0d" + BLANK + "]")
-SPECIAL = re.compile("[\x00\x09-\x0d" + BLANK + "]")
-PARTS = re.compile("[\x00\x09-\x0d" + BLANK + "]|[^\x00\x09-\x0d" + BLANK + "]+")
+RARE = re.compile("^ |  |[\x00" + BLANK + "]")
+RUNS = re.compile(" +[^ \x00" + BLANK + "]*|[\x00" + BLANK + "]|[^ \x00" + BLANK + "]+")
 
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
@@ -94,34 +100,105 @@ class Model:
         with open(path, "rb") as f:
             return cls(f.read())
 
+    def cutter(self) -> Cutter:
+        return Cutter([p for p, _, _ in self.pieces])
+
     def table(self, spark: SparkSession) -> DataFrame:
         rows = pd.DataFrame(self.pieces, columns=["piece", "id", "score"])
         return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
-def names(text: str) -> list[str]:
-    """Names of the units of a text, in order.
+class Cutter:
+    """Cuts texts between characters that are side by side in no piece.
 
-    Line ends, and full stops and commas before white space, are units of their own.
+    A unit has a name: what follows its first blank, or ``INNER`` and the unit. Blanks are
+    written with the blank mark. A mark that stands for itself is a unit of its own.
     """
-    words = text.split(" ")
-    if not RARE.search(text):
-        cut = text.replace("\n", f" {INNER}\n {INNER}").replace(", ", f" {INNER}, ").replace(". ", f" {INNER}. ")
-        plain = cut.split(" ")
-        if max(map(len, plain)) <= LONGEST_UNIT:
-            return plain
-    out = []
-    for word in words:
-        if len(word) <= LONGEST_UNIT and not SPECIAL.search(word):
-            out.append(word)
-            continue
-        parts = [p[i : i + LONGEST_UNIT] for p in PARTS.findall(word) for i in range(0, len(p), LONGEST_UNIT)]
-        if not parts or SPECIAL.match(parts[0]):
-            out.append("")
-        else:
-            out.append(parts.pop(0))
-        out += [INNER + p for p in parts]
-    return out
+
+    def __init__(self, pieces: list[str]):
+        self.joined = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        if any(p[1] == BLANK != p[0] or INNER in p for p in self.joined):
+            raise ValueError("a piece reaches across the start of a word or a NUL")
+        self.ends_lines = not any("\n" in p for p in self.joined)
+
+    def words(self, text: str) -> list[str]:
+        """The text in parts, each named like a unit, that ``cut`` cuts further."""
+        if self.ends_lines and not RARE.search(text):
+            return text.replace("\n", f" {INNER}\n {INNER}").split(" ")
+        out = []
+        for run in RUNS.findall(" " + text):
+            word = run.lstrip(" ")
+            blanks = len(run) - len(word)
+            out.append(BLANK * (blanks - 1) + word if blanks else INNER + word)
+        return out
+
+    def cut(self, word: str) -> list[str]:
+        """Names of the units of a part."""
+        if word == INNER + BLANK:
+            return [word]
+        unit, joined = word[1:] if word.startswith(INNER) else BLANK + word, self.joined
+        ends = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in joined] + [len(unit)]
+        found = [unit[i:j] for i, j in zip([0, *ends], ends)] if unit else []
+        return [u[1:] if u[0] == BLANK else INNER + u for u in found]
+
+
+@cache
+def default_cutter() -> Cutter:
+    return Model.read().cutter()
+
+
+def names(text: str, cutter: Cutter | None = None) -> list[str]:
+    """Names of the units of a text, in order."""
+    cutter = cutter or default_cutter()
+    return [name for word in cutter.words(text) for name in cutter.cut(word)]
+
+
+class Folder:
+    """The best path through one unit of any length; ties as in ``encoded_units``."""
+
+    def __init__(self, model: Model):
+        self.edges = {p: (round(-s * COST_UNIT), i) for p, i, s in model.pieces}
+        self.byte_ids = model.byte_ids
+        self.lengths: dict[str, set[int]] = {}  # of pieces, by their last two characters
+        for p in self.edges:
+            if len(p) > 1:
+                self.lengths.setdefault(p[-2:], set()).add(len(p))
+
+    def ids(self, name: str) -> bytes:
+        unit = name[1:] if name.startswith(INNER) else BLANK + name
+        spelled = (round(-FALLBACK * COST_UNIT), -1)
+        total, starts, chosen = array("q", [0]), array("q", [0]), array("i", [0])
+        for e in range(1, len(unit) + 1):
+            cost, n = self.edges.get(unit[e - 1], spelled)
+            best = (total[e - 1] + cost, e - 1, n)
+            for k in self.lengths.get(unit[max(e - 2, 0) : e], ()):
+                if k <= e and (edge := self.edges.get(unit[e - k : e])):
+                    best = min(best, (total[e - k] + edge[0], e - k, edge[1]))
+            total.append(best[0]), starts.append(best[1]), chosen.append(best[2])
+        out, e = array("i"), len(unit)
+        while e:
+            if chosen[e] < 0:
+                out.extend(self.byte_ids[b] for b in reversed(unit[e - 1].encode("utf-8", "surrogatepass")))
+            else:
+                out.append(chosen[e])
+            e = starts[e]
+        return np.array(out[::-1], np.int32).tobytes()
+
+
+class Encodings(dict):
+    """Ids of the parts of texts, put together from those of their units when first asked for."""
+
+    def __init__(self, cutter: Cutter, folder: Folder, known: dict[str, bytes]):
+        self.cutter, self.folder, self.known = cutter, folder, known
+
+    def __missing__(self, word: str) -> bytes:
+        known = self.known
+        ids = b"".join([known[n] if len(n) <= LONGEST_UNIT else self.folder.ids(n) for n in self.cutter.cut(word)])
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= MOST_KEPT:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 def parts(table: pa.Table, chunk: np.ndarray) -> pa.RecordBatch:
@@ -164,21 +241,28 @@ def unpacked(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def lister(batches):
+def lister(cutter: Cutter):
     """Distinct units of every chunk. All parts of a chunk are in one task, so each unit comes once."""
-    found: dict[int, set[str]] = {}
-    for batch in batches:
-        for chunk, data in zip(batch["chunk"].to_pylist(), batch["packed"].to_pylist()):
-            own = found.setdefault(chunk, set())
-            for text in unpacked(data)["text"].to_pylist():
-                if text is not None:
-                    own.update(names(text))
-    for chunk, own in found.items():
-        own.discard(INNER)
-        listed = list(own)
-        for at in range(0, len(listed), 50_000):
-            part = listed[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk, np.int32))], ["name", "chunk"])
+
+    def run(batches):
+        found: dict[int, set[str]] = {}
+        seen: dict[int, set[str]] = {}
+        for batch in batches:
+            for chunk, data in zip(batch["chunk"].to_pylist(), batch["packed"].to_pylist()):
+                own, old = found.setdefault(chunk, set()), seen.setdefault(chunk, set())
+                for text in unpacked(data)["text"].to_pylist():
+                    if text is not None:
+                        for word in set(cutter.words(text)) - old:
+                            own.update(n for n in cutter.cut(word) if len(n) <= LONGEST_UNIT)
+                            if len(word) <= LONGEST_KEPT:
+                                old.add(word)
+        for chunk, own in found.items():
+            listed = list(own)
+            for at in range(0, len(listed), 50_000):
+                part = listed[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk, np.int32))], ["name", "chunk"])
+
+    return run
 
 
 def unit_text(name):
@@ -269,22 +353,23 @@ class Speller:
 
 def applier(model: Model, columns: list[str]):
     """Encodes the texts of a chunk with the encodings of its units, and decodes them again."""
-    pieces = model.bytes_of
+    pieces, cutter, folder = model.bytes_of, model.cutter(), Folder(model)
 
     def apply(packed: pa.Table, units: pa.Table) -> pa.Table:
         speller = Speller(pieces)
-        known = {INNER: b""}
+        known: dict[str, bytes] = {}
         for batch in (b for data in units["packed"].to_pylist() for b in unpacked(data).to_batches()):
             ids = batch["ids"]
             ends = ((ids.offsets.to_numpy() - ids.offsets[0].as_py()) * 4).tolist()
             data = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
             known.update(zip(batch["name"].to_pylist(), (data[i:j] for i, j in zip(ends, ends[1:]))))
+        encodings = Encodings(cutter, folder, known)
         out = []
         for data in packed["packed"].to_pylist():
             table = unpacked(data)
             found, exact = [], []
             for text in table["text"].to_pylist():
-                ids = None if text is None else b"".join(map(known.__getitem__, names(text)))
+                ids = None if text is None else b"".join(map(encodings.__getitem__, cutter.words(text)))
                 found.append(ids)
                 exact.append(None if ids is None else speller.text(np.frombuffer(ids, np.int32)) == text)
             lengths = np.array([len(x or b"") // 4 for x in found])
@@ -306,8 +391,8 @@ def encode(docs: DataFrame, model: Model, chunk_docs: int = CHUNK_DOCS, keep: tu
     """Encodes the texts of ``docs`` (doc_id, text): doc_id, ``keep``, ids, n_pieces, exact.
 
     ``exact`` says that decoding ``ids`` gives the text back. An empty text is one blank
-    piece; a null text has null ids, 0 pieces and a null ``exact``. Units longer than 64
-    code points are cut. Null ids, repeated rows and columns of other names do not matter;
+    piece; a null text has null ids, 0 pieces and a null ``exact``. The ids are the best path of
+    the whole text, with a blank in front. Null ids, repeated rows and columns of other names do not matter;
     an empty table gives no rows. A chunk is the rows of one hash value of id and text.
     """
     spark = docs.sparkSession
@@ -315,7 +400,7 @@ def encode(docs: DataFrame, model: Model, chunk_docs: int = CHUNK_DOCS, keep: tu
     n_chunks = max(1, -(-docs.count() // chunk_docs))
     packed = rows.mapInArrow(packer(n_chunks), "chunk int, packed binary").repartition("chunk")
     # Each chunk lists a unit once, so nothing is gained by summing up before this shuffle.
-    units = packed.mapInArrow(lister, "name string, chunk int").repartition(max(UNIT_PARTS * n_chunks, 8), "name")
+    units = packed.mapInArrow(lister(model.cutter()), "name string, chunk int").repartition(max(UNIT_PARTS * n_chunks, 8), "name")
     units = units.groupBy("name").agg(F.collect_set("chunk").alias("chunks"))
     ids = encoded_units(units, model.table(spark), model.longest, model.byte_ids)
     by_chunk = ids.select(F.explode("chunks").alias("chunk"), "name", "ids").mapInArrow(unit_packer, "chunk int, packed binary")

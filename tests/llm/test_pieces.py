@@ -1,3 +1,5 @@
+import random
+
 from tests.llm.helpers import frame, odd_rows, prose, row
 
 from flowtrail.llm import pieces
@@ -55,3 +57,41 @@ def test_ids_are_the_best_paths_and_decode_exactly(spark):
 
 def test_empty_table(spark):
     assert pieces.encode(frame(spark, []), MODEL).count() == 0
+
+
+def whole_path(text):
+    """Plain Viterbi over the whole text, without any units."""
+    marked = (" " + text).replace(pieces.BLANK, "\ue000").replace(" ", pieces.BLANK)
+    best = [(0, 0, 0)]
+    for e in range(1, len(marked) + 1):
+        found = [(best[s][0] + SCORES[marked[s:e]][1], s, SCORES[marked[s:e]][0])
+                 for s in range(max(0, e - MODEL.longest), e) if marked[s:e] in SCORES]
+        if marked[e - 1] not in SCORES:
+            found.append((best[e - 1][0] + round(-pieces.FALLBACK * pieces.COST_UNIT), e - 1, -1))
+        best.append(min(found))
+    ids, e = [], len(marked)
+    while e:
+        _, s, n = best[e]
+        raw = marked[s:e].replace("\ue000", pieces.BLANK).encode()
+        ids = ([MODEL.byte_ids[b] for b in raw] if n < 0 else [n]) + ids
+        e = s
+    return ids
+
+
+def test_ids_are_the_best_path_of_the_whole_text(spark):
+    code = "def f(x):\n    if (x), y:\n        return \"a\", 'b'...\r\n\t\tend);\r\n"
+    base = 'He said "x), y", (see z). Then... \'no\', [1], 2.5% of _it_.'
+    texts = [code, base, "  two first", "end  ", " ", "   ", "\n", " \n  x", "a" + " " * 150 + "b" + " " * 37, "=" * 500 + " x " + "-" * 77,
+             "https://example.com/" + "path/to?x=1&y=abcdefghij" * 20, "word" * 40 + ". " + "supercalifragilistic" * 30,
+             "▁ ▁▁ a▁b ▁", "\x00 \x00a b\x00", "数据处理。日本語のテキスト、" * 30, "QmFzZTY0IGp1bms" * 40, prose(300) + ", " + code, "é😀ü " * 30]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice('ab,.)( "\'\n\r\t▁\x00  the') for _ in range(200)) for _ in range(30)]
+    texts += ["".join(rng.choice(MODEL.pieces)[0].replace(pieces.BLANK, " ") for _ in range(60)) for _ in range(30)]
+    got = {r.doc_id: r for r in pieces.encode(frame(spark, [row(i, t) for i, t in enumerate(texts)]), MODEL, chunk_docs=30).collect()}
+    for i, text in enumerate(texts):
+        assert got[i].ids == whole_path(text), text
+        assert got[i].exact
+    # Indentation and closing marks get pieces of their own.
+    spelled = [p for p, _, _ in MODEL.pieces]
+    by_id = {n: p for p, n, _ in MODEL.pieces}
+    assert ")," in spelled and ")," in [by_id.get(n) for n in got[1].ids] and max(len(by_id.get(n, "")) for n in got[8].ids) == 16
