@@ -95,3 +95,10 @@ def test_ids_are_the_best_path_of_the_whole_text(spark):
     spelled = [p for p, _, _ in MODEL.pieces]
     by_id = {n: p for p, n, _ in MODEL.pieces}
     assert ")," in spelled and ")," in [by_id.get(n) for n in got[1].ids] and max(len(by_id.get(n, "")) for n in got[8].ids) == 16
+
+
+def test_what_follows_leaves_the_ids_before_it(spark):
+    base = 'He said "x), y", (see z).  Then, x'
+    rows = [row(i, base + more) for i, more in enumerate(["", "\t", " " + "w" * 100, " \x00", " ▁", "\x0b\n", " https://a.b/" + "c1" * 80])]
+    ids = {r.doc_id: r.ids for r in pieces.encode(frame(spark, rows), MODEL).collect()}
+    assert all(ids[i][: len(ids[0])] == ids[0] for i in ids)
