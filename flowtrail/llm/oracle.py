@@ -76,7 +76,55 @@ SELECT r.node AS vec_id, (SELECT count(*) FROM p WHERE p.a = r.node) AS n_links,
 FROM r GROUP BY r.node
 """
 
+FILL_IN_MIDDLE = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '{B[:-1]}*{W}|{B}') AS u FROM documents),
+d AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3,
+    ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+s AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+              ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM s
+"""
+
+PHRASES = rf"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+g AS (
+  SELECT lang, m, list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')) AS g
+  FROM p, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+u AS (SELECT lang, m, unnest(g) AS phrase FROM g),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM u GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 100),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+x AS (
+  SELECT k.lang, k.m, k.phrase, k.a, k.k, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * k.a * n.n // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM k JOIN n ON n.lang = k.lang JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:k.k], ' ') AND l.m = k.k
+  JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[k.k + 1:], ' ') AND r.m = k.m - k.k),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, m, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT DISTINCT lang, unnest([array_to_string(w[1:m - 1], ' '), array_to_string(w[2:], ' ')]) AS phrase, a, m - 1 AS m FROM c),
+o AS (SELECT * FROM b ANTI JOIN i ON i.lang = b.lang AND i.phrase = b.phrase AND i.m = b.m AND i.a >= b.a),
+z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o)
+SELECT * FROM z WHERE rank <= 2000
+"""
+
 SQL = {
+    "op12_fim": FILL_IN_MIDDLE,
+    "op13_phrases": PHRASES,
     "op1_minhash": NEAR_DOCUMENTS,
     "op5_quality_rules": QUALITY_RULES,
     "op9_chat": CHAT,

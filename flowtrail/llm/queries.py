@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowtrail.llm import chat, minhash, mixing, oracle, pieces, pii, quality_model, quality_rules, quantised, suffixes, token_counts
+from flowtrail.llm import (
+    chat, fim, minhash, mixing, oracle, packing, phrases, pieces, pii, quality_model, quality_rules, quantised, suffixes, token_counts,
+)
 from flowtrail.llm.common import table
 from flowtrail.session import scratch_path
 
@@ -75,3 +78,23 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return quantised.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(table(spark, folder, "documents"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op12_fim(spark: SparkSession, folder: str) -> DataFrame:
+    made = fim.restore(fim.transform(table(spark, folder, "documents")))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
