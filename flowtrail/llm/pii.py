@@ -32,7 +32,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 TOKEN = re.compile(r"\S+")
-MOST_CACHED = 300_000
+MOST_CACHED, MOST_FORMS, LONGEST_CACHED = 300_000, 50_000, 256
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -61,7 +61,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not DIGITS.search(text):
         return out
     for m in IP.finditer(text):
-        if all(int(x) <= 255 for x in m[0].split(".")):
+        # Compared without int(), which refuses thousands of digits.
+        if all(len(x) < 3 or (len(x) == 3 and x <= "255") for x in (d.lstrip("0") for d in m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -76,11 +77,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def shape(word: str) -> str:
-    """Letters as a or A (runs as one), digit runs with their length, other characters as they are."""
+    """Letters as a or A (runs as one), digit runs with their length, other characters as they are; of the whole word."""
     word = word.rstrip(".,;:!?\"'")
     if word.isalpha():
         return "a" if word.islower() or len(word) == 1 else "A"
-    word = word[:80]
     word = re.sub(r"[^\W\d_]+", lambda m: "a" if m[0].islower() else "A", word)
     return re.sub(r"[0-9]+", lambda m: f"<{len(m[0])}>" if len(m[0]) < 20 else "<20>", word)
 
@@ -89,7 +89,7 @@ def features(form: str) -> list[str]:
     """What the field sees of a shape."""
     runs = [int(x) for x in re.findall(r"<(\d+)>", form)]
     n = sum(runs)
-    marks = "".join(sorted(set(re.sub(r"<\d+>|[aA]", "", form)))) if len(form) < 60 else "long"
+    marks = "".join(sorted(set(re.sub(r"<\d+>|[aA]", "", form))))
     return [
         "form=" + form,
         "marks=" + marks,
@@ -232,17 +232,21 @@ class Decoder:
 
     def number(self, word: str) -> int:
         form = shape(word)
-        n = self.forms.get(form)
+        key = form if len(form) <= LONGEST_CACHED else hashlib.sha256(form.encode("utf-8", "surrogatepass")).digest()
+        n = self.forms.get(key)
         if n is None:
-            n = self.forms[form] = len(self.forms)
-            self.table = np.concatenate([self.table, self.field.form_scores(form)[None]])
-        if len(self.numbers) > MOST_CACHED:
-            self.numbers.clear()
-        self.numbers[word] = n
+            n = self.forms[key] = len(self.forms)
+            if n == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(n, 1024), 3, len(TAGS)))])
+            self.table[n] = self.field.form_scores(form)
+        if len(word) <= LONGEST_CACHED:
+            self.numbers[word] = n
         return n
 
     def tags(self, texts: list[str]) -> list[np.ndarray]:
         """Tags of the words of each text."""
+        if len(self.numbers) > MOST_CACHED or len(self.forms) > MOST_FORMS:
+            self.numbers.clear(), self.forms.clear()
         known, field = self.numbers, self.field
         ids = []
         for text in texts:
@@ -344,7 +348,11 @@ def found(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
 
 def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """The rows of ``docs`` with every span in ``text`` replaced by its kind in brackets, and n_chars to match."""
+    """The rows of ``docs`` with every span in ``text`` replaced by its kind in brackets, and n_chars to match.
+
+    Null and empty texts stay as they are, as do all other columns, whatever they are called.
+    Null ids and repeated rows keep their rows; an empty table gives none. Texts are read whole.
+    """
     out = docs.mapInPandas(finder(field or train(), True), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -73,3 +73,21 @@ def test_rows_spans_and_redaction(spark):
     assert texts[0] == "write [EMAIL] or [PHONE] [CARD] and wait" and texts[1] == rows[1][1]
     assert texts[3] is None and out.columns == frame(spark, rows).columns
     assert pii.found(frame(spark, [])).count() == 0
+
+
+def test_very_long_digit_runs_and_words_are_read_whole():
+    for text in ("9" * 5000 + ".1.1.1", "1.2.3." + "0" * 9000 + "255", "0255.01.000.9", "1.1.1.256", "300.1.1.1"):
+        want = [("ip", 0, len(text))] if all(len(x.lstrip("0")) < 4 and int(x[-9:]) <= 255 for x in text.split(".")) else []
+        assert [x for x in pii.base_spans(text) if x[0] == "ip"] == want, text[:30]
+    assert pii.shape("a" * 500 + "-123-45-6789") == "a-<3>-<2>-<4>" == pii.shape("a" * 7 + "-123-45-6789")
+    assert len({tuple(pii.features(pii.shape("ab-" * 60 + end))) for end in ("x", "x#", "x@y.z")}) == 3
+
+
+def test_more_shapes_than_are_kept_change_nothing(monkeypatch):
+    field = pii.train(rounds=20)
+    texts = [" ".join(f"{'x' * (i % 7)}{'-#/'[i % 3] * (i % 11)}{i}" for i in range(k, k + 60)) for k in range(0, 900, 60)]
+    whole = [pii.Decoder(field).tags([t])[0].tolist() for t in texts]
+    monkeypatch.setattr(pii, "MOST_FORMS", 5)
+    monkeypatch.setattr(pii, "LONGEST_CACHED", 4)
+    decoder = pii.Decoder(field)
+    assert [decoder.tags([t])[0].tolist() for t in texts] == whole
