@@ -25,47 +25,67 @@ ESCAPED = re.compile(r"\\(\\|###|</turn>)")
 HEAD = re.compile(r"### (=?[A-Za-z0-9%_.~-]*): ")
 STOP = re.compile(r"\\(?:\\|###|</turn>)|</turn>\n")
 
-#: Layouts: field paths, and where the turns are. ``one`` lists (role, field); ``each`` is
-#: (list, role field, text field, role names).
+#: Layouts: field paths with what they lead to, and where the turns are. ``one`` lists (role,
+#: field); ``each`` is (list, role field, text field, role names).
 LAYOUTS = (
-    {"paths": ("prompt", "response"), "one": (("user", "prompt"), ("assistant", "response"))},
-    {"paths": ("prompt", "completion"), "one": (("user", "prompt"), ("assistant", "completion"))},
-    {"paths": ("question", "answer"), "one": (("user", "question"), ("assistant", "answer"))},
-    {"paths": ("instruction", "output"), "one": (("user", "instruction"), ("assistant", "output"))},
-    {"paths": ("instruction", "input", "output"),
+    {"paths": ("prompt:text", "response:text"), "one": (("user", "prompt"), ("assistant", "response"))},
+    {"paths": ("prompt:text", "completion:text"), "one": (("user", "prompt"), ("assistant", "completion"))},
+    {"paths": ("question:text", "answer:text"), "one": (("user", "question"), ("assistant", "answer"))},
+    {"paths": ("instruction:text", "output:text"), "one": (("user", "instruction"), ("assistant", "output"))},
+    {"paths": ("instruction:text", "input:text", "output:text"),
      "one": (("system", "instruction"), ("user", "input"), ("assistant", "output"))},
-    {"paths": ("messages", "messages[].role", "messages[].content"), "each": ("messages", "role", "content", {})},
-    {"paths": ("conversations", "conversations[].from", "conversations[].value"),
+    {"paths": ("messages[]", "messages[].role:text", "messages[].content:text"), "each": ("messages", "role", "content", {})},
+    {"paths": ("conversations[]", "conversations[].from:text", "conversations[].value:text"),
      "each": ("conversations", "from", "value", {"human": "user", "gpt": "assistant"})},
 )
+#: The only path of what is no JSON.
+BROKEN = "broken"
 
 
 def paths(value, at: str = "") -> set[str]:
-    """Nested field paths of a parsed record; list elements share one path."""
-    found: set[str] = set()
+    """Nested field paths of a parsed record, leaves with their kind (null counts as text).
+
+    List elements share one path; a list whose elements have different paths says so.
+    """
     if isinstance(value, dict):
+        found = {f"{at}{{}}"} if at else set()
         for k, v in value.items():
-            name = f"{at}.{k}" if at else k
-            found.add(name)
-            found |= paths(v, name)
-    elif isinstance(value, list):
-        for v in value:
-            found |= paths(v, at + "[]")
-    return found
+            name = quote(k, safe="", errors="surrogatepass")
+            found |= paths(v, f"{at}.{name}" if at else name)
+        return found - {f"{at}{{}}"} if at.endswith("[]") else found
+    if isinstance(value, list):
+        each = [paths(v, at + "[]") for v in value]
+        return {at + "[]"}.union(*each, {at + "[]:uneven"} if any(x != each[0] for x in each) else ())
+    kind = "flag" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "text"
+    return {f"{at}:{kind}"}
 
 
 def fingerprint(names) -> str:
     return hashlib.sha256("\n".join(sorted(names)).encode()).hexdigest()[:16]
 
 
+def parsed(record: str | None) -> tuple[object, str]:
+    """A record and its fingerprint; null for what is no JSON or nested beyond reading."""
+    try:
+        value = json.loads(record) if isinstance(record, str) else None
+        return value, fingerprint(paths(value))
+    except (ValueError, RecursionError):
+        return None, fingerprint([BROKEN])
+
+
+def whole(text: str | None) -> str:
+    """The text, empty for null, with halves of surrogate pairs replaced."""
+    return (text or "").encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 MAPPINGS = {fingerprint(x["paths"]): x for x in LAYOUTS}
 
 
 def canonical(record: dict, mapping: dict) -> list[tuple[str, str]]:
     if "one" in mapping:
-        return [(role, record[field] or "") for role, field in mapping["one"]]
+        return [(role, whole(record[field])) for role, field in mapping["one"]]
     name, role, text, roles = mapping["each"]
-    return [(roles.get(x[role], x[role]) or "", x[text] or "") for x in record[name]]
+    return [(whole(roles.get(x[role], x[role])), whole(x[text])) for x in record[name]]
 
 
 def formatted(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -101,8 +121,7 @@ def writer(batches):
     for batch in batches:
         rows = []
         for record in batch["record"].tolist():
-            value = json.loads(record) if isinstance(record, str) else None
-            mark = fingerprint(paths(value))
+            value, mark = parsed(record)
             mapping = MAPPINGS.get(mark)
             if isinstance(value, dict) and value.get("messages") == []:
                 mark, mapping = fingerprint(LAYOUTS[5]["paths"]), LAYOUTS[5]
@@ -115,9 +134,10 @@ def writer(batches):
 def format_chat(records: DataFrame, key: str) -> DataFrame:
     """``key``, layout (fingerprint), formatted, loss (spans in code points) for every row of (key, record).
 
-    ``record`` is JSON text. Null records and unknown layouts keep their fingerprint and
-    get a null ``formatted``; null texts and roles count as empty; an empty list of
-    messages gives an empty text. Repeated rows give repeated results, an empty table none.
+    ``record`` is JSON text. Null records, what is no JSON and unknown layouts, other kinds of
+    values and lists with unlike elements among them, keep their fingerprint and get a null
+    ``formatted``; null texts and roles count as empty; an empty list of messages gives an
+    empty text. Repeated rows give repeated results, an empty table none.
     """
     kind = records.schema[key].dataType.simpleString()
     return records.select(key, "record").mapInPandas(
@@ -153,7 +173,9 @@ def records(turns: DataFrame) -> DataFrame:
 
     A question and its answer become a prompt layout, a system text with one exchange an
     instruction layout, anything else a list of messages. Turns are ordered by number, role
-    and text. A conversation is one output text, so its turns meet in one row.
+    and text, those without a number first. A conversation is one output text, so its turns
+    meet in one row; turns without a conversation are one of their own with a null id. Null
+    roles and texts count as empty; repeated turns are turns; an empty table gives no rows.
     """
     said = turns.select(
         "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")

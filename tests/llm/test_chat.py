@@ -43,3 +43,20 @@ def test_conversations(spark):
         assert g.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert g.formatted_chars == len(chat.formatted([(r, x) for _, r, x in turns])[0])
     assert chat.digests(chat.format_chat(chat.records(table.limit(0)), "conv_id")).count() == 0
+
+
+def test_broken_and_unlike_records_give_null(spark):
+    odd = [
+        "not json", "", "{", '{"prompt":5,"response":"x"}', '{"prompt":["a"],"response":"x"}', '{"prompt":{"a":1},"response":"x"}',
+        '{"messages":[{"role":"user","content":"x"},{"role":"user"}]}', '{"messages":[null,{"role":"user","content":"x"}]}',
+        '{"messages":[null]}', '{"messages":["x"]}', '{"messages":[{"role":1,"content":"x"}]}', '{"messages":"x"}', '{"messages":{}}',
+        '{"messages[]":1,"messages[].role":"a","messages[].content":"b"}', "[]", "5", "null", "[" * 50_000, '{"prompt":true,"response":"x"}',
+        '{"prompt":"a","response":"b","more":null}',
+    ]
+    fine = ['{"prompt":null,"response":"x"}', '{"messages":[]}', '{"messages":[{"role":null,"content":null}]}', '{"prompt":"\\ud800","response":"\\ud83d\\ude00"}']
+    rows = spark.createDataFrame([(i, x, "kept") for i, x in enumerate([*odd, *fine, None])], "conv_id int, record string, layout string")
+    got = {r.conv_id: r for r in chat.format_chat(rows, "conv_id").collect()}
+    assert all(got[i].formatted is None and got[i].layout and got[i].loss == [] for i in [*range(len(odd)), len(odd) + 4])
+    texts = [got[len(odd) + i].formatted for i in range(4)]
+    assert [chat.read_back(t) for t in texts] == [[("user", ""), ("assistant", "x")], [], [("", "")], [("user", "\ufffd"), ("assistant", "😀")]]
+    assert chat.digests(chat.format_chat(rows.withColumn("conv_id", rows["conv_id"].cast("long")), "conv_id")).count() == len(got)
