@@ -28,17 +28,22 @@ g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >=
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i+4], ' ')) AS n FROM g),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM h, (SELECT unnest(range(5)) AS k) WHERE n > 1 GROUP BY doc_id),
 l AS (
-  SELECT doc_id, host, text, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{W}'))) AS line FROM d),
+  SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
 k AS (
   SELECT *, len(regexp_extract_all(line, '{W}')) AS n,
     trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{B}', ' ', 'g')) AS key FROM l),
-f AS (SELECT host, key FROM k GROUP BY host, key HAVING count(DISTINCT text) > 100),
-o AS (SELECT doc_id, sum(n) AS n FROM k JOIN f USING (host, key) GROUP BY doc_id),
-u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
+a AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
+q AS (SELECT host, key, count(DISTINCT doc_id) AS docs FROM k WHERE n > 0 GROUP BY host, key),
+f AS (SELECT q.host, q.key, true AS common FROM q JOIN a USING (host) WHERE q.docs > 5 AND 100 * q.docs > 5 * a.docs),
+j AS (SELECT k.*, coalesce(f.common AND k.n > 0, false) AS common FROM k LEFT JOIN f USING (host, key)),
+o AS (
+  SELECT doc_id, sum(CASE WHEN common THEN n ELSE 0 END) AS n, count(*) FILTER (common) AS lines,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT common), '') AS rest FROM j GROUP BY doc_id),
+u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM k WHERE n > 0 GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{B}', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(u.n, 0)::BIGINT AS n_dup_lines,
-    coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(o.n, 0)::BIGINT AS n_lost_words
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, o.lines AS n_lost_lines, o.n::BIGINT AS n_lost_words, sha256(o.rest) AS cleaned_sha256
   FROM w LEFT JOIN u USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT 100 * n_lost_words > 70 * n_words AS kept
