@@ -226,7 +226,14 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
 
 
 def deduplicated(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: one for each component. Rows with a null id all stay."""
-    keep = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(keep, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that stay: one for each component. Rows with a null id all stay.
+
+    Null, empty and blank texts stay, as nothing is linked with them. Of rows with one id one
+    stays. An empty table gives no rows. Columns may have any name.
+    """
+    kept = "_kept"
+    while kept in docs.columns:
+        kept += "_"
+    keep = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias(kept)).distinct()
+    named = docs.join(keep, docs["doc_id"] == keep[kept], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
