@@ -11,7 +11,7 @@ task.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ EPOCHS, BATCH, RATE = 6, 32, 2.0
 CUT = 0.3
 # Words of their own: a word that repeats the one before, a line that repeats an earlier one.
 SAME_WORD, SAME_LINE = "\x00word", "\x00line"
-MOST_CACHED = 400_000
+MOST_CACHED, SLICE_ROWS = 200_000, 512
 #: A word of more characters is hashed in slices and, in scoring, summed without being kept.
 LONG_WORD, SLICE = 256, 65_536
 
@@ -121,7 +121,12 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> tuple[np.n
     return (vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def scorer(odds: np.ndarray, bias: float):
+def scorer(odds: np.ndarray, bias: float, text: str, cut: float | None = None):
+    """Adds the score of column ``text``; with ``cut``, returns rows of at least this score, unchanged.
+
+    Texts are read ``SLICE_ROWS`` at a time, and words are forgotten when there are too many of them.
+    """
+
     def score(batches):
         sums, sizes = [], []
 
@@ -131,10 +136,11 @@ def scorer(odds: np.ndarray, bias: float):
             sizes.append(len(ids))
 
         words = Words(made)
-        for batch in batches:
+
+        def scores(texts):
             docs, more_s, more_n = [], [], []
-            for t in batch["text"].tolist():
-                found = units(t if isinstance(t, str) else None)
+            for t in texts:
+                found = units(t)
                 long = [w for w in found if len(w) > LONG_WORD]
                 if long:
                     found = [w for w in found if len(w) <= LONG_WORD]
@@ -147,10 +153,18 @@ def scorer(odds: np.ndarray, bias: float):
                 bias + ((s[d].sum() + a) / (n[d].sum() + k) if len(d) or k else 0.0)
                 for d, a, k in zip(docs, more_s, more_n)
             ])
-            rest = batch.drop(columns="text")
-            yield rest.assign(score=1 / (1 + np.exp(-np.clip(logit, -500, 500))))
             if len(words) > MOST_CACHED:
                 words.clear(), sums.clear(), sizes.clear()
+            return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(at, SLICE_ROWS)
+                found = scores(rows.column(text).to_pylist())
+                if cut is not None:
+                    yield rows.filter(pa.array(found >= cut))
+                else:
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(found)], ["doc_id", "score"])
 
     return score
 
@@ -185,16 +199,20 @@ def scored(docs: DataFrame, labels: DataFrame, cut: float = CUT, max_rows: int =
     """
     odds, bias = train(docs, labels, max_rows)
     rows = docs.select("doc_id", "text")
-    out = rows.mapInPandas(scorer(odds, bias), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    out = rows.mapInArrow(scorer(odds, bias, "text"), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select(
         "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= cut, 1).otherwise(0).alias("predicted")
     )
 
 
 def filtered(docs: DataFrame, labels: DataFrame, cut: float = CUT, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject."""
+    """The rows of ``docs`` that the classifier does not reject, all columns as they were.
+
+    Null, empty and blank texts get the score of the bias and stay or go with it. Null ids and
+    repeated rows stay rows of their own; an empty table gives none. Column names may clash.
+    """
     odds, bias = train(docs, labels, max_rows)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
-    return rows.mapInPandas(scorer(odds, bias), f"{kinds}, score double").where(F.col("score") >= cut).drop("score").toDF(*docs.columns)
+    keep = scorer(odds, bias, names[docs.columns.index("text")], cut)
+    return docs.toDF(*names).mapInArrow(keep, kinds).toDF(*docs.columns)

@@ -47,11 +47,12 @@ def test_fit_does_not_depend_on_labels_of_held_out_rows(spark):
 
 def test_whole_long_words_are_scored():
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     def score(odds, texts):
-        (got,) = quality_model.scorer(odds, 0.1)([pd.DataFrame({"text": texts})])
-        return got["score"].tolist()
+        batch = pa.record_batch({"doc_id": range(len(texts)), "text": texts})
+        (got,) = quality_model.scorer(odds, 0.1, "text")([batch])
+        return got.column("score").to_pylist()
 
     rng = random.Random(6)
     odds = np.random.default_rng(1).normal(0, 1, quality_model.BUCKETS).astype(np.float32)
