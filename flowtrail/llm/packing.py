@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import struct
 
 import numpy as np
 import pandas as pd
@@ -32,43 +33,78 @@ GROUP_WINDOWS = 256
 #: Parts shorter than the first go bundled, so many ids together, so that a group has a bounded number of items.
 SHORT, BUNDLE = 32, 64
 #: Words whose ids a task keeps, and the longest such word in bytes.
-MOST_KEPT, LONGEST_KEPT = 300_000, 64
+MOST_KEPT, LONGEST_KEPT = 600_000, 64
+STOPS = b".,;:!?"
 #: Rows written at a time.
 ROWS = 1000
 COLUMNS = "piece long, doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
+#: How the vocabulary writes bytes: printable ones as themselves, the others as characters from 256 on, in order.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+AS_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+
+
+def lowered(word: str) -> bytes:
+    """A word of letters of the first two Latin blocks in lower case; nothing for other words.
+
+    These letters are composed already, and each is lowered by itself.
+    """
+    if not word.isalpha() or max(word) > "\u017f":
+        return b""
+    low = word.lower()
+    return low.encode() if low.isalpha() else b""
+
+
 class Ids(dict):
-    """Ids of words as little-endian 32-bit numbers, asked of the tokenizer when they are new."""
+    """Ids of words as little-endian 32-bit numbers, asked of the tokenizer when they are new.
+
+    No token of this tokenizer reaches across a blank, nor from letters into punctuation. So a
+    word's ids are kept for later texts, and a word of plain letters, with or without stops
+    after it, is put together from both parts without the tokenizer's normalisation, which
+    would only lower the letters.
+    """
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(words, found))
-
-    def text(self, text: str | None, special: tuple[str, ...]) -> bytes:
-        """Ids of a text. No token reaches across a blank, so they are those of its words."""
+    def letters(self, word: bytes) -> bytes:
+        """Ids of lower-case letters."""
+        ids = self.get(word)
+        if ids is None:
+            shown = word.decode() if word.isascii() else word.decode("latin-1").translate(AS_CHARS)
+            found = [t.id for t in self.model.tokenize(shown)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(word) <= LONGEST_KEPT:
+                self[word] = ids
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(STOPS)
+        low = core.lower() if core.isalpha() else lowered(core.decode())
+        if low:
+            ids = self.letters(low)
+            if len(core) < len(word):
+                ids += self[word[len(core) :]]
+        else:
+            ids = self.encoded(word.decode())
+        if len(word) <= LONGEST_KEPT:
+            self[word] = ids
+        return ids
+
+    def text(self, text: str | None) -> bytes:
+        """Ids of a text, put together from those of its words."""
         if not text:
             return b""
-        if any(s in text for s in special):
+        if any(s in text for s in self.special):
             return self.encoded(text)
-        words = text.encode("utf-8", "replace").split()
-        new = [w for w in set(words) if w not in self]
-        if len(self) + len(new) > MOST_KEPT:
+        if len(self) > MOST_KEPT:
             self.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 4096):
-            self.learn(new[at : at + 4096])
-        out = b"".join(map(self.__getitem__, words))
-        for w in new:
-            if len(w) > LONGEST_KEPT:
-                del self[w]
-        return out
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
 
 
 def cutter(tokenizer_json: str, capacity: int, part: int):
@@ -79,7 +115,6 @@ def cutter(tokenizer_json: str, capacity: int, part: int):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
-        special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
         known, piece, rows = Ids(tokenizer), TaskContext.get().partitionId() << 33, []
         names = ["piece", "doc_id", "start", "length", "doc_tokens", "ids"]
 
@@ -89,7 +124,7 @@ def cutter(tokenizer_json: str, capacity: int, part: int):
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].astype("Int64").tolist(), batch["text"].tolist()):
-                ids = known.text(text if isinstance(text, str) else None, special) + np.array([END_ID], "<u4").tobytes()
+                ids = known.text(text if isinstance(text, str) else None) + np.array([END_ID], "<u4").tobytes()
                 size = len(ids) // 4
                 rest = size - size % capacity
                 starts = [*range(0, rest, capacity), *range(rest, size, part)]
