@@ -27,7 +27,7 @@ from flowtrail.session import release, stage
 LONGEST, LEAST, TOP = 5, 100, 2000
 NO_LANG = "und"
 #: Words of a block. Its codes take 8 bytes each.
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
 #: Side of a tile, and how many pairs make counting all its cells worth while.
 SIDE, CROWDED = 1024, 1 << 16
 #: Cuts pieces at these, and words at blanks and tabs.
@@ -109,42 +109,38 @@ def blocker(block_words: int):
     return run
 
 
-def counted(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of ranks and how often each comes."""
-    if not len(left):
-        return left, right, np.empty(0, np.int64)
-    ranks, place = np.unique(np.concatenate([left, right]), return_inverse=True)
-    i, j = place[: len(left)], place[len(left) :]
+def adjacent(units: np.ndarray) -> np.ndarray:
+    """Where a unit stands beside another one."""
+    return np.flatnonzero((units[:-1] >= 0) & (units[1:] >= 0))
+
+
+def counted(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of units side by side, and how often each comes."""
+    at = adjacent(units)
+    ranks = np.unique(units)
     across = -(-len(ranks) // SIDE)
-    tile = (i // SIDE) * across + j // SIDE
-    # Places of the pairs of each tile, tile by tile.
-    order = np.argsort(tile, kind="stable")
-    tiles, first = np.unique(tile[order], return_index=True)
-    size = np.diff(np.append(first, len(order)))
-    found = []
-    for t, at, n in zip(tiles[size >= CROWDED], first[size >= CROWDED], size[size >= CROWDED]):
-        own = order[at : at + n]
+    place = np.searchsorted(ranks, units).astype(np.int32)
+    i, j = place[at], place[at + 1]
+    tile = (i // SIDE) * np.int32(across) + j // SIDE
+    # At most len(at) / CROWDED tiles are crowded.
+    tiles, size = np.unique(tile, return_counts=True)
+    found, rest = [], np.ones(len(at), bool)
+    for t in tiles[size >= CROWDED]:
+        own = tile == t
+        rest &= ~own
         cells = np.bincount((i[own] % SIDE) * SIDE + j[own] % SIDE, minlength=SIDE * SIDE)
         full = np.flatnonzero(cells)
         found.append(((t // across) * SIDE + full // SIDE, (t % across) * SIDE + full % SIDE, cells[full]))
-    rest = order[np.repeat(size < CROWDED, size)]
-    keys, n = np.unique(i[rest] * len(ranks) + j[rest], return_counts=True)
-    found.append((keys // len(ranks), keys % len(ranks), n))
+    keys, n = np.unique(i[rest].astype(np.int64) * max(len(ranks), 1) + j[rest], return_counts=True)
+    found.append((keys // max(len(ranks), 1), keys % max(len(ranks), 1), n))
     i, j, n = (np.concatenate(x) for x in zip(*found))
     return ranks[i], ranks[j], n.astype(np.int64)
 
 
-def adjacent(units: np.ndarray) -> np.ndarray:
-    """Where a unit stands beside another one."""
-    return np.flatnonzero((units[:-1] >= 0) & (units[1:] >= 0))
-
-
 def pair_counter(batches):
     for batch in batches:
-        for block, size, codes in zip(*(batch.column(c).to_pylist() for c in ("block", "size", "codes"))):
-            units = unpacked(codes, size)
-            at = adjacent(units)
-            left, right, n = counted(units[at], units[at + 1])
+        for block, size, codes in zip(batch.column("block").to_pylist(), batch.column("size").to_pylist(), batch.column("codes")):
+            left, right, n = counted(unpacked(codes.as_buffer(), size))
             for k in range(0, len(n), 100_000):
                 part = slice(k, k + 100_000)
                 yield pa.RecordBatch.from_arrays(

@@ -78,13 +78,14 @@ def test_nothing_frequent_and_empty_table(spark):
 
 def test_crowded_tiles_and_sorted_coordinates_count_alike(monkeypatch):
     rng = np.random.default_rng(1)
-    left = np.minimum(rng.zipf(1.2, 50_000), 5000) * 3
-    right = np.minimum(rng.zipf(1.3, 50_000), 5000) * 3
-    want = Counter(zip(left.tolist(), right.tolist()))
+    units = np.minimum(rng.zipf(1.2, 100_000), 5000) * 3 - 3 * (rng.random(100_000) < 0.01)
+    units[rng.random(100_000) < 0.1] = -1
+    want = Counter((a, b) for a, b in zip(units.tolist(), units[1:].tolist()) if a >= 0 and b >= 0)
     for crowded in (1, 1000, 1 << 30):
         monkeypatch.setattr(phrases, "CROWDED", crowded)
-        i, j, n = phrases.counted(left, right)
+        i, j, n = phrases.counted(units)
         assert dict(zip(zip(i.tolist(), j.tolist()), n.tolist())) == want
+    assert [len(x) for x in phrases.counted(np.array([-1, 4, -1]))] == [0, 0, 0] == [len(x) for x in phrases.counted(np.empty(0, int))]
 
 
 def test_a_text_in_slices_keeps_its_pieces():
