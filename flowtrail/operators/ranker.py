@@ -1,22 +1,18 @@
 """Learned ordering of detector candidates, validated on held-out rings.
 
-The fits are coordinated by the driver; features, splits, scoring and every metric are
-DataFrame work.
+The models of all splits are grown together, see ``boosting``; features, splits, scoring and
+every metric are DataFrame work.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtrail.functions.skew import attach
+from flowtrail.operators import boosting
 from flowtrail.operators.queue import global_rank, kind_order, prior
 from flowtrail.params import KINDS, PRECISION_DEPTHS
 from flowtrail.session import stage
@@ -34,7 +30,6 @@ NUMERIC = (
     "cycle_length",
 )
 FEATURES = NUMERIC + tuple(f"kind_{k}" for k in KINDS)
-OPTIONAL = NUMERIC[2:]
 HOLDOUT = 0.3
 
 
@@ -44,8 +39,10 @@ class RankerParams:
     iterations: int = 250
     learning_rate: float = 0.06
     depth: int = 4
-    seed: int = 0
-    parallel: int = 4
+    bins: int = 64
+
+    def boosting(self) -> boosting.BoostParams:
+        return boosting.BoostParams(rounds=self.iterations, rate=self.learning_rate, depth=self.depth, bins=self.bins)
 
 
 def candidate_key() -> Column:
@@ -153,41 +150,16 @@ def training_table(candidates: DataFrame, truth_accounts: DataFrame, splits: int
     )
 
 
-def encoded(rows: DataFrame) -> DataFrame:
-    """Numeric inputs for the model. Trees here take no NaN: absent becomes -1 plus a flag."""
-    cols = {f"x_{f}": F.coalesce(F.col(f), F.lit(-1.0)) for f in FEATURES}
-    cols |= {f"m_{f}": F.col(f).isNull().cast("double") for f in OPTIONAL}
-    encoded = rows.withColumns(cols)
-    return VectorAssembler(inputCols=list(cols), outputCol="features").transform(encoded).drop(*cols)
-
-
-def fit(rows: DataFrame, params: RankerParams):
-    """Boosted trees on rows that hold ``features`` and ``label``."""
-    gbt = GBTClassifier(
-        maxIter=params.iterations, stepSize=params.learning_rate, maxDepth=params.depth, seed=params.seed,
-        featuresCol="features", labelCol="label", cacheNodeIds=True, checkpointInterval=10,
-    )
-    return gbt.fit(rows)
-
-
-def train_and_score(training: DataFrame, params: RankerParams = RankerParams()) -> DataFrame:
-    """Every candidate with the probability of each split's model and their mean.
-
-    The inputs are assembled once and staged; ``params.parallel`` fits run side by side.
-    """
-    rows = stage(encoded(training), "ranker-training")
+def fit(training: DataFrame, params: RankerParams = RankerParams()) -> boosting.Forest:
+    """The boosted trees of every split; an absent feature is a missing value, whose side each cut learns."""
+    return boosting.fit(training, FEATURES, params.splits, params.boosting())
 
-    def of_split(s: int):
-        return fit(rows.where(~F.array_contains("held_out", s)).select("features", "label"), params)
 
-    with ThreadPoolExecutor(params.parallel) as pool:
-        models = list(pool.map(of_split, range(params.splits)))
-    scored = rows
-    for s, model in enumerate(models):
-        made = ("rawPrediction", "probability", "prediction")
-        scored = model.transform(scored).withColumn(f"p_{s}", vector_to_array("probability")[1]).drop(*made)
+def train_and_score(training: DataFrame, params: RankerParams = RankerParams(), forest: boosting.Forest | None = None) -> DataFrame:
+    """Every candidate with the probability of each split's model and their mean."""
+    scored = (forest or fit(training, params)).score(training, [f"p_{s}" for s in range(params.splits)])
     total = sum((F.col(f"p_{s}") for s in range(1, params.splits)), F.col("p_0"))
-    return stage(scored.drop("features").withColumn("learned", total / params.splits), "ranker-scores")
+    return stage(scored.withColumn("learned", total / params.splits), "ranker-scores")
 
 
 def precision_at(scored: DataFrame, rankers: dict[str, Column], ks=PRECISION_DEPTHS) -> DataFrame:
@@ -263,21 +235,41 @@ def learned_queue(scored: DataFrame, rings: DataFrame, top_k: int, pool: int = 8
     return best.select(place.alias("place"), "ring_id", "score")
 
 
-def permutation_importance(model, rows: DataFrame, repeats: int = 3, top: int = 6, seed: int = 0) -> DataFrame:
-    """Drop in area under precision-recall when one feature's column is shuffled.
+def average_precision(rows: DataFrame, scores: dict[str, str], name: str) -> dict[str, float]:
+    """Area under the precision-recall curve of every score column, each precision weighted by its gain in recall.
+
+    Rows of one score enter together. Per score only the number of rows and positives is
+    kept, and running totals come from a range-partitioned order, so no task sees all scores.
+    """
+    out = {}
+    for key, c in scores.items():
+        per = rows.groupBy(F.col(c).alias("s")).agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("y"))
+        placed = stage(per.repartitionByRange(F.desc("s")).sortWithinPartitions(F.desc("s")).withColumn("_at", F.monotonically_increasing_id()), name)
+        part = F.shiftrightunsigned("_at", 33)
+        totals = placed.groupBy(part.alias("part")).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+        offsets = totals.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in "ny"])
+        running = Window.partitionBy("part").orderBy("_at")
+        curve = placed.withColumn("part", part).join(F.broadcast(offsets), "part")
+        curve = curve.select("y", *[(F.sum(c).over(running) + F.col(f"{c}0")).alias(f"{c}1") for c in "ny"])
+        out[key] = curve.agg((F.sum(F.col("y") * F.col("y1") / F.col("n1")) / F.sum("y"))).head()[0] or 0.0
+    return out
+
+
+def permutation_importance(
+    forest: boosting.Forest, rows: DataFrame, repeats: int = 3, top: int = 6, seed: int = 0, split: int = 0
+) -> DataFrame:
+    """Drop in area under precision-recall of a split's model when one feature's column is shuffled.
 
     Rows are numbered once in hash order; a repeat hands every row the feature values of
     the row a fixed distance further on, which is a permutation of the whole column. One
-    self-join per repeat serves all features.
+    self-join and one pass of the model per repeat serve all features.
     """
     spark = rows.sparkSession
     order = [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cand_key"))).asc(), F.col("cand_key").asc()]
     placed = stage(global_rank(rows.select("cand_key", "label", *FEATURES), order, "importance-order", "place"), "importance")
     n = placed.count()
-    metric = BinaryClassificationEvaluator(
-        metricName="areaUnderPR", rawPredictionCol="rawPrediction", labelCol="label", numBins=0
-    )
-    base = metric.evaluate(model.transform(encoded(placed)))
+    base = average_precision(stage(forest.score(placed, ["p"], [split]), "importance-base"), {"": "p"}, "importance-curve")[""]
     drops = {f: 0.0 for f in FEATURES}
     for r in range(repeats):
         shift = 1 + (n * (r + 1)) // (repeats + 1)
@@ -285,9 +277,9 @@ def permutation_importance(model, rows: DataFrame, repeats: int = 3, top: int =
             (F.pmod(F.col("place") - 1 - shift, F.lit(n)) + 1).alias("place"),
             *[F.col(f).alias(f"d_{f}") for f in FEATURES],
         )
-        paired = stage(placed.join(donors, "place"), "importance-pairs")
-        for f in FEATURES:
-            mixed = paired.withColumn(f, F.col(f"d_{f}"))
-            drops[f] += (base - metric.evaluate(model.transform(encoded(mixed)))) / repeats
+        mixed = forest.score_mixed(placed.join(donors, "place"), [f"d_{f}" for f in FEATURES], [f"p_{f}" for f in FEATURES], split)
+        mixed = stage(mixed.select("label", *[f"p_{f}" for f in FEATURES]), "importance-scores")
+        for f, value in average_precision(mixed, {f: f"p_{f}" for f in FEATURES}, "importance-curve").items():
+            drops[f] += (base - value) / repeats
     ranked = sorted(drops.items(), key=lambda x: (-x[1], x[0]))[:top]
     return spark.createDataFrame(ranked, "feature string, importance double")

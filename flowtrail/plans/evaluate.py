@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtrail.operators import cases, compare, graph, queue, ranker, rules, scoring, slices, traversal
+from flowtrail.operators import boosting, cases, compare, graph, queue, ranker, rules, scoring, slices, traversal
 from flowtrail.params import CONTEXT_HOPS, TOP_RINGS
 from flowtrail.plans.detect import Detection
 from flowtrail.session import stage
@@ -114,9 +114,14 @@ class Ranking:
     def training(self) -> DataFrame:
         return stage(training(self.run, self.params.splits), "training")
 
+    @cached_property
+    def forest(self) -> boosting.Forest:
+        """Fitted once; every query of a session that needs a model uses this one."""
+        return ranker.fit(self.training, self.params)
+
     @cached_property
     def scored(self) -> DataFrame:
-        return ranker.train_and_score(self.training, self.params)
+        return ranker.train_and_score(self.training, self.params, self.forest)
 
     def sections(self, top_k: int) -> dict[str, DataFrame]:
         return {

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowtrail.functions.columns import beside, money_sum
@@ -783,10 +783,25 @@ def learned_scores(x: Lab) -> DataFrame:
     )
 
 
-@query("SELECT unnest([10, 25, 50, 100, 250]) AS k")
+@query("""WITH run AS (SELECT split, CASE WHEN touched >= 0 THEN 1 ELSE 0 END AS label, row_number() OVER (PARTITION BY split ORDER BY w DESC, cand_key) AS h
+        FROM tests JOIN keyed USING (cand_key)),
+    depth_list AS (SELECT unnest([10, 25, 50, 100, 250]) AS k)
+    SELECT CAST(split AS INT) AS split, k, least(k, count(*)) AS taken, CAST(sum(label) AS BIGINT) AS labelled_tests, count(*) FILTER (WHERE h <= k AND label = 1) AS heuristic_hits,
+        true AS hits_fit FROM run CROSS JOIN depth_list GROUP BY split, k""")
 def learned_depths(x: Lab) -> DataFrame:
-    """The depths that the fitted ranker is measured at."""
-    return ranker.held_out_precision(x.scored, RANKER).select("k")
+    """What each split's model is measured on: tests taken at each depth of its own order, labelled ones, and how many the heuristic has there."""
+    models = F.array(*[F.col(f"p_{s}") for s in range(RANKER.splits)])
+    tests = x.scored.select("cand_key", "label", "heuristic", models.alias("ps"), F.explode("held_out").alias("split"))
+    by = lambda c: Window.partitionBy("split").orderBy(c, "cand_key")
+    placed = tests.withColumn("h", F.row_number().over(by(F.desc("heuristic")))).withColumn(
+        "l", F.row_number().over(by(F.element_at("ps", F.col("split") + 1).desc()))
+    )
+    per = placed.withColumn("k", F.explode(F.array(*map(F.lit, PRECISION_DEPTHS)))).groupBy("split", "k").agg(
+        F.count_if(F.col("l") <= F.col("k")).alias("taken"), F.sum("label").cast("bigint").alias("labelled_tests"),
+        F.count_if((F.col("h") <= F.col("k")) & (F.col("label") == 1)).alias("heuristic_hits"),
+        F.count_if((F.col("l") <= F.col("k")) & (F.col("label") == 1)).alias("hits"),
+    )
+    return per.withColumn("hits_fit", F.col("hits") <= F.least("taken", "labelled_tests")).drop("hits")
 
 
 @query()
@@ -801,10 +816,8 @@ def learned_queue_order(x: Lab) -> DataFrame:
 
 @query()
 def feature_importance(x: Lab) -> DataFrame:
-    first = x.training.where(~F.array_contains("held_out", 0))
     tests = x.training.where(F.array_contains("held_out", 0))
-    model = ranker.fit(ranker.encoded(first).select("features", "label"), RANKER)
-    return ranker.permutation_importance(model, tests, repeats=3)
+    return ranker.permutation_importance(x.ranking.forest, tests, repeats=3)
 
 
 def by_formula(x: Lab) -> DataFrame:

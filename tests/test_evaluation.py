@@ -135,11 +135,11 @@ def test_held_out_rings_are_whole_and_exactly_thirty_percent(spark):
 
 
 def test_ranker_learns_a_separable_toy_and_scores_every_candidate(spark):
-    params = ranker.RankerParams(splits=2, iterations=5, parallel=2)
+    params = ranker.RankerParams(splits=2, iterations=5, bins=200)
     number = F.col("id").cast("double")
     rows = spark.range(120).select(
         F.col("id").cast("string").alias("cand_key"),
-        *[(number if f == "score" else F.lit(None).cast("double") if f in ranker.OPTIONAL else F.lit(1.0)).alias(f) for f in ranker.FEATURES],
+        *[(number if f == "score" else F.lit(None).cast("double") if f in ranker.NUMERIC[2:] else F.lit(1.0)).alias(f) for f in ranker.FEATURES],
         (F.col("id") >= 80).cast("double").alias("label"),
         F.when(F.col("id") % 3 == 0, F.array(F.lit(0))).when(F.col("id") % 3 == 1, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("held_out"),
         number.alias("heuristic"),
@@ -150,6 +150,6 @@ def test_ranker_learns_a_separable_toy_and_scores_every_candidate(spark):
     assert min(r.learned for r in got if r.label) > max(r.learned for r in got if not r.label)
     table = {r.k: r for r in ranker.held_out_precision(scored, params, (5, 10)).collect()}
     assert table[5].learned_mean == table[10].learned_mean == 1 and table[10].learned_wins == 0
-    model = ranker.fit(ranker.encoded(rows).select("features", "label"), params)
+    model = ranker.fit(rows, params)
     best = ranker.permutation_importance(model, rows, repeats=1, top=2).collect()
     assert best[0].feature == "score" and best[0].importance > 0.1 and best[1].importance == 0
