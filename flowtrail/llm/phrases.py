@@ -5,12 +5,14 @@ are replaced by ranks. Two frequent units side by side, each of m words and shar
 them, are a pair that stands for a phrase of m + 1 words. Within a block, units are numbered
 in the order of their ranks, so that pairs fall into square tiles whose first ones hold
 nearly everything: a crowded tile is counted by ``bincount`` over all its cells, the pairs of
-the others as sorted coordinates. Block counts are added up by Spark; frequent pairs are
-ranked in turn and are the units of the next round.
+the others as sorted coordinates. Sorted and packed by hash buckets of bounded size, the
+counts of all blocks meet; a bucket adds them up, ranks its frequent pairs by a number that
+orders by frequency first, and hands every block the ranks of the pairs that it holds. They
+are the units of the next round.
 
 A block only ever meets the ranks of its own units, in a shuffle by block. Nothing that grows
 with the corpus is sent to the driver or to all tasks, unless Spark itself finds a table of
-ranks small enough to broadcast.
+word ranks small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtrail.operators.queue import global_rank
@@ -30,6 +32,10 @@ NO_LANG = "und"
 BLOCK_WORDS = 1 << 20
 #: Side of a tile, and how many pairs make counting all its cells worth while.
 SIDE, CROWDED = 1024, 1 << 16
+#: Words of the corpus for each bucket of pairs, which holds no more pairs than that.
+BUCKET_WORDS = 1 << 21
+#: Bits of a pair's rank: frequency (counted down, capped for the order only), bucket, place in the bucket.
+F_BITS, BUCKET_BITS, PLACE_BITS = 20, 21, 22
 #: Cuts pieces at these, and words at blanks and tabs.
 STOPS = b".,;:!?\n\x0b\x0c\r"
 CLEAN = bytes(10 if i in STOPS else 32 if i == 9 else i for i in range(256))
@@ -137,16 +143,76 @@ def counted(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranks[i], ranks[j], n.astype(np.int64)
 
 
-def pair_counter(batches):
-    for batch in batches:
-        for block, size, codes in zip(batch.column("block").to_pylist(), batch.column("size").to_pylist(), batch.column("codes")):
-            left, right, n = counted(unpacked(codes.as_buffer(), size))
-            for k in range(0, len(n), 100_000):
-                part = slice(k, k + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n[part]), block)), pa.array(left[part]), pa.array(right[part]), pa.array(n[part])],
-                    ["block", "left", "right", "n"],
-                )
+def sealed(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, the first one ascending, packed."""
+    first, *rest = columns
+    return pa.compress(np.concatenate([np.diff(first, prepend=0), *rest]).astype("<i8"), codec=CODEC, asbytes=True)
+
+
+def opened(data, size: int, columns: int = 3) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(data, columns * size * 8, codec=CODEC, asbytes=True), "<i8").reshape(columns, size).copy()
+    np.cumsum(flat[0], out=flat[0])
+    return flat
+
+
+def bucket_of(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def pair_counter(buckets: int):
+    """Counts of the pairs of every block, packed by bucket."""
+
+    def run(batches):
+        for batch in batches:
+            for block, size, codes in zip(batch.column("block").to_pylist(), batch.column("size").to_pylist(), batch.column("codes")):
+                left, right, n = counted(unpacked(codes.as_buffer(), size))
+                bucket = bucket_of(left, right, buckets)
+                order = np.lexsort((right, left, bucket))
+                left, right, n, bucket = left[order], right[order], n[order], bucket[order]
+                at = np.flatnonzero(np.diff(bucket, prepend=-1))
+                ends = np.append(at[1:], len(bucket))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(bucket[at]), pa.array(np.full(len(at), block)), pa.array(ends - at),
+                         pa.array([sealed(left[i:j], right[i:j], n[i:j]) for i, j in zip(at, ends)], pa.binary())],
+                        ["bucket", "block", "size", "data"],
+                    )
+
+    return run
+
+
+def pair_summer(least: int, placed: bool):
+    """Frequent pairs of a bucket (block -1) and, if ``placed``, those of every block with their ranks."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket, blocks = rows["bucket"][0].as_py(), rows["block"].to_pylist()
+        parts = [opened(d.as_buffer(), n) for d, n in zip(rows["data"], rows["size"].to_pylist())]
+        left, right, n = np.concatenate(parts, axis=1)
+        ends = np.cumsum([p.shape[1] for p in parts])
+        del parts
+        lefts, i = np.unique(left, return_inverse=True)
+        rights, j = np.unique(right, return_inverse=True)
+        keys, place = np.unique(i * len(rights) + j, return_inverse=True)
+        f = np.bincount(place, n).astype(np.int64)
+        often = np.flatnonzero(f >= least)
+        rank = np.full(len(keys), -1)
+        low = (1 << F_BITS) - 1 - np.minimum(f[often], (1 << F_BITS) - 1)
+        rank[often] = (low << BUCKET_BITS + PLACE_BITS) + (bucket << PLACE_BITS) + np.arange(len(often))
+        out = [(-1, int(rank[k]), int(a), int(b), int(f[k]), 0, None) for k, a, b in
+               zip(often, lefts[keys[often] // len(rights)], rights[keys[often] % len(rights)])]
+        if placed:
+            mine = rank[place]
+            for block, start, end in zip(blocks, [0, *ends], ends):
+                held = start + np.flatnonzero(mine[start:end] >= 0)
+                if len(held):
+                    out.append((block, 0, 0, 0, 0, len(held), sealed(left[held], right[held], mine[held])))
+        names = ["block", "id", "left", "right", "f", "size", "data"]
+        kinds = [pa.int64()] * 6 + [pa.binary()]
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(names, zip(*out) if out else [()] * 7, kinds)})
+
+    return run
 
 
 def block_table(rows: list[tuple]) -> pa.Table:
@@ -169,7 +235,8 @@ def word_ranker(blocks: pa.Table, ranks: pa.Table) -> pa.Table:
 def pair_ranker(blocks: pa.Table, ranks: pa.Table) -> pa.Table:
     """Ranks of pairs in place of those of their left units; -1 where a pair is not frequent."""
     out = []
-    left, right, rank = (ranks[c].to_numpy() for c in ("left", "right", "rank"))
+    parts = [opened(d.as_buffer(), n) for d, n in zip(ranks["data"], ranks["n"].to_pylist())]
+    left, right, rank = np.concatenate(parts, axis=1) if parts else np.empty((3, 0), np.int64)
     for row in blocks.to_pylist():
         units = unpacked(row["codes"], row["size"])
         known, place = np.unique(np.concatenate([left, right]), return_inverse=True)
@@ -218,7 +285,6 @@ def collocations(
     longer phrase around them are dropped. Order is score and a descending, then phrase. Repeated rows count
     each time. Empty tables and tables without such phrases give no rows. Other columns do not matter.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text"))
     blocks = stage(rows.mapInArrow(blocker(block_words), f"{BLOCK}, words array<string>, counts array<long>"), "phrase_blocks")
     own = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).select(
@@ -240,14 +306,17 @@ def collocations(
     release(old)
 
     levels = []
+    buckets = max(1, -(-(totals.agg(F.sum("n")).head()[0] or 0) // BUCKET_WORDS))
     for m in range(2, longest + 1):
-        pairs = stage(blocks.select("block", "size", "codes").mapInArrow(pair_counter, "block long, left long, right long, n long"), "phrase_pairs")
-        often = pairs.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        ordered = stage(global_rank(often, [F.desc("f"), F.asc("left"), F.asc("right")], "phrase_order", "rank"), "phrase_ranks")
+        counts = blocks.select("block", "size", "codes").mapInArrow(pair_counter(buckets), "bucket long, block long, size long, data binary")
+        found = counts.groupBy("bucket").applyInArrow(
+            pair_summer(least, m < longest), "block long, id long, left long, right long, f long, size long, data binary"
+        )
+        found = stage(found, "phrase_pairs")
         a = units.select(F.col("rank").alias("left"), "lang", F.col("phrase").alias("_a"), F.col("f").alias("_fa"), "heads")
         b = units.select(F.col("rank").alias("right"), F.col("phrase").alias("_b"), F.col("f").alias("_fb"), "tails")
         units = stage(
-            ordered.join(a, "left").join(b, "right").select(
+            found.where("block < 0").select(F.col("id").alias("rank"), "left", "right", "f").join(a, "left").join(b, "right").select(
                 "rank", "lang", F.concat_ws(" ", "_a", F.substring_index("_b", " ", -1)).alias("phrase"), "f",
                 F.concat("heads", F.array("_fa")).alias("heads"), F.concat(F.array("_fb"), "tails").alias("tails"),
                 "left", "right", "_fa", "_fb",
@@ -256,10 +325,10 @@ def collocations(
         )
         levels.append(units)
         if m < longest:
-            ranks = pairs.join(ordered.select("left", "right", "rank"), ["left", "right"]).select("block", "left", "right", "rank")
+            ranks = found.where("block >= 0").select("block", F.col("size").alias("n"), "data")
             old, blocks = blocks, stage(reranked(blocks, ranks, pair_ranker), "phrase_blocks")
             release(old)
-        release(pairs)
+        release(found)
 
     kept = []
     for unit, longer in zip(levels, [*levels[1:], None]):
@@ -274,9 +343,12 @@ def collocations(
         every = every.unionByName(more)
     few = F.broadcast(totals) if totals.count() <= 10_000 else totals
     best = every.join(few, "lang").withColumn("b", lowest_cut())
-    order = Window.partitionBy("lang").orderBy(F.desc("b.score"), F.desc("a"), F.asc("phrase"))
+    # Ranked in one order of all languages by ranges, so a language that holds most phrases is no task of its own.
+    order = [F.asc("lang"), F.desc("b.score"), F.desc("a"), F.asc("phrase")]
+    ranked = stage(global_rank(best.select("lang", "phrase", "a", "n", "b"), order, "phrase_order", "at"), "phrase_ranks")
+    first = ranked.groupBy("lang").agg(F.min("at").alias("first"))
     return (
-        best.withColumn("rank", F.row_number().over(order))
+        ranked.join(first, "lang").withColumn("rank", F.col("at") - F.col("first") + 1)
         .where(F.col("rank") <= top)
         .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "b.l", "b.r", "n", "b.score")
     )

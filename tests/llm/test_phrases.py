@@ -50,8 +50,9 @@ def corpus(n=300):
     return rows + odd_rows()
 
 
-@pytest.mark.parametrize("least, block_words", [(12, 1 << 21), (5, 200), (30, 1)])
-def test_phrases_are_those_of_the_plain_version(spark, least, block_words):
+@pytest.mark.parametrize("least, block_words, bucket_words", [(12, 1 << 20, 1 << 21), (5, 200, 300), (30, 1, 5000)])
+def test_phrases_are_those_of_the_plain_version(spark, monkeypatch, least, block_words, bucket_words):
+    monkeypatch.setattr(phrases, "BUCKET_WORDS", bucket_words)
     rows = corpus()
     out = phrases.collocations(frame(spark, rows), least, block_words=block_words)
     assert out.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
