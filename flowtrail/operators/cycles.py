@@ -1,9 +1,11 @@
-"""Simple directed cycles of two, three or four accounts.
+"""Simple directed cycles up to any length.
 
 Two-cycles are reciprocal edges, already flagged on the edge table. Longer cycles are
 found from the end with the smaller degree: each edge belongs to its lower end in the
 (degree, id) order, so the paths enumerated grow with E * sqrt(E) and never with the
-square of a hub's degree. Cycles on the same accounts collapse to one candidate.
+square of a hub's degree. From five accounts on, two half paths from a cycle's highest account
+meet in the middle: both only step on lower accounts, so a cycle is found once, and half a
+cycle's length is all that paths grow to. Cycles on the same accounts collapse to one candidate.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtrail.functions.columns import evidence
+from flowtrail.session import stage
 
 # Fixed values.
 SHORT_SCORE, LONG_SCORE = 0.4, 0.8
@@ -76,6 +79,42 @@ def four_cycles(edges: DataFrame) -> DataFrame:
     )
 
 
+def _half_paths(live: DataFrame, steps: int, onward: bool) -> dict[int, DataFrame]:
+    """Paths of 1 to ``steps`` edges from (or, not ``onward``, to) an account over lower ones: top, end, path without top.
+
+    Each length is written once and extended from there.
+    """
+    near, far = ("src", "dst") if onward else ("dst", "src")
+    first = live.where(F.struct(f"{far}_degree", far) < F.struct(f"{near}_degree", near)).select(
+        F.col(near).alias("top"), F.col(f"{near}_degree").alias("top_degree"), F.col(far).alias("end"), F.array(far).alias("path")
+    )
+    found = {1: first}
+    for n in range(2, steps + 1):
+        step = live.select(F.col(near).alias("end"), F.col(far).alias("next"), F.col(f"{far}_degree").alias("next_degree"))
+        lower = F.struct("next_degree", "next") < F.struct("top_degree", "top")
+        longer = found[n - 1].join(step, "end").where(lower & ~F.array_contains("path", F.col("next")))
+        longer = longer.select("top", "top_degree", F.col("next").alias("end"), F.concat("path", F.array("next")).alias("path"))
+        found[n] = stage(longer, "half-paths")
+    return found
+
+
+def longer_cycles(edges: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """Cycles of ``shortest`` to ``longest`` accounts, at least three: half paths that share only their two ends."""
+    live = stage(_on_cycles(edges), "cycle-edges")
+    ahead = _half_paths(live, (longest + 1) // 2, True)
+    back = _half_paths(live, longest // 2, False)
+    out = None
+    for length in range(shortest, longest + 1):
+        a, b = ahead[(length + 1) // 2], back[length // 2]
+        b = b.select(F.col("top"), F.col("end"), F.col("path").alias("back"))
+        # Both paths end at the account where they meet.
+        met = a.join(b, ["top", "end"]).where(F.size(F.array_intersect("path", "back")) == 1)
+        rest = F.slice(F.reverse("back"), F.lit(2), F.size("back"))
+        paths = met.select(F.concat(F.array("top"), "path", rest).alias("path"))
+        out = paths if out is None else out.unionByName(paths)
+    return out
+
+
 def _from_smallest(path: Column) -> Column:
     """The rotation of a path that starts at its smallest account."""
     start = F.array_position(path, F.array_min(path)).cast("int")
@@ -84,14 +123,16 @@ def _from_smallest(path: Column) -> Column:
 
 def cycles(edges: DataFrame, max_length: int = 4) -> DataFrame:
     """Cycle candidates up to ``max_length``, one per set of accounts."""
-    if not 2 <= max_length <= 4:
-        raise ValueError("cycle length must be 2, 3 or 4")
+    if max_length < 2:
+        raise ValueError("a cycle has two accounts at least")
     found = two_cycles(edges)
     longer = None
     if max_length >= 3:
         longer = three_cycles(edges)
-    if max_length == 4:
+    if max_length >= 4:
         longer = longer.unionByName(four_cycles(edges))
+    if max_length >= 5:
+        longer = longer.unionByName(longer_cycles(edges, 5, max_length))
     paths = found.select(F.col("path").alias("accounts"), "path")
     if longer is not None:
         paths = paths.unionByName(

@@ -540,6 +540,57 @@ def cycle_length_four(x: Lab) -> DataFrame:
     return _cycles(x, 4)
 
 
+def _edges_with_rings(x: Lab) -> DataFrame:
+    """The graph's edges and, apart from them, rings of three to seven accounts made of the customers, some with a short cut."""
+    size = F.lit(3) + F.col("g") % 5
+    members = x.spark.read.parquet(f"{x.folder}/customer.parquet").select(
+        F.floor(F.col("c_custkey") / 97).alias("g"), (F.col("c_custkey") % 97).alias("i")
+    ).where(F.col("i") < size)
+    name = lambda i: F.concat(F.lit("R"), F.col("g").cast("string"), F.lit("_"), i.cast("string"))
+    ahead = F.array((F.col("i") + 1) % size, F.when((F.col("i") == 0) & (F.col("g") % 3 == 0) & (size > 3), F.lit(2)))
+    made = members.select("*", F.explode(F.array_compact(ahead)).alias("to")).select(
+        name(F.col("i")).alias("from_node"), name(F.col("to")).alias("to_node"), F.lit(1.0).alias("amount_paid"),
+        F.lit("2022-09-01 00:00:00").cast("timestamp_ntz").alias("timestamp"),
+    )
+    pairs = stage(graph.pair_table(made), "ring-pairs")
+    return x.run.edges.unionByName(graph.enriched_edges(pairs, graph.account_table(pairs)))
+
+
+_RINGED = """WITH ringer AS (SELECT c_custkey // 97 AS g, c_custkey % 97 AS i, 3 + (c_custkey // 97) % 5 AS n FROM customer WHERE c_custkey % 97 < 3 + (c_custkey // 97) % 5),
+    all_edge AS (SELECT f, t FROM edge UNION ALL SELECT 'R' || g || '_' || i, 'R' || g || '_' || ((i + 1) % n) FROM ringer
+        UNION ALL SELECT 'R' || g || '_0', 'R' || g || '_2' FROM ringer WHERE i = 0 AND g % 3 = 0 AND n > 3),
+    deg AS (SELECT n, count(*) AS d FROM (SELECT f AS n FROM all_edge UNION ALL SELECT t FROM all_edge) GROUP BY n),
+    place AS (SELECT n, row_number() OVER (ORDER BY d, n) AS r FROM deg),
+    e AS (SELECT a.r AS f, b.r AS t FROM all_edge JOIN place a ON a.n = all_edge.f JOIN place b ON b.n = all_edge.t),
+    a2 AS (SELECT x.f AS top, x.t AS p, y.t AS q FROM e x JOIN e y ON y.f = x.t WHERE x.t < x.f AND y.t < x.f),
+    a3 AS (SELECT top, p, q, y.t AS s FROM a2 JOIN e y ON y.f = a2.q WHERE y.t < top AND y.t <> p),
+    b2 AS (SELECT x.t AS top, x.f AS p, y.f AS q FROM e x JOIN e y ON y.t = x.f WHERE x.f < x.t AND y.f < x.t),
+    b3 AS (SELECT top, p, q, y.f AS s FROM b2 JOIN e y ON y.t = b2.q WHERE y.f < top AND y.f <> p),
+    c5 AS (SELECT DISTINCT list_sort([a3.top, a3.p, a3.q, a3.s, b2.p]) AS k FROM a3 JOIN b2 ON b2.top = a3.top AND b2.q = a3.s WHERE b2.p NOT IN (a3.p, a3.q)),
+    c6 AS (SELECT DISTINCT list_sort([a3.top, a3.p, a3.q, a3.s, b3.p, b3.q]) AS k FROM a3 JOIN b3 ON b3.top = a3.top AND b3.s = a3.s
+        WHERE b3.p NOT IN (a3.p, a3.q) AND b3.q NOT IN (a3.p, a3.q)),
+    named AS (SELECT k, list_sort(list(n)) AS accounts FROM (SELECT k, unnest(k) AS r FROM ({0})) JOIN place USING (r) GROUP BY k)
+"""
+
+
+@query(_RINGED.format("SELECT k FROM c5") + f"SELECT {_SET.format('accounts')} AS accounts, 5::BIGINT AS length FROM named")
+def cycle_length_five(x: Lab) -> DataFrame:
+    found = cycles.cycles(_edges_with_rings(x), 5).where("evidence.length = 5")
+    return found.select(joined("accounts").alias("accounts"), F.col("evidence.length").cast("bigint").alias("length"))
+
+
+@query(_RINGED.format("SELECT k FROM c5 UNION ALL SELECT k FROM c6") + """SELECT len(accounts)::BIGINT AS length, count(*) AS cycles, min(array_to_string(accounts, '|')) AS first,
+    sum(('0x' || substr(md5(array_to_string(accounts, '|')), 1, 8))::BIGINT)::BIGINT AS checksum FROM named GROUP BY 1""")
+def cycle_length_six(x: Lab) -> DataFrame:
+    """Cycles of five and six accounts: how many there are, the first one, and a checksum of all."""
+    found = cycles.cycles(_edges_with_rings(x), 6).where("evidence.length > 4")
+    name = F.array_join("accounts", "|")
+    digest = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint")
+    return found.groupBy(F.col("evidence.length").cast("bigint").alias("length")).agg(
+        F.count("*").alias("cycles"), F.min(name).alias("first"), F.sum(digest).alias("checksum")
+    )
+
+
 @query("SELECT kind, count(*) AS candidates FROM cand GROUP BY kind")
 def detector_report(x: Lab) -> DataFrame:
     return queue.detector_report(x.run.candidates)

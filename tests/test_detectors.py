@@ -128,7 +128,7 @@ def brute_cycles(edges, limit):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("limit", [2, 3, 4])
+@pytest.mark.parametrize("limit", [2, 3, 4, 5, 7])
 def test_cycles_match_exhaustive_search(transfers, seed, limit):
     rng = random.Random(seed)
     names = [f"n{i}" for i in range(12)]
@@ -148,7 +148,7 @@ def test_triangle_orientations_and_hamiltonian_cycles_collapse(transfers):
     _, edges = tables(transfers(full))
     assert sum(len(r.accounts) == 4 for r in cycles.cycles(edges, 4).collect()) == 1
     with pytest.raises(ValueError):
-        cycles.cycles(edges, 5)
+        cycles.cycles(edges, 1)
 
 
 def test_order_and_partitioning_do_not_matter(transfers, spark):
