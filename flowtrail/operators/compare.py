@@ -45,7 +45,7 @@ def pair_depth(labels: DataFrame, rings: DataFrame) -> DataFrame:
     """
     ranks = stage(best_rank(rings), "best-rank")
     one = attach(labels, ranks, ("from_node", "account"), {"best_rank": "from_rank"})
-    both = attach(one, ranks, ("to_node", "account"), {"best_rank": "to_rank"})
+    both = attach(one, ranks, ("to_node", "account"), {"best_rank": "to_rank"}, keys_from=labels)
     known = F.col("from_rank").isNotNull() & F.col("to_rank").isNotNull()
     return both.select(
         "from_node", "to_node", "rows", "bad", F.when(known, F.greatest("from_rank", "to_rank")).alias("depth")

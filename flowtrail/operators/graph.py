@@ -155,6 +155,7 @@ def enriched_edges(pairs: DataFrame, accounts: DataFrame) -> DataFrame:
         stats,
         ("to_node", "node"),
         {"degree": "to_degree", "in_degree": "to_in_degree", "out_degree": "to_out_degree", "in_mean": "to_in_mean"},
+        keys_from=pairs,
     )
 
 

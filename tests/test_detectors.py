@@ -172,6 +172,7 @@ def test_hot_account_takes_the_heavy_paths_with_equal_results(transfers, monkeyp
     plain = Detection(transfers(rows)).rings.select(*cols).orderBy("ring_id").collect()
     monkeypatch.setattr(skew, "LIGHT_ROWS", 15)
     monkeypatch.setattr(skew, "MAX_HEAVY_KEYS", 20)
+    monkeypatch.setattr(skew, "SKETCH_KEYS", 20)
     run = Detection(transfers(rows))
     assert skew.heavy_keys(run.accounts, "out_degree").count() >= 1
     assert plain == run.rings.select(*cols).orderBy("ring_id").collect()
