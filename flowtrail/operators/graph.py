@@ -172,12 +172,12 @@ def undirected_degree(pairs: DataFrame) -> DataFrame:
     return ends.groupBy(F.col("e.node").alias("node")).agg(F.sum("e.one").alias("degree"))
 
 
-def graph_stats(transfers: DataFrame, components: DataFrame) -> DataFrame:
+def graph_stats(nodes: DataFrame, edges: DataFrame, components: DataFrame) -> DataFrame:
     """Size of the graph and of its weak components (``node, component`` rows)."""
-    nodes = node_table(transfers).agg(
+    nodes = nodes.agg(
         F.count("*").alias("nodes"), F.count_if(F.col("self_loop_count") > 0).alias("self_loop_nodes")
     )
-    edges = edge_table(transfers).agg(F.count("*").alias("edges"))
+    edges = edges.agg(F.count("*").alias("edges"))
     sizes = (
         components.groupBy("component")
         .agg(F.count("*").alias("members"))

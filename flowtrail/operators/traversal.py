@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowtrail.functions.skew import attach
+from flowtrail.operators.queue import global_rank
 from flowtrail.session import release, stage
 
 
@@ -38,42 +40,73 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _star(links: DataFrame) -> DataFrame:
-    """Each account's neighbours, itself left out, beside the smallest account it knows."""
-    least = links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"))
-    return links.join(least, "u")
+def account_ids(nodes: DataFrame) -> DataFrame:
+    """``node, id``: accounts numbered 1..n in the order of their names, by ranges, so that joins can carry longs."""
+    return stage(global_rank(nodes.select("node"), [F.asc("node")], "account-order", "id"), "account-ids")
 
 
-def weak_components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, component`` with the smallest account id as the component's name.
+def contracted_components(links: DataFrame, sizes: list[int] | None = None) -> DataFrame:
+    """``id, component`` with the smallest id, for all ids of ``links`` (u, v: longs, u > v, distinct).
 
-    Alternating large-star and small-star contraction (Kiveris et al., SoCC 2014) over
-    account pairs in either direction or both. The minimum per account is a partial
-    aggregate and the join with it is many to one between two plain exchanges, so the hubs
-    that contraction creates are split by AQE. A round writes one table and deletes the one
-    before; the links' count and checksum, read from that table, tell when nothing moves.
+    Local contraction (Lacki, Mirrokni, Wlodarczyk 2018): in every round each account goes to
+    the one of smallest hash among itself and its neighbours, and links are drawn between
+    the accounts gone to. The account of largest hash of a component is never gone to, so
+    every round has fewer accounts, on average by a constant factor, until no link is left;
+    ``sizes`` is given the number of links of each round. Names of the components then go
+    back through the rounds. Rounds write their own tables, so a lost executor costs its tasks.
     """
-    links = stage(
-        pairs.where(F.col("from_node") != F.col("to_node"))
-        .select(F.greatest("from_node", "to_node").alias("u"), F.least("from_node", "to_node").alias("v"))
-        .distinct(),
-        "links",
-    )
-    mark = None
+    rounds = []
+    # Smallest id that stands behind each account of the round.
+    least = None
     while True:
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
-        if now[0] == 0 or now == mark:
+        number, n = len(rounds), links.count()
+        if sizes is not None:
+            sizes.append(n)
+        if n == 0:
             break
-        mark, old = now, links
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
-        small = _star(large).select(
-            F.explode(
-                F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))
-            ).alias("l")
-        )
-        links = stage(small.select("l.*").where("u != v").distinct(), "links")
-        release(old)
-    return nodes.select("node").join(links, F.col("node") == F.col("u"), "left").select(
-        "node", F.coalesce("v", "node").alias("component")
+        hashed = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(number)).alias("h"), F.col(c).alias("id"))
+        ends = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        best = ends.groupBy("u").agg(F.min(hashed("v")).alias("best"))
+        gone = best.select(F.col("u").alias("id"), F.least(F.col("best"), hashed("u")).getField("id").alias("leader"))
+        gone = gone.withColumn("least", F.col("id")) if least is None else gone.join(least, "id")
+        gone = stage(gone, "component-leaders")
+        least = stage(gone.groupBy(F.col("leader").alias("id")).agg(F.min("least").alias("least")), "component-least")
+        to = gone.select("id", "leader")
+        old = links
+        moved = links.join(to.toDF("u", "lu"), "u").join(to.toDF("v", "lv"), "v").where("lu != lv")
+        links = stage(moved.select(F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v")).distinct(), "component-links")
+        if rounds:
+            release(old)
+        rounds.append((gone, least))
+    names = None
+    for gone, least in reversed(rounds):
+        # What the account gone to is called: by later rounds, or, if it has no link there, by its smallest id.
+        called = least.select(F.col("id").alias("leader"), F.col("least").alias("component"))
+        if names is not None:
+            later = names.select(F.col("id").alias("leader"), F.col("component").alias("later"))
+            called = called.join(later, "leader", "left").select("leader", F.coalesce("later", "component").alias("component"))
+        names = stage(gone.select("id", "leader").join(called, "leader").select("id", "component"), "component-names")
+    if names is None:
+        return links.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return names
+
+
+def weak_components(pairs: DataFrame, nodes: DataFrame, sizes: list[int] | None = None) -> DataFrame:
+    """``node, component`` with the smallest account id as the component's name.
+
+    ``pairs`` holds account pairs in either direction, or both, any number of times; accounts
+    without a link to another one are components of their own. A join with a hub's links is
+    many to one, so AQE splits it.
+    """
+    ids = account_ids(nodes)
+    named = (
+        pairs.where(F.col("from_node") != F.col("to_node"))
+        .select(F.greatest("from_node", "to_node").alias("from_node"), F.least("from_node", "to_node").alias("to_node"))
+        .distinct()
     )
+    links = named.join(ids.toDF("from_node", "u"), "from_node").join(ids.toDF("to_node", "v"), "to_node").select("u", "v")
+    found = contracted_components(stage(links, "component-links"), sizes)
+    names = ids.select(F.col("id").alias("component"), F.col("node").alias("name"))
+    own = stage(ids.join(found, "id", "left").select("node", F.coalesce("component", "id").alias("component")), "components")
+    # Most accounts may lie in one component.
+    return attach(own, names, ("component", "component"), {"name": "name"}).select("node", F.col("name").alias("component"))

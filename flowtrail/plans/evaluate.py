@@ -88,10 +88,21 @@ class Evaluation:
     def predicted(self) -> DataFrame:
         return scoring.memberships(self.run.rings)
 
-    def graph_stats(self, transfers: DataFrame) -> DataFrame:
-        nodes = graph.node_table(transfers)
-        components = traversal.weak_components(transfers, nodes)
-        return graph.graph_stats(transfers, components)
+    @cached_property
+    def graph_nodes(self) -> DataFrame:
+        return stage(graph.node_table(self.run.transfers), "graph-nodes")
+
+    @cached_property
+    def graph_edges(self) -> DataFrame:
+        return stage(graph.edge_table(self.run.transfers), "graph-edges")
+
+    @cached_property
+    def components(self) -> DataFrame:
+        return stage(traversal.weak_components(self.graph_edges, self.graph_nodes), "components")
+
+    @cached_property
+    def graph_stats(self) -> DataFrame:
+        return graph.graph_stats(self.graph_nodes, self.graph_edges, self.components)
 
 
 def ranking_candidates(run: Detection) -> DataFrame:

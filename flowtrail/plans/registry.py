@@ -443,8 +443,7 @@ _COMPONENTS = """WITH tied AS (SELECT f AS a, t AS b FROM transfers WHERE f <> t
 
 @query(_COMPONENTS + "SELECT node, component FROM cc")
 def weak_components(x: Lab) -> DataFrame:
-    nodes = graph.node_table(x.transfers)
-    return traversal.weak_components(x.transfers, nodes)
+    return x.evaluation.components
 
 
 @query(_COMPONENTS + """SELECT (SELECT count(*) FROM verts) AS nodes,
@@ -453,7 +452,7 @@ def weak_components(x: Lab) -> DataFrame:
     (SELECT count(DISTINCT component) FROM cc) AS weakly_connected_components,
     (SELECT max(n) FROM (SELECT count(*) AS n FROM cc GROUP BY component)) AS largest_component""")
 def graph_statistics(x: Lab) -> DataFrame:
-    return x.evaluation.graph_stats(x.transfers)
+    return x.evaluation.graph_stats
 
 
 @query("""WITH one AS (SELECT DISTINCT account AS node FROM truth_acc),
