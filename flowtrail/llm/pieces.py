@@ -30,7 +30,7 @@ BLANK = "▁"
 #: Longer units are not shuffled.
 LONGEST_UNIT = 64
 #: Longest word whose ids are kept, and how many of them.
-LONGEST_KEPT, MOST_KEPT = 1024, 500_000
+LONGEST_KEPT, MOST_KEPT = 1024, 300_000
 CHUNK_DOCS = 16_384
 #: Partitions of distinct units for each chunk of documents.
 UNIT_PARTS = 12
@@ -343,12 +343,34 @@ class Speller:
         self.length = np.array([len(p) for p in pieces], np.int64)
         self.start = np.cumsum(self.length) - self.length
 
-    def text(self, ids: np.ndarray) -> str:
-        """The bytes of the ids, without the blank in front."""
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids, all in one gather."""
         n = self.length[ids]
         ends = np.cumsum(n)
-        at = np.repeat(self.start[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-        return self.flat[at].tobytes()[1:].decode("utf-8", "replace")
+        at = np.repeat((self.start[ids] - ends + n).astype(np.int32 if len(ends) and ends[-1] < 1 << 31 else np.int64), n)
+        at += np.arange(len(at), dtype=at.dtype)
+        return self.flat[at].tobytes()
+
+    def text(self, ids: np.ndarray) -> str:
+        """The bytes of the ids, without the blank in front."""
+        return self.spelled(ids)[1:].decode("utf-8", "replace")
+
+    def exact(self, texts: list[str | None], found: list[bytes | None]) -> list[bool | None]:
+        """Whether the ids of each text spell it: for many at once, and one by one only if some do not."""
+        own = [i for i, t in enumerate(texts) if t is not None]
+        out: list[bool | None] = [None] * len(texts)
+        for k in range(0, len(own), 256):
+            some = own[k : k + 256]
+            want = "".join([f" {texts[i]}" for i in some]).encode("utf-8", "replace")
+            ids = np.frombuffer(b"".join([found[i] for i in some]), np.int32)
+            # Equal as a whole, and each part must have its text's length.
+            if same := self.spelled(ids) == want:
+                size = np.concatenate([[0], np.cumsum(self.length[ids])])
+                ends = np.cumsum([0] + [len(found[i]) // 4 for i in some])
+                same = np.diff(size[ends]).tolist() == [len(texts[i].encode("utf-8", "replace")) + 1 for i in some]
+            for i in some:
+                out[i] = same or self.text(np.frombuffer(found[i], np.int32)) == texts[i]
+        return out
 
 
 def applier(model: Model, columns: list[str]):
@@ -367,11 +389,9 @@ def applier(model: Model, columns: list[str]):
         out = []
         for data in packed["packed"].to_pylist():
             table = unpacked(data)
-            found, exact = [], []
-            for text in table["text"].to_pylist():
-                ids = None if text is None else b"".join(map(encodings.__getitem__, cutter.words(text)))
-                found.append(ids)
-                exact.append(None if ids is None else speller.text(np.frombuffer(ids, np.int32)) == text)
+            texts = table["text"].to_pylist()
+            found = [None if t is None else b"".join(map(encodings.__getitem__, cutter.words(t))) for t in texts]
+            exact = speller.exact(texts, found)
             lengths = np.array([len(x or b"") // 4 for x in found])
             ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32(), mask=np.array([x is None for x in found] + [False]))
             values = pa.array(np.frombuffer(b"".join(x or b"" for x in found), np.int32))

@@ -102,3 +102,17 @@ def test_what_follows_leaves_the_ids_before_it(spark):
     rows = [row(i, base + more) for i, more in enumerate(["", "\t", " " + "w" * 100, " \x00", " ▁", "\x0b\n", " https://a.b/" + "c1" * 80])]
     ids = {r.doc_id: r.ids for r in pieces.encode(frame(spark, rows), MODEL).collect()}
     assert all(ids[i][: len(ids[0])] == ids[0] for i in ids)
+
+
+def test_many_texts_at_once_are_told_exact_one_by_one():
+    model = pieces.Model.read()
+    speller, folder, cutter = pieces.Speller(model.bytes_of), pieces.Folder(model), model.cutter()
+    texts = ["a few words", "", None, "é 日本 x", "more words here"] * 120
+    found = [None if t is None else b"".join(folder.ids(n) for n in pieces.names(t, cutter)) for t in texts]
+    assert speller.exact(texts, found) == [None if t is None else True for t in texts]
+    # Ids that belong to the neighbour, and ids of another text.
+    moved = list(found)
+    moved[0], moved[1] = found[0] + found[1], b""
+    assert speller.exact(texts, moved)[:3] == [False, True, None]  # no ids spell the empty text
+    moved = [found[4], *found[1:]]
+    assert speller.exact(texts, moved) == [False, *[None if t is None else True for t in texts[1:]]]
