@@ -49,6 +49,19 @@ def reconciliation(labelled: DataFrame, patterns: DataFrame, order: str = "line"
     return beside(rows, log, key_counts, unmatched)
 
 
+def gate(report: DataFrame) -> DataFrame:
+    """A reconciliation with ``passed``: every key of the log matched a transfer."""
+    return report.withColumn("passed", F.col("unmatched_pattern_keys") == 0)
+
+
+def require_matched(report: DataFrame) -> DataFrame:
+    """The reconciliation itself; refuses a log some of whose keys match no transfer."""
+    row = report.select("unmatched_pattern_keys", "pattern_keys").head()
+    if row[0]:
+        raise ValueError(f"{row[0]} of {row[1]} keys of the ring log match no transfer")
+    return report
+
+
 def ring_members(patterns: DataFrame) -> DataFrame:
     """Distinct ``ring_id, pattern_type, node`` of labelled transfers."""
     return patterns.select(

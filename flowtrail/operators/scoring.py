@@ -298,3 +298,19 @@ def calibration(labelled: DataFrame, all_accounts: DataFrame, coverage: float =
         row = beside(accounts, rings).withColumn("baseline", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def calibration_verdict(rows: DataFrame) -> DataFrame:
+    """``baseline, passed``: whether the scorer gives the baselines what they must get.
+
+    The oracle has full recall, full precision and every ring; flagging every account has
+    full recall, flagging none has none.
+    """
+    full = lambda c: F.abs(F.col(c) - 1) < 1e-9
+    oracle = full("recall") & full("precision_strict") & (F.col("detected_of_all") == F.col("all_total"))
+    verdict = (
+        F.when(F.col("baseline") == "oracle", oracle)
+        .when(F.col("baseline") == "flag_all", full("recall"))
+        .otherwise((F.col("true_positives") == 0) & (F.col("detected_of_all") == 0))
+    )
+    return rows.select("baseline", F.coalesce(verdict, F.lit(False)).alias("passed"))

@@ -293,6 +293,25 @@ def reconciliation(x: Lab) -> DataFrame:
     return labels.reconciliation(labels.attach_labels(x.transfers, x.patterns), x.patterns)
 
 
+@query("""WITH log AS (SELECT ts, f, t, rail, CASE WHEN ring_id % 7 = 0 THEN amt + 0.01 ELSE amt END AS amt, ring_id FROM pat),
+    keys AS (SELECT DISTINCT ts, f, t, rail, round(CAST(amt AS DOUBLE), 2) AS amt FROM log),
+    known AS (SELECT DISTINCT ts, f, t, rail, round(CAST(amt AS DOUBLE), 2) AS amt FROM transfers)
+    SELECT (SELECT count(*) FROM keys) AS pattern_keys, (SELECT count(*) FROM keys ANTI JOIN known USING (ts, f, t, rail, amt)) AS unmatched_pattern_keys,
+    (SELECT count(*) FROM keys ANTI JOIN known USING (ts, f, t, rail, amt)) = 0 AS passed""")
+def reconciliation_gate(x: Lab) -> DataFrame:
+    """The gate on a log in which the amounts of every seventh ring are off by a cent."""
+    off = F.when(F.col("ring_id") % 7 == 0, F.round(F.col("amount_paid") + 0.01, 2)).otherwise(F.col("amount_paid"))
+    log = x.patterns.withColumn("amount_paid", off)
+    report = labels.gate(labels.reconciliation(labels.attach_labels(x.transfers, log), log))
+    return report.select("pattern_keys", "unmatched_pattern_keys", "passed")
+
+
+@query("""SELECT baseline, CASE baseline WHEN 'none' THEN n = 0 ELSE n > 0 END AS passed
+    FROM (SELECT unnest(['oracle', 'flag_all', 'flag_none']) AS baseline, count(DISTINCT account) AS n FROM truth_acc)""")
+def calibration_verdict(x: Lab) -> DataFrame:
+    return scoring.calibration_verdict(scoring.calibration(x.transfers, x.evaluation.graph_nodes))
+
+
 @query(f"""SELECT node, payer, payee, ain AS amount_in, aout AS amount_out, {_TS.format('tin')} AS received_at,
     {_TS.format('tout')} AS sent_at, round(ratio, 6) AS ratio, round(lag, 4) AS lag_hours FROM pairing""")
 def pass_through_pairing(x: Lab) -> DataFrame:
@@ -699,7 +718,7 @@ def precision_recall_at_k(x: Lab) -> DataFrame:
            FROM nodes_all a, inside_truth i, ex, r
     UNION ALL SELECT 'flag_none', 0, 0, 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), 0, 0""")
 def calibration(x: Lab) -> DataFrame:
-    return scoring.calibration(x.transfers, graph.node_table(x.transfers)).select(
+    return scoring.calibration(x.transfers, x.evaluation.graph_nodes).select(
         "baseline", "flagged", "true_positives", F.col("excused_false_positives").alias("excused"), r6("recall").alias("recall"),
         r6("precision_strict").alias("precision_strict"), "detected_of_all", "detected_of_detectable",
     )

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from flowtrail.operators import labels
 from flowtrail.session import build_session, shared_dir
 from flowtrail.sources import ring_log, tables, transfer_csv
 
@@ -92,3 +93,39 @@ def test_queue_lookup(spark, tmp_path):
 
 def test_shared_dir_is_stable(spark):
     assert shared_dir(spark) == shared_dir(build_session())
+
+
+def test_a_writer_that_stops_half_way_leaves_no_cache(spark, transfers, tmp_path):
+    folder = str(tmp_path / "cache")
+    df = transfers([("A", "B", 1, 0, {"ring": 1, "type": "CYCLE"})])
+
+    def stop(path):
+        df.write.parquet(path)
+        raise RuntimeError("lost")
+
+    first = {"a": lambda p: df.write.parquet(p), "b": stop}
+    with pytest.raises(RuntimeError):
+        tables.write_snapshot(spark, folder, first)
+    assert tables.current_version(spark, folder) is None
+    # What is left behind is not taken for a cache, so an unforced write does its work.
+    whole = {"a": lambda p: df.write.parquet(p), "b": lambda p: df.union(df).write.parquet(p)}
+    assert tables.write_snapshot(spark, folder, whole) and not tables.write_snapshot(spark, folder, whole)
+    held = tables.read_table(spark, folder, "b")
+    assert held.count() == 2
+    # A forced write that fails leaves readers with the version they had.
+    with pytest.raises(RuntimeError):
+        tables.write_snapshot(spark, folder, first, force=True)
+    assert tables.read_table(spark, folder, "b").count() == 2
+    assert tables.write_snapshot(spark, folder, {"a": whole["a"], "b": whole["a"]}, force=True)
+    assert tables.read_table(spark, folder, "b").count() == 1 and held.count() == 2
+    assert len(tables.sweep(spark, folder)) == 3 and tables.read_table(spark, folder, "b").count() == 1
+
+
+def test_gate_refuses_a_log_that_does_not_match(spark, transfers):
+    log = transfers([("A", "B", 1, 0, {"ring": 1, "type": "CYCLE"}), ("A", "C", 9, 0, {"ring": 2, "type": "CYCLE"})]).withColumn("line", F.col("ring_id"))
+    fine = labels.reconciliation(labels.attach_labels(transfers([("A", "B", 1, 0), ("A", "C", 9, 0)]), log), log)
+    bad = labels.reconciliation(labels.attach_labels(transfers([("A", "B", 1, 0)]), log), log)
+    assert labels.gate(fine).head().passed and not labels.gate(bad).head().passed
+    assert labels.require_matched(fine).head().pattern_keys == 2
+    with pytest.raises(ValueError, match="1 of 2"):
+        labels.require_matched(bad)
