@@ -1,12 +1,14 @@
 """Near-duplicate embeddings by product quantisation.
 
 Vectors are put into coarse inverted lists and their residuals coded by subspace. A vector
-asks every list that can hold a neighbour: vectors of cosine c are at most
-sqrt(2 - 2c) apart, which bounds how much worse a neighbour's list can look from here. In
-a list, distances are read from a table of query times codewords; the error of each coded
-vector is known, which bounds the true cosine of a close pair from below the same way. So
-neither step loses a pair, whatever sample the index was fitted on, and pairs that pass are
-reranked by their exact cosine.
+asks its own list and those whose centres are nearly as good. How nearly is measured on the
+fit sample: of vectors that lie just at the threshold in random directions, and of all linked
+pairs in the sample, the wanted share must be in the lists asked. Vectors of cosine c are at most
+sqrt(2 - 2c) apart, which bounds how much worse a neighbour's list can look from here; with
+``recall=None`` all lists within that bound are asked, and no pair is lost. In a list,
+distances are read from a table of query times codewords; the error of each coded vector is
+known, which bounds the true cosine of a close pair from below, so a list loses no pair. Pairs that
+pass are reranked by their exact cosine.
 
 Equal vectors are folded first. A list is cut into chunks of bounded size, and chunks of
 queries meet chunks of the list in separate tasks. A task returns link counts and a
@@ -27,6 +29,10 @@ COSINE = 0.93
 #: Most rows the index is fitted on, in the order of a hash of their id.
 MAX_FIT_ROWS = 20_000
 PARTS, CODES = 8, 64
+#: Share of sampled neighbours that must lie in the lists asked, and how many vectors are tried.
+RECALL, TRIED = 0.999, 2000
+#: Rows of the fit sample for each list, at least.
+ROWS_A_LIST = 8
 CHUNK = 2048
 EPS = 1e-5
 
@@ -68,6 +74,40 @@ class Index:
         self.cuts = np.linspace(0, self.width, min(PARTS, self.width) + 1).astype(int)
         self.books = [means(rest[:, a:b], CODES, rng) for a, b in zip(self.cuts, self.cuts[1:])]
 
+        squares = (self.centres**2).sum(axis=1)
+        apart = squares[:, None] + squares - 2 * self.centres @ self.centres.T
+        self.apart = np.sqrt(np.maximum(apart, 0))
+        self.share = 1.0
+
+    def gaps(self, rows: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's own list, and by how much of what a neighbour can gain the other lists look worse (0 for its own)."""
+        score = rows @ self.centres.T - (self.centres**2).sum(axis=1) / 2
+        own = score.argmax(axis=1)
+        worse = score[np.arange(len(rows)), own][:, None] - score
+        return own, np.divide(worse, reach * self.apart[own], out=np.zeros_like(worse), where=self.apart[own] > 0)
+
+    def tune(self, sample: np.ndarray, cosine: float, recall: float | None, seed: int = 6) -> float:
+        """Sets the share of the bound within which lists are asked; returns the recall measured on the sample."""
+        if recall is None or not len(sample):
+            return 1.0
+        rng, reach = np.random.default_rng(seed), (2 - 2 * cosine) ** 0.5
+        rows = sample[rng.choice(len(sample), min(TRIED, len(sample)), replace=False)]
+        _, gap = self.gaps(rows, reach)
+        aside = rng.normal(size=rows.shape)
+        aside -= (aside * rows).sum(axis=1, keepdims=True) * rows
+        aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-300)
+        far = nearest(cosine * rows + (1 - cosine**2) ** 0.5 * aside, self.centres)
+        made = gap[np.arange(len(rows)), far]
+        lists, real = nearest(sample, self.centres), []
+        for at in range(0, len(rows), 500):
+            i, j = np.nonzero(rows[at : at + 500] @ sample.T >= cosine)
+            real.append(gap[at + i, lists[j]])
+        real = np.concatenate(real)
+        needed = max(float(np.quantile(made, recall, method="higher")), 1.25 * float(real.max(initial=0)))
+        self.share = min(1.0, needed)
+        every = np.concatenate([made, real])
+        return float((every <= self.share).mean())
+
     def coded(self, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
         rest = rows - self.centres[own]
         return np.stack([nearest(rest[:, a:b], c) for (a, b), c in zip(zip(self.cuts, self.cuts[1:]), self.books)], axis=1)
@@ -77,15 +117,11 @@ class Index:
 
 
 def encoder(index: Index, reach: float):
-    norms = np.linalg.norm(index.centres, axis=1)
-
     def encode(batches):
         for batch in batches:
             rows = unit(batch["embedding"].tolist(), index.width)
-            score = rows @ index.centres.T - norms**2 / 2
-            own = score.argmax(axis=1)
-            floor = (score - reach * norms).max(axis=1) if len(rows) else np.zeros(0)
-            probes = [np.flatnonzero(s + reach * norms >= f - EPS) for s, f in zip(score, floor)]
+            own, gap = index.gaps(rows, reach)
+            probes = [np.flatnonzero(g <= index.share + EPS) for g in gap]
             codes = index.coded(rows, own)
             error = rows - index.decoded(own, codes)
             # A vector within reach of this one scores at least cosine - slack on its code.
@@ -141,7 +177,8 @@ def searcher(index: Index, cosine: float):
     return search
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, max_fit_rows: int = MAX_FIT_ROWS, chunk: int = CHUNK) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, max_fit_rows: int = MAX_FIT_ROWS, chunk: int = CHUNK,
+                 recall: float | None = RECALL) -> DataFrame:
     """A row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors are linked when their labels are equal and not null, their lengths are equal
@@ -149,7 +186,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, max_fit_rows: int =
     empty or zero or hold null or non-finite components, and rows with a null id, are linked
     with nothing (component_id of a null id is null, it is kept). ``n_links`` counts other
     ids. Repeated rows give repeated results; rows with one id and several vectors are one
-    node. An empty table gives no rows. Columns not named here are left out.
+    node. An empty table gives no rows. Columns not named here are left out. ``recall`` is the
+    share of links at the threshold that the lists asked must hold on the fit sample (closer
+    ones are hardly ever lost); None asks every list that can hold one.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda x: x != 0)
@@ -172,8 +211,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, max_fit_rows: int =
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
         )
     sample = reps.orderBy(F.xxhash64("id"), "id").limit(max_fit_rows).select("embedding").toPandas()
-    lists = int(min(1024, max(8, known.n**0.5 / 4)))
-    index = Index(unit(sample["embedding"].tolist(), known.width), lists)
+    lists = int(max(8, min(known.n**0.5 / 4, max_fit_rows / ROWS_A_LIST)))
+    rows_fitted = unit(sample["embedding"].tolist(), known.width)
+    index = Index(rows_fitted, lists)
+    index.tune(rows_fitted, cosine, recall)
     reach = (2 - 2 * cosine) ** 0.5
     element = vectors.schema["embedding"].dataType.simpleString()
     kind = vectors.schema["label"].dataType.simpleString()
