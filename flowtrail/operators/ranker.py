@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowtrail.functions.columns import beside
 from flowtrail.functions.skew import attach
 from flowtrail.operators import boosting
 from flowtrail.operators.queue import global_rank, kind_order, prior
@@ -95,13 +96,12 @@ def unit(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
 
 
-def held_out_rings(touched: DataFrame, splits: int, share: float = HOLDOUT) -> DataFrame:
-    """``split, ring_id`` of the rings held out whole: the first 30 % in hash order.
+def held_out_rings(rings: DataFrame, splits: int, share: float = HOLDOUT) -> DataFrame:
+    """``split, ring_id`` of the rings (one column, distinct) held out whole: the first 30 % in hash order.
 
     Exact ranks from two levels: hash buckets are counted, and only within a bucket are
     rings sorted, so no task sees all rings of a split.
     """
-    rings = touched.where(F.col("touched") >= 0).select(F.col("touched").alias("ring_id")).distinct()
     hashed = rings.select(
         "ring_id", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split")
     ).withColumn("hash", F.md5(F.concat_ws(":", F.col("split").cast("string"), F.col("ring_id").cast("string"))))
@@ -125,9 +125,17 @@ def held_out_rings(touched: DataFrame, splits: int, share: float = HOLDOUT) -> D
     )
 
 
-def split_table(touched: DataFrame, splits: int) -> DataFrame:
-    """``cand_key, touched, held_out``: the splits in which a candidate is test data."""
-    held = held_out_rings(touched, splits).groupBy("ring_id").agg(F.collect_list("split").alias("of_ring"))
+def touched_rings(touched: DataFrame) -> DataFrame:
+    return touched.where(F.col("touched") >= 0).select(F.col("touched").alias("ring_id")).distinct()
+
+
+def split_table(touched: DataFrame, splits: int, rings: DataFrame | None = None) -> DataFrame:
+    """``cand_key, touched, held_out``: the splits in which a candidate is test data.
+
+    Rings are drawn from those that candidates touch, or from ``rings``, such as all labelled
+    ones, of which some no candidate touches.
+    """
+    held = held_out_rings(touched_rings(touched) if rings is None else rings, splits).groupBy("ring_id").agg(F.collect_list("split").alias("of_ring"))
     of_ring = F.coalesce(F.array_sort("of_ring"), F.array().cast("array<int>"))
     own = F.filter(
         F.sequence(F.lit(0), F.lit(splits - 1)),
@@ -139,6 +147,19 @@ def split_table(touched: DataFrame, splits: int) -> DataFrame:
     )
 
 
+def split_report(table: DataFrame, held: DataFrame) -> DataFrame:
+    """``split, rings_held, train, tests, positives, base_rate``: what each split holds out, and the share a random order would hit."""
+    splits = held.groupBy("split").agg(F.count("*").alias("rings_held"))
+    total = table.agg(F.count("*").alias("candidates"))
+    per = table.select("touched", F.explode("held_out").alias("split")).groupBy("split").agg(
+        F.count("*").alias("tests"), F.count_if(F.col("touched") >= 0).alias("positives")
+    )
+    return beside(splits.join(per, "split"), total).select(
+        "split", "rings_held", (F.col("candidates") - F.col("tests")).alias("train"), "tests", "positives",
+        F.round(F.col("positives") / F.col("tests"), 6).alias("base_rate"),
+    )
+
+
 def training_table(candidates: DataFrame, truth_accounts: DataFrame, splits: int) -> DataFrame:
     """Features, label, heuristic score and split membership of every candidate."""
     table = split_table(touched_ring(candidates, truth_accounts), splits)

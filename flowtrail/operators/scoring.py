@@ -120,6 +120,46 @@ def ring_overlaps(predicted: DataFrame, truth_accounts: DataFrame) -> DataFrame:
     )
 
 
+def rings_reaching(
+    predicted: DataFrame, truth_accounts: DataFrame, coverage: float | None = None, jaccard: float | None = None
+) -> DataFrame:
+    """``ring_id, predicted_id, overlap, coverage, jaccard`` of the pairs that reach ``coverage`` or ``jaccard``, one of them given.
+
+    A set-similarity join with a prefix filter. Accounts are ordered from the rarest among
+    predictions to the commonest. A prediction that holds at least t of a ring's n accounts
+    holds one of its n - t + 1 rarest, and only those are joined, so an account in very many
+    predictions is left out wherever a ring has rarer ones. Candidates are then counted on full sets.
+    A Jaccard index of j asks for t >= j n, and also that sizes differ by no more than 1 / j.
+    """
+    if (coverage is None) == (jaccard is None):
+        raise ValueError("give one of coverage and jaccard")
+    least = coverage if jaccard is None else jaccard
+    sets = predicted.select(F.col("ring_id").alias("predicted_id"), "account").distinct()
+    truth = truth_accounts.select("ring_id", "account").distinct()
+    common = sets.groupBy("account").agg(F.count("*").alias("held_by"))
+    rings = truth.join(common, "account", "left").groupBy("ring_id").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("held_by", F.lit(0)).alias("held_by"), "account"))).alias("by_rarity")
+    )
+    n = F.size("by_rarity")
+    # Rounded, so that a share such as 0.3 of 10 asks for 3 and not for 4.
+    need = F.greatest(F.lit(1), F.ceil(F.round(n * F.lit(least), 9)).cast("int"))
+    rings = rings.select("ring_id", F.col("by_rarity.account").alias("accounts"), n.alias("members"), need.alias("need"))
+    prefixes = rings.select("ring_id", "members", F.explode(F.slice("accounts", F.lit(1), F.col("members") - F.col("need") + 1)).alias("account"))
+    sizes = sets.groupBy("predicted_id").agg(F.count("*").alias("size"))
+    found = prefixes.join(sets, "account").select("ring_id", "predicted_id", "members").distinct().join(sizes, "predicted_id")
+    if jaccard is not None:
+        found = found.where(F.least("members", "size") >= F.lit(jaccard) * F.greatest("members", "size") - 1e-9)
+    counted = (
+        found.join(truth, "ring_id").join(sets, ["predicted_id", "account"])
+        .groupBy("ring_id", "predicted_id", "members", "size").agg(F.count("*").alias("overlap"))
+    )
+    rated = counted.select(
+        "ring_id", "predicted_id", "overlap", (F.col("overlap") / F.col("members")).alias("coverage"),
+        (F.col("overlap") / (F.col("members") + F.col("size") - F.col("overlap"))).alias("jaccard"),
+    )
+    return rated.where(F.col("coverage" if jaccard is None else "jaccard") >= F.lit(least) - 1e-9)
+
+
 def distinct_shapes(predicted: DataFrame, truth_accounts: DataFrame) -> DataFrame:
     """Predictions reduced to what can matter for the best overlap.
 

@@ -825,6 +825,38 @@ def ring_held_out_splits(x: Lab) -> DataFrame:
     )
 
 
+@query("""WITH held_all AS (SELECT split, ring_id FROM (
+        SELECT split, ring_id, row_number() OVER (PARTITION BY split ORDER BY md5(split || ':' || ring_id), ring_id) AS p, count(*) OVER (PARTITION BY split) AS n
+        FROM (SELECT DISTINCT ring_id FROM truth_acc) CROSS JOIN seeds) WHERE p <= floor(n * CAST(0.3 AS DOUBLE))),
+    tried AS (SELECT split, touched FROM touched CROSS JOIN seeds
+        WHERE CASE WHEN touched >= 0 THEN EXISTS (SELECT 1 FROM held_all h WHERE h.split = seeds.split AND h.ring_id = touched)
+              ELSE CAST('0x' || substr(md5(split || ':' || cand_key), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) < 0.3 END)
+    SELECT CAST(split AS INT) AS split, (SELECT count(*) FROM held_all h WHERE h.split = tried.split) AS rings_held, (SELECT count(*) FROM touched) - count(*) AS train,
+        count(*) AS tests, count(*) FILTER (WHERE touched >= 0) AS positives, round(count(*) FILTER (WHERE touched >= 0) / count(*), 6) AS base_rate FROM tried GROUP BY split""")
+def all_ring_split(x: Lab) -> DataFrame:
+    """The splits drawn from all labelled rings, also those that no candidate touches."""
+    truth = scoring.ring_accounts(x.transfers)
+    rings = stage(truth.select("ring_id").distinct(), "all-rings")
+    touched = x.training.select("cand_key", "touched")
+    return ranker.split_report(ranker.split_table(touched, RANKER.splits, rings), ranker.held_out_rings(rings, RANKER.splits))
+
+
+@query("""SELECT o.ring_id, predicted_id, shared AS overlap, round(shared / CAST(members AS DOUBLE), 6) AS coverage,
+    round(shared / CAST(members + len(q.accounts) - shared AS DOUBLE), 6) AS jaccard
+    FROM overlap o JOIN true_size USING (ring_id) JOIN queue q ON q.ring_id = predicted_id WHERE shared >= 0.5 * members""")
+def rings_covered(x: Lab) -> DataFrame:
+    found = scoring.rings_reaching(x.evaluation.predicted, scoring.ring_accounts(x.transfers), coverage=0.5)
+    return found.select("ring_id", "predicted_id", "overlap", r6("coverage").alias("coverage"), r6("jaccard").alias("jaccard"))
+
+
+@query("""SELECT o.ring_id, predicted_id, shared AS overlap, round(shared / CAST(members AS DOUBLE), 6) AS coverage,
+    round(shared / CAST(members + len(q.accounts) - shared AS DOUBLE), 6) AS jaccard
+    FROM overlap o JOIN true_size USING (ring_id) JOIN queue q ON q.ring_id = predicted_id WHERE shared >= 0.2 * (members + len(q.accounts) - shared)""")
+def rings_alike(x: Lab) -> DataFrame:
+    found = scoring.rings_reaching(x.evaluation.predicted, scoring.ring_accounts(x.transfers), jaccard=0.2)
+    return found.select("ring_id", "predicted_id", "overlap", r6("coverage").alias("coverage"), r6("jaccard").alias("jaccard"))
+
+
 @query("""WITH run AS (SELECT split, CASE WHEN touched >= 0 THEN 1 ELSE 0 END AS label,
         row_number() OVER (PARTITION BY split ORDER BY w DESC, cand_key) AS place FROM tests JOIN keyed USING (cand_key)),
     depth_list AS (SELECT unnest([10, 25, 50, 100, 250]) AS k)

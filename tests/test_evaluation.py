@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,33 @@ def test_ranker_learns_a_separable_toy_and_scores_every_candidate(spark):
     model = ranker.fit(rows, params)
     best = ranker.permutation_importance(model, rows, repeats=1, top=2).collect()
     assert best[0].feature == "score" and best[0].importance > 0.1 and best[1].importance == 0
+
+
+@pytest.mark.parametrize("share", [0.2, 0.3, 0.5, 0.75, 1.0])
+def test_rings_reaching_are_those_of_all_pairs(spark, share):
+    rng = random.Random(3)
+    names = [f"a{i}" for i in range(25)]
+    truth = {r: rng.sample(names, rng.randrange(1, 11)) for r in range(12)}
+    sets = {p: [*rng.sample(names, rng.randrange(1, 9)), "hot"] for p in range(80)}
+    truth[3] = ["hot", "a1"]
+    made = lambda d: spark.createDataFrame([(k, a) for k, v in d.items() for a in v], "ring_id bigint, account string")
+    for kind in ("coverage", "jaccard"):
+        want = set()
+        for r, t in truth.items():
+            for p, m in sets.items():
+                shared = len(set(t) & set(m))
+                rate = shared / len(t) if kind == "coverage" else shared / len(set(t) | set(m))
+                if shared and rate >= share - 1e-9:
+                    want.add((r, p, shared))
+        got = scoring.rings_reaching(made(sets).union(made({0: sets[0]})), made(truth), **{kind: share})
+        assert sorted((x.ring_id, x.predicted_id, x.overlap) for x in got.collect()) == sorted(want)
+    with pytest.raises(ValueError):
+        scoring.rings_reaching(made(sets), made(truth))
+
+
+def test_hot_account_is_not_joined_where_rarer_ones_decide(spark):
+    truth = spark.createDataFrame([(1, a) for a in ("hot", "x", "y", "z")], "ring_id bigint, account string")
+    sets = spark.range(500).select(F.col("id").alias("ring_id"), F.lit("hot").alias("account"))
+    sets = sets.union(spark.createDataFrame([(7, "x"), (7, "y"), (8, "z")], "ring_id bigint, account string"))
+    got = scoring.rings_reaching(sets, truth, coverage=0.5)
+    assert [(r.predicted_id, r.overlap) for r in got.orderBy("predicted_id").collect()] == [(7, 3), (8, 2)]
