@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtrail.functions.skew import attach
 from flowtrail.operators.queue import global_rank
-from flowtrail.session import release, stage
+from flowtrail.session import release, scratch_path, stage
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
@@ -33,6 +35,65 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFram
     return seen
 
 
+#: Neighbours of an account in one slot of the adjacency table, and rows in one of its buckets.
+SLOT_ROWS, BUCKET_ROWS = 100_000, 2_000_000
+
+
+class Adjacency:
+    """Every account's neighbours, direction ignored, kept where a hop finds them without a shuffle of edges.
+
+    The table is bucketed and sorted by account and slot. An account with very many
+    neighbours has several slots, dealt by the neighbour, so a hub fills no bucket. A hop
+    shuffles the frontier, a row per account and slot, to the buckets and reads these in
+    place. Bucketed tables need a name in the catalog; files lie in the shared folder.
+    """
+
+    def __init__(self, pairs: DataFrame, slot_rows: int = SLOT_ROWS, bucket_rows: int = BUCKET_ROWS):
+        spark = pairs.sparkSession
+        links = stage(
+            pairs.where(F.col("from_node") != F.col("to_node")).select(
+                F.explode(
+                    F.array(
+                        F.struct(F.col("from_node").alias("node"), F.col("to_node").alias("next")),
+                        F.struct(F.col("to_node").alias("node"), F.col("from_node").alias("next")),
+                    )
+                ).alias("l")
+            ).select("l.*").distinct(),
+            "adjacent",
+        )
+        sizes = links.groupBy("node").agg(F.ceil(F.count("*") / slot_rows).cast("int").alias("slots"))
+        self.accounts = stage(sizes, "adjacent-accounts")
+        self.buckets = max(1, -(-links.count() // bucket_rows))
+        # Only accounts of several slots need their number; they are few.
+        many = self.accounts.where("slots > 1")
+        slot = F.pmod(F.xxhash64("next"), F.coalesce("slots", F.lit(1))).cast("int")
+        placed = links.join(many, "node", "left").select("node", slot.alias("slot"), "next")
+        self.name = f"adjacency_{uuid.uuid4().hex[:12]}"
+        (
+            placed.repartition(self.buckets, "node", "slot").write.bucketBy(self.buckets, "node", "slot").sortBy("node", "slot")
+            .option("path", scratch_path(spark, "adjacency")).format("parquet").saveAsTable(self.name)
+        )
+        self.table = spark.table(self.name)
+
+    def hop(self, frontier: DataFrame) -> DataFrame:
+        """Distinct neighbours of the accounts of a frontier (node, distinct)."""
+        asked = frontier.join(self.accounts, "node").select("node", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+        return asked.join(self.table, ["node", "slot"]).select(F.col("next").alias("node")).distinct()
+
+    def neighbourhood(self, seeds: DataFrame, hops: int = 1) -> DataFrame:
+        """Accounts with neighbours within ``hops`` steps of the seeds; seeds without any are left out."""
+        seen = stage(seeds.select("node").distinct().join(self.accounts, "node", "left_semi"), "frontier")
+        frontier = seen
+        for _ in range(hops):
+            frontier = stage(self.hop(frontier).join(seen, "node", "left_anti"), "frontier")
+            seen = seen.unionByName(frontier)
+        return seen
+
+    def release(self) -> None:
+        release(self.table)
+        self.table.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     keep = nodes.select(F.col("node").alias("_n"))
     return edges.join(keep, F.col("from_node") == F.col("_n"), "left_semi").join(

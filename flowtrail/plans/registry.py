@@ -40,6 +40,10 @@ class Lab:
     def run(self) -> Detection:
         return Detection(self.transfers)
 
+    @cached_property
+    def adjacency(self) -> traversal.Adjacency:
+        return traversal.Adjacency(self.run.pairs)
+
     @cached_property
     def book(self) -> CaseBook:
         return CaseBook(self.run)
@@ -474,15 +478,24 @@ def graph_statistics(x: Lab) -> DataFrame:
     return x.evaluation.graph_stats
 
 
-@query("""WITH one AS (SELECT DISTINCT account AS node FROM truth_acc),
+_TWO_HOPS = """WITH one AS (SELECT DISTINCT account AS node FROM truth_acc),
     step1 AS (SELECT node FROM one UNION SELECT e.t FROM edge e JOIN one ON e.f = one.node UNION SELECT e.f FROM edge e JOIN one ON e.t = one.node),
     step2 AS (SELECT node FROM step1 UNION SELECT e.t FROM edge e JOIN step1 ON e.f = step1.node UNION SELECT e.f FROM edge e JOIN step1 ON e.t = step1.node)
-    SELECT node FROM step2 WHERE node IN (SELECT f FROM edge UNION SELECT t FROM edge)""")
+    SELECT node FROM step2 WHERE node IN (SELECT f FROM edge UNION SELECT t FROM edge)"""
+
+
+@query(_TWO_HOPS)
 def two_hop_neighbourhood(x: Lab) -> DataFrame:
     seeds = scoring.ring_accounts(x.transfers).select(F.col("account").alias("node"))
     return traversal.neighbourhood(x.run.pairs, seeds, hops=2)
 
 
+@query(_TWO_HOPS)
+def two_hops_by_adjacency(x: Lab) -> DataFrame:
+    seeds = scoring.ring_accounts(x.transfers).select(F.col("account").alias("node"))
+    return x.adjacency.neighbourhood(seeds, hops=2)
+
+
 @query("""SELECT f AS from_node, t AS to_node, n AS count FROM edge
     WHERE f IN (SELECT account FROM truth_acc) AND t IN (SELECT account FROM truth_acc)""")
 def induced_subgraph(x: Lab) -> DataFrame:
