@@ -15,11 +15,11 @@ import os
 import struct
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from flowtrail.session import stage
 
@@ -68,7 +68,7 @@ class Ids(dict):
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
         self.special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
     def encoded(self, text: str) -> bytes:
@@ -76,24 +76,21 @@ class Ids(dict):
 
     def letters(self, word: bytes) -> bytes:
         """Ids of lower-case letters."""
-        ids = self.get(word)
-        if ids is None:
-            shown = word.decode() if word.isascii() else word.decode("latin-1").translate(AS_CHARS)
-            found = [t.id for t in self.model.tokenize(shown)]
-            ids = struct.pack(f"<{len(found)}I", *found)
-            if len(word) <= LONGEST_KEPT:
-                self[word] = ids
-        return ids
+        shown = word.decode() if word.isascii() else word.decode("latin-1").translate(AS_CHARS)
+        return np.array([t.id for t in self.tokenize(shown)], "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(STOPS)
-        low = core.lower() if core.isalpha() else lowered(core.decode())
-        if low:
-            ids = self.letters(low)
-            if len(core) < len(word):
-                ids += self[word[len(core) :]]
+        if word.isalpha() and word.islower():
+            ids = self.letters(word)
         else:
-            ids = self.encoded(word.decode())
+            core = word.rstrip(STOPS)
+            low = core.lower() if core.isalpha() else lowered(core.decode())
+            if not low:
+                ids = self.encoded(word.decode())
+            elif low == word:
+                ids = self.letters(word)
+            else:
+                ids = self[low] + self[word[len(core) :]] if len(core) < len(word) else self[low]
         if len(word) <= LONGEST_KEPT:
             self[word] = ids
         return ids
@@ -204,9 +201,10 @@ def bundled(sizes: np.ndarray, short: int = SHORT, bundle: int = BUNDLE) -> np.n
 
 
 def placer(capacity: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "piece"], ascending=[False, True], kind="stable")
-        sizes = group["length"].to_numpy(np.int64)
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.lexsort((rows["piece"].to_numpy(), -rows["length"].to_numpy()))
+        rows = rows.take(pa.array(order))
+        sizes = rows["length"].to_numpy()
         item = bundled(sizes) if capacity > 2 * BUNDLE else np.arange(len(sizes))
         window = windows(np.bincount(item, sizes).astype(np.int64), capacity)[item]
         order = np.argsort(window, kind="stable")
@@ -216,8 +214,9 @@ def placer(capacity: int):
         offset = np.empty(len(sizes), np.int64)
         offset[order] = ends - sizes[order] - np.repeat((ends - sizes[order])[first], counts)
         # Even numbers; full windows have odd ones.
-        sequence = (group["group"].to_numpy(np.int64) << 33) + 2 * window
-        return group.assign(sequence_id=sequence, offset=offset).drop(columns=["group", "piece"])
+        sequence = (rows["group"].to_numpy().astype(np.int64) << 33) + 2 * window
+        rows = rows.drop_columns(["group", "piece"])
+        return rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     return run
 
@@ -227,31 +226,44 @@ def read_tokenizer(path: str = TOKENIZER) -> str:
         return f.read()
 
 
-def pack(
-    docs: DataFrame, tokenizer_json: str | None = None, capacity: int = CAPACITY, part: int = PART,
-    group_windows: int = GROUP_WINDOWS,
-) -> DataFrame:
-    """Pieces of the documents of ``docs`` (doc_id, text) and their places in sequences.
+def cut(docs: DataFrame, tokenizer_json: str | None = None, capacity: int = CAPACITY, part: int = PART) -> DataFrame:
+    """Pieces of the documents of ``docs`` (doc_id, text), written once.
 
-    Returns doc_id, start, length, doc_tokens, ids (binary, unsigned 32-bit little-endian),
-    sequence_id, offset. Ids are those of the tokenizer without special tokens of its own,
+    Returns piece (its number), doc_id, start, length, doc_tokens, ids (binary, unsigned
+    32-bit little-endian). Ids are those of the tokenizer without special tokens of its own,
     then ``END_ID``; a null or empty text is that id alone. The tokenizer reads special tokens
-    that are spelled out in a text as such. All ids of a document lie in its pieces once. A
-    sequence holds at most ``capacity`` ids, its pieces follow each other from 0. Null ids are
-    kept; repeated rows are packed each for itself. An empty table gives no rows. Other
-    columns are left out. Which parts share a group depends on how Spark dealt the rows.
+    that are spelled out in a text as such. All ids of a document lie in its pieces once. Null ids are
+    kept; repeated rows are cut each for itself. An empty table gives no rows. Other columns are left out.
     """
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         cutter(tokenizer_json or read_tokenizer(), capacity, min(part, capacity)), COLUMNS
     )
-    pieces = stage(made, "token_pieces")
+    return stage(made, "token_pieces")
+
+
+def place(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS) -> DataFrame:
+    """Pieces (piece, length and any other columns) with sequence_id and offset in place of ``piece``.
+
+    A sequence holds at most ``capacity`` ids, its pieces follow each other from 0. Columns
+    besides ``length`` travel along, so leave out ids where places are enough. An empty table
+    gives no rows. Which parts share a group depends on how Spark dealt the rows.
+    """
     full, rest = F.col("length") == capacity, F.col("length") < capacity
     tokens = pieces.where(rest).agg(F.sum("length")).head()[0] or 0
     groups = max(1, round(tokens / (group_windows * capacity)))
     dealt = pieces.where(rest).withColumn("group", F.pmod(F.xxhash64("piece"), F.lit(groups)))
-    schema = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
+    kept = StructType([f for f in pieces.schema.fields if f.name != "piece"])
+    out = StructType([*kept.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     whole = pieces.where(full).withColumns({"sequence_id": 2 * F.col("piece") + 1, "offset": F.lit(0).cast("long")})
-    return dealt.groupBy("group").applyInPandas(placer(capacity), schema).unionByName(whole.drop("piece"))
+    return dealt.groupBy("group").applyInArrow(placer(capacity), out).unionByName(whole.drop("piece"))
+
+
+def pack(
+    docs: DataFrame, tokenizer_json: str | None = None, capacity: int = CAPACITY, part: int = PART,
+    group_windows: int = GROUP_WINDOWS,
+) -> DataFrame:
+    """``cut`` and ``place``: doc_id, start, length, doc_tokens, ids, sequence_id, offset."""
+    return place(cut(docs, tokenizer_json, capacity, part), capacity, group_windows)
 
 
 def padded_length(tokens):

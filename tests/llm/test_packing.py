@@ -76,7 +76,7 @@ def test_query_gives_checksums_and_no_ids(spark, tokenizer, tmp_path):
     rows = [row(i, prose(300, i)) for i in range(9)]
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     out = queries.op11_packing(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"]
+    assert out.columns == ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "sequence_id", "offset"]
     texts = {r[0]: expected(tokenizer, r[1]) for r in rows}
     for p in out.collect():
         assert p.ids_crc32 == zlib.crc32(np.array(texts[p.doc_id][p.start : p.start + p.length], "<u4").tobytes())
