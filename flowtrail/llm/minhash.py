@@ -9,8 +9,8 @@ that cannot be linked). What both let through is confirmed on the full sets.
 Equal sets are folded into one representative first. In each band bucket every set is
 first tried against the smallest document only; buckets that are then one component need
 nothing more, which keeps a bucket of thousands of close copies linear. Only in mixed
-buckets are sets of different components compared, bitmaps inside the join, so pairs that
-are refused are never written out.
+buckets are sets of different components compared. Both kinds of candidates meet the bitmaps
+first, in mixed buckets inside the join, so pairs that are refused are never written out.
 """
 
 from __future__ import annotations
@@ -128,6 +128,22 @@ def popcount(a: str, b: str, columns: list[str]) -> Column:
     return total
 
 
+def likely(percent: int) -> Column:
+    """Whether bitmaps and sizes of ``a`` and ``b`` leave room for a link."""
+    size_a, size_b = F.col("a.n_shingles"), F.col("b.n_shingles")
+    return (
+        (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b))
+        & ((100 + percent) * popcount("a", "b", PARITY) <= (100 - percent) * (size_a + size_b))
+        & (popcount("a", "b", SKETCH) <= odd_limit(percent))
+    )
+
+
+def not_refused(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs that the bitmaps (one row per doc_id) let through."""
+    found = pairs.alias("p").join(sketches.alias("a"), F.col("p.a") == F.col("a.doc_id")).join(sketches.alias("b"), F.col("p.b") == F.col("b.doc_id"))
+    return found.where(likely(percent)).select("p.a", "p.b")
+
+
 def missed(percent: int) -> float:
     """Chance that a pair of this similarity shares none of the bands."""
     return (1 - (percent / 100) ** ROWS) ** BANDS
@@ -179,7 +195,12 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
         .select(F.col("center").alias("a"), F.col("doc_id").alias("b"))
     )
     first = stage(first, "first_pairs")
-    links = components(confirmed(texts, first, percent), "a", "b")
+    beside = shared.select("doc_id").distinct()
+    bitmaps = live.select("doc_id", "fp1", "fp2", "n_shingles", *SKETCH, *PARITY).join(
+        ids.join(beside, "doc_id", "left_semi"), ["doc_id", "fp1", "fp2"], "left_semi"
+    )
+    bitmaps = stage(bitmaps.drop("fp1", "fp2").dropDuplicates(["doc_id"]), "bitmaps")
+    links = components(confirmed(texts, not_refused(first, bitmaps, percent), percent), "a", "b")
     links = stage(links, "first_components")
 
     rows = shared.join(links.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
@@ -189,21 +210,10 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
         rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     )
     rows = stage(rows.join(spread.select("band"), "band", "left_semi"), "mixed_bands")
-    sketches = live.select("doc_id", "fp1", "fp2", "n_shingles", *SKETCH, *PARITY).join(
-        ids.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id", "fp1", "fp2"], "left_semi"
-    )
-    rows = stage(rows.join(sketches.drop("fp1", "fp2").dropDuplicates(["doc_id"]), "doc_id"), "mixed_buckets")
+    rows = stage(rows.join(bitmaps, "doc_id"), "mixed_buckets")
     a, b = rows.alias("a"), rows.alias("b")
-    size_a, size_b = F.col("a.n_shingles"), F.col("b.n_shingles")
     second = (
-        a.join(
-            b,
-            (F.col("a.band") == F.col("b.band"))
-            & (F.col("a.component") < F.col("b.component"))
-            & (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b))
-            & ((100 + percent) * popcount("a", "b", PARITY) <= (100 - percent) * (size_a + size_b))
-            & (popcount("a", "b", SKETCH) <= odd_limit(percent)),
-        )
+        a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.component") < F.col("b.component")) & likely(percent))
         .select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")

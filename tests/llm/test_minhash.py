@@ -80,3 +80,20 @@ def test_sketch_limit_and_bands_follow_the_threshold():
     assert minhash.missed(80) < minhash.MOST_MISSED
     with pytest.raises(ValueError):
         minhash.near_duplicates(None, 60)
+
+
+def test_bitmaps_refuse_unlike_pairs_and_no_link(spark):
+    rng, rows, pairs = random.Random(12), [], []
+    for i in range(60):
+        words = prose(200, 700 + i).split()
+        copy = list(words)
+        for at in rng.sample(range(200), 3 if i % 2 else 40):
+            copy[at] = f"other{at}"
+        rows += [row(2 * i, " ".join(words)), row(2 * i + 1, " ".join(copy))]
+        pairs.append((2 * i, 2 * i + 1))
+    docs = frame(spark, rows)
+    sketches = docs.select("doc_id", "text").mapInPandas(minhash.sign, minhash.SIGNED)
+    left = {(r.a, r.b) for r in minhash.not_refused(spark.createDataFrame(pairs, "a long, b long"), sketches, 85).collect()}
+    sets = {r[0]: set(minhash.shingles(r[1]).tolist()) for r in rows}
+    alike = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert alike <= left and len(alike) > 20 and len(left) < 40
