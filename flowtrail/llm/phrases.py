@@ -1,7 +1,7 @@
 """Phrase collocations by direct-address tiling of ranked ids.
 
-Texts become blocks of word codes. Frequent words are ranked by frequency, and a block's codes
-are replaced by ranks. Two frequent units side by side, each of m words and sharing m - 1 of
+Texts become blocks of word codes. Words are counted by hash buckets, frequent ones ranked by
+frequency, and a block's codes are replaced by ranks. Two frequent units side by side, each of m words and sharing m - 1 of
 them, are a pair that stands for a phrase of m + 1 words. Within a block, units are numbered
 in the order of their ranks, so that pairs fall into square tiles whose first ones hold
 nearly everything: a crowded tile is counted by ``bincount`` over all its cells, the pairs of
@@ -11,14 +11,16 @@ orders by frequency first, and hands every block the ranks of the pairs that it
 are the units of the next round.
 
 A block only ever meets the ranks of its own units, in a shuffle by block. Nothing that grows
-with the corpus is sent to the driver or to all tasks, unless Spark itself finds a table of
-word ranks small enough to broadcast.
+with the corpus is sent to the driver or to all tasks.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -196,10 +198,8 @@ def pair_summer(least: int, placed: bool):
         rights, j = np.unique(right, return_inverse=True)
         keys, place = np.unique(i * len(rights) + j, return_inverse=True)
         f = np.bincount(place, n).astype(np.int64)
-        often = np.flatnonzero(f >= least)
-        rank = np.full(len(keys), -1)
-        low = (1 << F_BITS) - 1 - np.minimum(f[often], (1 << F_BITS) - 1)
-        rank[often] = (low << BUCKET_BITS + PLACE_BITS) + (bucket << PLACE_BITS) + np.arange(len(often))
+        rank = ranked(f, least, bucket)
+        often = np.flatnonzero(rank >= 0)
         out = [(-1, int(rank[k]), int(a), int(b), int(f[k]), 0, None) for k, a, b in
                zip(often, lefts[keys[often] // len(rights)], rights[keys[often] % len(rights)])]
         if placed:
@@ -208,9 +208,7 @@ def pair_summer(least: int, placed: bool):
                 held = start + np.flatnonzero(mine[start:end] >= 0)
                 if len(held):
                     out.append((block, 0, 0, 0, 0, len(held), sealed(left[held], right[held], mine[held])))
-        names = ["block", "id", "left", "right", "f", "size", "data"]
-        kinds = [pa.int64()] * 6 + [pa.binary()]
-        return pa.table({c: pa.array(x, t) for c, x, t in zip(names, zip(*out) if out else [()] * 7, kinds)})
+        return summed(out, ["block", "id", "left", "right", "f", "size", "data"], [pa.int64()] * 6 + [pa.binary()])
 
     return run
 
@@ -221,13 +219,82 @@ def block_table(rows: list[tuple]) -> pa.Table:
                      "size": pa.array(size, pa.int64()), "codes": pa.array(codes, pa.binary())})
 
 
+def word_counter(buckets: int):
+    """Words of every block with their codes and counts, packed by bucket."""
+
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression=CODEC)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words = batch.column("words")[k].values
+                counts = batch.column("counts")[k].values
+                lang = batch.column("lang")[k].as_py()
+                bucket = np.fromiter((zlib.crc32(w.as_buffer()) for w in words), np.int64, len(words)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                for i, j in zip(at, np.append(at[1:], len(order))):
+                    own = pa.array(order[i:j])
+                    part = pa.record_batch({"word": words.take(own), "n": counts.take(own), "code": pa.array(order[i:j] + 1)})
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema, options=options) as out:
+                        out.write_batch(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([bucket[order[i]]]), pa.array([batch.column("block")[k].as_py()]), pa.array([lang]),
+                         pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "block", "lang", "data"],
+                    )
+
+    return run
+
+
+def word_summer(least: int):
+    """Frequent words of a bucket (block -1), and those of every block: their codes and ranks."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket = rows["bucket"][0].as_py()
+        parts = [pa.ipc.open_stream(d.as_buffer()).read_all() for d in rows["data"]]
+        whole = pa.concat_tables([p.append_column("lang", pa.array([x] * len(p), pa.string())) for p, x in zip(parts, rows["lang"].to_pylist())])
+        ends = np.cumsum([len(p) for p in parts])
+        # No word holds a line break, so the last one parts language and word.
+        keys = pc.binary_join_element_wise(whole["lang"], whole["word"], "\n").combine_chunks().dictionary_encode()
+        place = keys.indices.to_numpy()
+        f = np.bincount(place, whole["n"].to_numpy()).astype(np.int64)
+        rank = ranked(f, least, bucket)
+        often = np.flatnonzero(rank >= 0)
+        names = keys.dictionary.take(pa.array(often)).to_pylist()
+        out = [(-1, int(rank[k]), *name.rsplit("\n", 1), int(f[k]), 0, None) for k, name in zip(often, names)]
+        code, mine = whole["code"].to_numpy(), rank[place]
+        for block, start, end in zip(rows["block"].to_pylist(), [0, *ends], ends):
+            held = start + np.flatnonzero(mine[start:end] >= 0)
+            if len(held):
+                out.append((block, 0, None, None, 0, len(held), sealed(code[held], mine[held])))
+        return summed(out, ["block", "id", "lang", "word", "f", "size", "data"],
+                      [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()])
+
+    return run
+
+
+def ranked(f: np.ndarray, least: int, bucket: int) -> np.ndarray:
+    """A number for everything that is frequent, in the order of frequency first and of its own; -1 for the rest."""
+    rank = np.full(len(f), -1)
+    often = np.flatnonzero(f >= least)
+    low = (1 << F_BITS) - 1 - np.minimum(f[often], (1 << F_BITS) - 1)
+    rank[often] = (low << BUCKET_BITS + PLACE_BITS) + (bucket << PLACE_BITS) + np.arange(len(often))
+    return rank
+
+
+def summed(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
+    return pa.table({c: pa.array(x, t) for c, x, t in zip(names, zip(*rows) if rows else [()] * len(names), kinds)})
+
+
 def word_ranker(blocks: pa.Table, ranks: pa.Table) -> pa.Table:
     """Ranks in place of codes; -1 for infrequent words and ends of pieces."""
     out = []
+    parts = [opened(d.as_buffer(), n, 2) for d, n in zip(ranks["data"], ranks["n"].to_pylist())]
+    code, rank = np.concatenate(parts, axis=1) if parts else np.empty((2, 0), np.int64)
     for row in blocks.to_pylist():
         codes = unpacked(row["codes"], row["size"])
         of = np.full(int(codes.max(initial=0)) + 1, -1)
-        of[ranks["code"].to_numpy()] = ranks["rank"].to_numpy()
+        of[code] = rank
         out.append((row["block"], row["lang"], row["size"], packed(of[codes])))
     return block_table(out)
 
@@ -287,26 +354,22 @@ def collocations(
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text"))
     blocks = stage(rows.mapInArrow(blocker(block_words), f"{BLOCK}, words array<string>, counts array<long>"), "phrase_blocks")
-    own = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).select(
-        "block", "lang", (F.col("code") + 1).alias("code"), F.col("w.words").alias("word"), F.col("w.counts").alias("n")
-    )
     totals = blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     totals = stage(totals.groupBy("lang").agg(F.sum("n").alias("n")), "phrase_words")
-    words = own.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    buckets = max(1, -(-(totals.agg(F.sum("n")).head()[0] or 0) // BUCKET_WORDS))
+    words = blocks.select("block", "lang", "words", "counts").mapInArrow(word_counter(buckets), "bucket long, block long, lang string, data binary")
+    found = words.groupBy("bucket").applyInArrow(
+        word_summer(least), "block long, id long, lang string, word string, f long, size long, data binary"
+    )
+    found = stage(found, "phrase_words")
     # heads and tails: counts of the first 1, 2, ... words, and of what is left after them.
     none = F.array().cast("array<long>")
-    units = stage(
-        global_rank(words, [F.desc("f"), F.asc("lang"), F.asc("word")], "phrase_order", "rank").select(
-            "rank", "lang", F.col("word").alias("phrase"), "f", none.alias("heads"), none.alias("tails")
-        ),
-        "phrase_units",
-    )
-    ranks = own.join(units.select("lang", F.col("phrase").alias("word"), "rank"), ["lang", "word"]).select("block", "code", "rank")
+    units = found.where("block < 0").select(F.col("id").alias("rank"), "lang", F.col("word").alias("phrase"), "f", none.alias("heads"), none.alias("tails"))
+    ranks = found.where("block >= 0").select("block", F.col("size").alias("n"), "data")
     old, blocks = blocks, stage(reranked(blocks.select("block", "lang", "size", "codes"), ranks, word_ranker), "phrase_blocks")
     release(old)
 
     levels = []
-    buckets = max(1, -(-(totals.agg(F.sum("n")).head()[0] or 0) // BUCKET_WORDS))
     for m in range(2, longest + 1):
         counts = blocks.select("block", "size", "codes").mapInArrow(pair_counter(buckets), "bucket long, block long, size long, data binary")
         found = counts.groupBy("bucket").applyInArrow(
