@@ -1,14 +1,13 @@
 """Phrase collocations by direct-address tiling of ranked ids.
 
-Texts become blocks of word codes. Words are counted by hash buckets, frequent ones ranked by
-frequency, and a block's codes are replaced by ranks. Two frequent units side by side, each of m words and sharing m - 1 of
-them, are a pair that stands for a phrase of m + 1 words. Within a block, units are numbered
-in the order of their ranks, so that pairs fall into square tiles whose first ones hold
+Texts become blocks of word codes. Words are counted by hash buckets, and a block's codes are
+replaced by the numbers of the frequent ones. Two frequent units side by side, each of m words and sharing m - 1 of
+them, are a pair that stands for a phrase of m + 1 words. Within a block, units are ranked
+by frequency, so that pairs fall into square tiles whose first ones hold
 nearly everything: a crowded tile is counted by ``bincount`` over all its cells, the pairs of
 the others as sorted coordinates. Sorted and packed by hash buckets of bounded size, the
-counts of all blocks meet; a bucket adds them up, ranks its frequent pairs by a number that
-orders by frequency first, and hands every block the ranks of the pairs that it holds. They
-are the units of the next round.
+counts of all blocks meet; a bucket adds them up, numbers its frequent pairs and hands every
+block the numbers of the pairs that it holds. They are the units of the next round, and ranked in turn.
 
 A block only ever meets the ranks of its own units, in a shuffle by block. Nothing that grows
 with the corpus is sent to the driver or to all tasks.
@@ -36,8 +35,8 @@ BLOCK_WORDS = 1 << 20
 SIDE, CROWDED = 1024, 1 << 16
 #: Words of the corpus for each bucket of pairs, which holds no more pairs than that.
 BUCKET_WORDS = 1 << 21
-#: Bits of a pair's rank: frequency (counted down, capped for the order only), bucket, place in the bucket.
-F_BITS, BUCKET_BITS, PLACE_BITS = 20, 21, 22
+#: A frequent unit is first known by its bucket and, in so many bits, its place there.
+PLACE_BITS = 22
 #: Cuts pieces at these, and words at blanks and tabs.
 STOPS = b".,;:!?\n\x0b\x0c\r"
 CLEAN = bytes(10 if i in STOPS else 32 if i == 9 else i for i in range(256))
@@ -125,9 +124,17 @@ def adjacent(units: np.ndarray) -> np.ndarray:
 def counted(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of units side by side, and how often each comes."""
     at = adjacent(units)
-    ranks = np.unique(units)
+    if not len(at):
+        return units[:0], units[:0], units[:0]
+    # Numbers by how often a unit comes in the block, the commonest first.
+    known, often = np.unique(units, return_counts=True)
+    often[known < 0] = 0
+    order = np.argsort(-often, kind="stable")
+    number = np.empty(len(known), np.int32)
+    number[order] = np.arange(len(known), dtype=np.int32)
+    ranks = known[order]
     across = -(-len(ranks) // SIDE)
-    place = np.searchsorted(ranks, units).astype(np.int32)
+    place = number[np.searchsorted(known, units)]
     i, j = place[at], place[at + 1]
     tile = (i // SIDE) * np.int32(across) + j // SIDE
     # At most len(at) / CROWDED tiles are crowded.
@@ -139,8 +146,8 @@ def counted(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cells = np.bincount((i[own] % SIDE) * SIDE + j[own] % SIDE, minlength=SIDE * SIDE)
         full = np.flatnonzero(cells)
         found.append(((t // across) * SIDE + full // SIDE, (t % across) * SIDE + full % SIDE, cells[full]))
-    keys, n = np.unique(i[rest].astype(np.int64) * max(len(ranks), 1) + j[rest], return_counts=True)
-    found.append((keys // max(len(ranks), 1), keys % max(len(ranks), 1), n))
+    keys, n = np.unique(i[rest].astype(np.int64) * len(ranks) + j[rest], return_counts=True)
+    found.append((keys // len(ranks), keys % len(ranks), n))
     i, j, n = (np.concatenate(x) for x in zip(*found))
     return ranks[i], ranks[j], n.astype(np.int64)
 
@@ -274,19 +281,39 @@ def word_summer(least: int):
 
 
 def ranked(f: np.ndarray, least: int, bucket: int) -> np.ndarray:
-    """A number for everything that is frequent, in the order of frequency first and of its own; -1 for the rest."""
+    """Bucket and place, from 0, of everything that is frequent; -1 for the rest."""
     rank = np.full(len(f), -1)
     often = np.flatnonzero(f >= least)
-    low = (1 << F_BITS) - 1 - np.minimum(f[often], (1 << F_BITS) - 1)
-    rank[often] = (low << BUCKET_BITS + PLACE_BITS) + (bucket << PLACE_BITS) + np.arange(len(often))
+    rank[often] = (bucket << PLACE_BITS) + np.arange(len(often))
     return rank
 
 
+def dense(rank: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of all buckets in one row of numbers, which pack well."""
+    return offsets[rank >> PLACE_BITS] + (rank & ((1 << PLACE_BITS) - 1))
+
+
+def numbered(found: DataFrame, buckets: int) -> tuple[DataFrame, np.ndarray]:
+    """The frequent units of all buckets with dense ranks, and where each bucket's ranks start.
+
+    The driver holds one number for each bucket, that is for each BUCKET_WORDS words.
+    """
+    bucket = F.shiftright("id", PLACE_BITS)
+    own = found.where("block < 0")
+    sizes = np.zeros(buckets, np.int64)
+    for b, n in own.groupBy(bucket.alias("b")).count().collect():
+        sizes[b] = n
+    offsets = np.cumsum(sizes) - sizes
+    starts = found.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(offsets)], "b long, start long")
+    placed = own.withColumn("b", bucket).join(starts, "b")
+    return placed.withColumn("rank", F.col("start") + F.col("id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))).drop("b", "start", "id"), offsets
+
+
 def summed(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
     return pa.table({c: pa.array(x, t) for c, x, t in zip(names, zip(*rows) if rows else [()] * len(names), kinds)})
 
 
-def word_ranker(blocks: pa.Table, ranks: pa.Table) -> pa.Table:
+def word_ranker(offsets: np.ndarray, blocks: pa.Table, ranks: pa.Table) -> pa.Table:
     """Ranks in place of codes; -1 for infrequent words and ends of pieces."""
     out = []
     parts = [opened(d.as_buffer(), n, 2) for d, n in zip(ranks["data"], ranks["n"].to_pylist())]
@@ -294,12 +321,12 @@ def word_ranker(blocks: pa.Table, ranks: pa.Table) -> pa.Table:
     for row in blocks.to_pylist():
         codes = unpacked(row["codes"], row["size"])
         of = np.full(int(codes.max(initial=0)) + 1, -1)
-        of[code] = rank
+        of[code] = dense(rank, offsets)
         out.append((row["block"], row["lang"], row["size"], packed(of[codes])))
     return block_table(out)
 
 
-def pair_ranker(blocks: pa.Table, ranks: pa.Table) -> pa.Table:
+def pair_ranker(offsets: np.ndarray, blocks: pa.Table, ranks: pa.Table) -> pa.Table:
     """Ranks of pairs in place of those of their left units; -1 where a pair is not frequent."""
     out = []
     parts = [opened(d.as_buffer(), n) for d, n in zip(ranks["data"], ranks["n"].to_pylist())]
@@ -318,14 +345,18 @@ def pair_ranker(blocks: pa.Table, ranks: pa.Table) -> pa.Table:
         found = np.minimum(np.searchsorted(keys[order], want), len(keys) - 1)
         fine = keys[order][found] == want
         made = np.full(len(units), -1)
-        made[at[fine]] = rank[order[found[fine]]]
+        made[at[fine]] = dense(rank[order[found[fine]]], offsets)
         out.append((row["block"], row["lang"], row["size"], packed(made)))
     return block_table(out)
 
 
-def reranked(blocks: DataFrame, ranks: DataFrame, apply) -> DataFrame:
+def reranked(blocks: DataFrame, ranks: DataFrame, ranker, offsets: np.ndarray) -> DataFrame:
     """The blocks with new ranks; a block that holds no frequent unit goes."""
     ranks = ranks.withColumnRenamed("block", "of_block")
+
+    def apply(held: pa.Table, found: pa.Table) -> pa.Table:
+        return ranker(offsets, held, found)
+
     return blocks.groupBy("block").cogroup(ranks.groupBy("of_block")).applyInArrow(apply, BLOCK).where("size > 0")
 
 
@@ -364,9 +395,10 @@ def collocations(
     found = stage(found, "phrase_words")
     # heads and tails: counts of the first 1, 2, ... words, and of what is left after them.
     none = F.array().cast("array<long>")
-    units = found.where("block < 0").select(F.col("id").alias("rank"), "lang", F.col("word").alias("phrase"), "f", none.alias("heads"), none.alias("tails"))
+    units, offsets = numbered(found, buckets)
+    units = stage(units.select("rank", "lang", F.col("word").alias("phrase"), "f", none.alias("heads"), none.alias("tails")), "phrase_units")
     ranks = found.where("block >= 0").select("block", F.col("size").alias("n"), "data")
-    old, blocks = blocks, stage(reranked(blocks.select("block", "lang", "size", "codes"), ranks, word_ranker), "phrase_blocks")
+    old, blocks = blocks, stage(reranked(blocks.select("block", "lang", "size", "codes"), ranks, word_ranker, offsets), "phrase_blocks")
     release(old)
 
     levels = []
@@ -376,10 +408,11 @@ def collocations(
             pair_summer(least, m < longest), "block long, id long, left long, right long, f long, size long, data binary"
         )
         found = stage(found, "phrase_pairs")
+        pairs, offsets = numbered(found, buckets)
         a = units.select(F.col("rank").alias("left"), "lang", F.col("phrase").alias("_a"), F.col("f").alias("_fa"), "heads")
         b = units.select(F.col("rank").alias("right"), F.col("phrase").alias("_b"), F.col("f").alias("_fb"), "tails")
         units = stage(
-            found.where("block < 0").select(F.col("id").alias("rank"), "left", "right", "f").join(a, "left").join(b, "right").select(
+            pairs.select("rank", "left", "right", "f").join(a, "left").join(b, "right").select(
                 "rank", "lang", F.concat_ws(" ", "_a", F.substring_index("_b", " ", -1)).alias("phrase"), "f",
                 F.concat("heads", F.array("_fa")).alias("heads"), F.concat(F.array("_fb"), "tails").alias("tails"),
                 "left", "right", "_fa", "_fb",
@@ -389,7 +422,7 @@ def collocations(
         levels.append(units)
         if m < longest:
             ranks = found.where("block >= 0").select("block", F.col("size").alias("n"), "data")
-            old, blocks = blocks, stage(reranked(blocks, ranks, pair_ranker), "phrase_blocks")
+            old, blocks = blocks, stage(reranked(blocks, ranks, pair_ranker, offsets), "phrase_blocks")
             release(old)
         release(found)
 
