@@ -185,3 +185,18 @@ def test_hot_account_is_not_joined_where_rarer_ones_decide(spark):
     sets = sets.union(spark.createDataFrame([(7, "x"), (7, "y"), (8, "z")], "ring_id bigint, account string"))
     got = scoring.rings_reaching(sets, truth, coverage=0.5)
     assert [(r.predicted_id, r.overlap) for r in got.orderBy("predicted_id").collect()] == [(7, 3), (8, 2)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("share", [{"coverage": 0.5}, {"jaccard": 0.2}])
+def test_rings_reaching_broadcasts_no_table_that_grows(spark, toy, share):
+    found = scoring.rings_reaching(predict(spark, LOOP, INTO), scoring.ring_accounts(toy), **share)
+    assert "Broadcast" not in plan_of(found) and {(r.ring_id, r.predicted_id) for r in found.collect()} == {(7, 1), (8, 2)}
+
+
+def test_scoring_rings_broadcasts_no_table_that_grows(spark, toy):
+    per_ring = scoring.ring_metrics(predict(spark, LOOP), scoring.ring_truth(toy), scoring.ring_accounts(toy))
+    assert "Broadcast" not in plan_of(per_ring)
