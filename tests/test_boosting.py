@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,33 @@ def test_average_precision_by_hand(spark):
     rows = spark.createDataFrame([(0.9, 1.0), (0.8, 0.0), (0.8, 1.0), (0.1, 1.0), (0.0, 0.0)], "p double, label double")
     # Recall rises by 1/3 at precisions 1, 2/3 and 3/4.
     assert ranker.average_precision(rows, {"x": "p"}, "curve")["x"] == pytest.approx((1 + 2 / 3 + 3 / 4) / 3)
+
+
+def test_only_the_smaller_child_is_counted_and_sums_are_whole(spark):
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 4, (400, 3)).astype(np.uint8)
+    codes[::7, 1] = boosting.MISSING
+    trees = boosting.Trees.empty(1, 2)
+    trees.feature[0, 0], trees.cut[0, 0], trees.missing_left[0, 0] = 1, 0, True
+    left = (codes[:, 1] <= 0) | (codes[:, 1] == boosting.MISSING)
+    trees.rows[0, 1:3] = left.sum(), (~left).sum()
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(rng.integers(0, 2, 400).astype(float)), pa.array([b"\x01"] * 400, pa.binary()),
+         pa.array(np.ones(400, np.int64)), pa.array([np.zeros(1).tobytes()] * 400, pa.binary())], ["codes", "label", "trains", "weight", "raw"],
+    )
+
+    def sums(level):
+        shape = (1, 2**level, 3, 6)
+        out = np.zeros((3, int(np.prod(shape))), np.int64)
+        (got,) = boosting.histogram([batch], trees, level, [], shape, 0.1)
+        for k, c in enumerate("ghn"):
+            out[k, got["cell"].to_numpy()] = got[c].to_numpy()
+        return out.reshape(3, *shape)
+
+    one = sums(1)
+    assert one[2].sum() == 3 * min(left.sum(), (~left).sum())
+    whole = trees.completed(1, one, sums(0))
+    for node, rows in enumerate((left, ~left)):
+        want = [np.bincount(np.where(codes[rows, f] == boosting.MISSING, 5, codes[rows, f]), minlength=6) for f in range(3)]
+        assert (whole[2, 0, node] == want).all()
+    assert (whole.sum(axis=2) == sums(0)[:, :, 0]).all()
