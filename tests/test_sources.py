@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowtrail.operators import labels
-from flowtrail.session import build_session, shared_dir
+from flowtrail.session import build_session, shared_dir, stage
 from flowtrail.sources import ring_log, tables, transfer_csv
 
 HEAD = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering"
@@ -129,3 +129,15 @@ def test_gate_refuses_a_log_that_does_not_match(spark, transfers):
     assert labels.require_matched(fine).head().pattern_keys == 2
     with pytest.raises(ValueError, match="1 of 2"):
         labels.require_matched(bad)
+
+
+def test_a_partitioned_table_is_written_without_sorting_a_task(spark):
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    rows = spark.range(100).selectExpr("id", "cast(id % 4 as string) AS rail")
+    back = stage(rows, "rails", partition_by=("rail",))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    plans = spark._jsparkSession.sharedState().statusStore().executionsList()
+    writes = [p for i in range(plans.size()) if "InsertIntoHadoopFsRelationCommand" in (p := plans.apply(i).physicalPlanDescription()) and "/rails-" in p]
+    assert writes and "Sort" not in writes[-1]
+    assert spark.conf.get(key) == before and sorted(back.select("id", "rail").collect()) == sorted(rows.collect())
