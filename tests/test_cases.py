@@ -95,6 +95,18 @@ def test_hops_and_slice(spark, transfers):
     assert induced_transfers(df, seed("N1", "N2")).count() == 2
 
 
+def test_few_seeds_and_rings_leave_edges_and_the_queue_where_they_are(spark, transfers):
+    df, rings, _ = setup_case(spark, transfers)
+    run = Detection(df, DetectionParams(rails=()))
+    seeds = spark.createDataFrame([("A",), ("E",), ("not there",)], "node string")
+    few, every = (traversal.neighbourhood(run.pairs, seeds, 1, few=f) for f in (True, False))
+    assert sorted(few.collect()) == sorted(every.collect()) and len(few.collect()) == 5
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    among = queue.cross_ring_counts(rings, among=spark.createDataFrame([("A",), ("A",), ("D",)], "account string"))
+    assert {r.account: r.rings_appeared for r in among.collect()} == {"A": 2, "D": 1}
+
+
 def test_weak_components_match_union_find(spark, transfers):
     import random
 
