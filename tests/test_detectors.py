@@ -139,6 +139,12 @@ def test_cycles_match_exhaustive_search(transfers, seed, limit):
     assert got == brute_cycles(pairs, limit)
 
 
+def test_cycles_and_pairs_broadcast_no_table_that_grows(transfers):
+    run = Detection(transfers([("a", "b", 1, 0), ("b", "c", 1, 1), ("c", "a", 1, 2)]), DetectionParams(rails=()))
+    plan = cycles.cycles(run.edges, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_triangle_orientations_and_hamiltonian_cycles_collapse(transfers):
     both = [(a, b, 1, 0) for a, b in itertools.permutations("ABC", 2)]
     _, edges = tables(transfers(both))
