@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import heapq
 import os
+import string
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,8 @@ GROUP_WINDOWS = 128
 SHORT, BUNDLE = 32, 64
 #: Words whose ids a task keeps, and the longest such word in bytes.
 MOST_KEPT, LONGEST_KEPT = 600_000, 64
-STOPS = b".,;:!?"
+#: Punctuation of ASCII: after letters, it is a token of its own up to the end of the word.
+STOPS = string.punctuation.encode()
 #: Rows written at a time.
 ROWS = 1000
 COLUMNS = "piece long, doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -77,7 +80,8 @@ class Ids(dict):
     def letters(self, word: bytes) -> bytes:
         """Ids of lower-case letters."""
         shown = word.decode() if word.isascii() else word.decode("latin-1").translate(AS_CHARS)
-        return np.array([t.id for t in self.tokenize(shown)], "<u4").tobytes()
+        ids = [t.id for t in self.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: bytes) -> bytes:
         if word.isalpha() and word.islower():
@@ -106,15 +110,20 @@ class Ids(dict):
         return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
 
 
+@lru_cache(1)
+def read(tokenizer_json: str):
+    """The tokenizer, made once by each Python process."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(tokenizer_json)
+
+
 def cutter(tokenizer_json: str, capacity: int, part: int):
     """Encodes texts and cuts their ids into windows and the parts of a rest."""
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        known, piece, rows = Ids(tokenizer), TaskContext.get().partitionId() << 33, []
+        known, piece, rows = Ids(read(tokenizer_json)), TaskContext.get().partitionId() << 33, []
         schema = pa.schema([("piece", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
                             ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 

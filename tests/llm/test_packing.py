@@ -126,3 +126,19 @@ def test_window_count_rises_until_all_fits():
     sizes = np.random.default_rng(2).integers(1, 513, 2000)
     found = packing.windows(sizes, 2048)
     assert np.bincount(found, sizes).max() <= 2048 and found.max() + 1 <= 1.02 * sizes.sum() / 2048 + 1
+
+
+def test_words_with_any_stops_are_put_together_and_the_tokenizer_is_made_once(tokenizer):
+    asked = []
+
+    class Counted(packing.Ids):
+        def encoded(self, text):
+            asked.append(text)
+            return super().encoded(text)
+
+    known = Counted(tokenizer)
+    texts = ["Wort$$$ wort&&& Été*** x, (a) it's I'LL ll' a'' don't!!! \"quoted\" a-b x's'; é$ K Å ß## <|y ſ€", "word%%%", "'s ''s '$ $'s"]
+    for text in texts:
+        assert np.frombuffer(known.text(text), "<u4").tolist() == expected(tokenizer, text)[:-1]
+    assert "$$$" in asked and not {"Wort$$$", "wort&&&", "Été***", "word%%%"} & set(asked)
+    assert packing.read(packing.read_tokenizer()) is packing.read(packing.read_tokenizer())
