@@ -15,6 +15,7 @@ units, so no table that grows with the corpus is broadcast.
 from __future__ import annotations
 
 import re
+import string
 from array import array
 from functools import cache
 
@@ -29,8 +30,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Longer units are not shuffled.
 LONGEST_UNIT = 64
-#: Longest word whose ids are kept, and how many of them.
-LONGEST_KEPT, MOST_KEPT = 1024, 300_000
+#: Longest word whose ids are kept, and how many of those that are no unit themselves.
+LONGEST_KEPT, MOST_KEPT = 1024, 100_000
 CHUNK_DOCS = 16_384
 #: Partitions of distinct units for each chunk of documents.
 UNIT_PARTS = 12
@@ -132,6 +133,13 @@ class Cutter:
             out.append(BLANK * (blanks - 1) + word if blanks else INNER + word)
         return out
 
+    def halves(self, word: str) -> tuple[str, ...]:
+        """A part without the punctuation at its end, and that punctuation, if a unit ends between them."""
+        core = word.rstrip(string.punctuation)
+        if core == word or core in ("", INNER) or core[-1] + word[len(core)] in self.joined:
+            return (word,)
+        return core, INNER + word[len(core) :]
+
     def cut(self, word: str) -> list[str]:
         """Names of the units of a part."""
         if word == INNER + BLANK:
@@ -186,18 +194,30 @@ class Folder:
 
 
 class Encodings(dict):
-    """Ids of the parts of texts, put together from those of their units when first asked for."""
+    """Ids of the parts of texts: those of units, and others put together from them when first asked for.
+
+    A part that bears the name of a unit is that unit.
+    """
 
     def __init__(self, cutter: Cutter, folder: Folder, known: dict[str, bytes]):
-        self.cutter, self.folder, self.known = cutter, folder, known
+        super().__init__(known)
+        self.cutter, self.folder, self.more = cutter, folder, []
 
     def __missing__(self, word: str) -> bytes:
-        known = self.known
-        ids = b"".join([known[n] if len(n) <= LONGEST_UNIT else self.folder.ids(n) for n in self.cutter.cut(word)])
+        halves = self.cutter.halves(word)
+        if len(halves) == 2:
+            ids = self[halves[0]] + self[halves[1]]
+        else:
+            units = self.cutter.cut(word)
+            # A unit that is not known is a long one.
+            ids = b"".join([self[n] if len(n) <= LONGEST_UNIT else self.folder.ids(n) for n in units])
         if len(word) <= LONGEST_KEPT:
-            if len(self) >= MOST_KEPT:
-                self.clear()
+            if len(self.more) >= MOST_KEPT:
+                for old in self.more:
+                    del self[old]
+                self.more = []
             self[word] = ids
+            self.more.append(word)
         return ids
 
 
@@ -252,7 +272,7 @@ def lister(cutter: Cutter):
                 own, old = found.setdefault(chunk, set()), seen.setdefault(chunk, set())
                 for text in unpacked(data)["text"].to_pylist():
                     if text is not None:
-                        for word in set(cutter.words(text)) - old:
+                        for word in {half for word in set(cutter.words(text)) - old for half in cutter.halves(word)} - old:
                             own.update(n for n in cutter.cut(word) if len(n) <= LONGEST_UNIT)
                             if len(word) <= LONGEST_KEPT:
                                 old.add(word)
@@ -379,13 +399,12 @@ def applier(model: Model, columns: list[str]):
 
     def apply(packed: pa.Table, units: pa.Table) -> pa.Table:
         speller = Speller(pieces)
-        known: dict[str, bytes] = {}
+        encodings = Encodings(cutter, folder, {})
         for batch in (b for data in units["packed"].to_pylist() for b in unpacked(data).to_batches()):
             ids = batch["ids"]
             ends = ((ids.offsets.to_numpy() - ids.offsets[0].as_py()) * 4).tolist()
             data = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
-            known.update(zip(batch["name"].to_pylist(), (data[i:j] for i, j in zip(ends, ends[1:]))))
-        encodings = Encodings(cutter, folder, known)
+            encodings.update(zip(batch["name"].to_pylist(), (data[i:j] for i, j in zip(ends, ends[1:]))))
         out = []
         for data in packed["packed"].to_pylist():
             table = unpacked(data)

@@ -116,3 +116,22 @@ def test_many_texts_at_once_are_told_exact_one_by_one():
     assert speller.exact(texts, moved)[:3] == [False, True, None]  # no ids spell the empty text
     moved = [found[4], *found[1:]]
     assert speller.exact(texts, moved) == [False, *[None if t is None else True for t in texts[1:]]]
+
+
+def test_words_before_punctuation_are_cut_once_and_units_take_no_place_of_words(monkeypatch):
+    cutter, folder = MODEL.cutter(), pieces.Folder(MODEL)
+    rng = random.Random(5)
+    texts = ["word word, word. (word) word... x), y\n▁, ▁. ,, . end$$$ end&&&. \x00, " + "q" * 90 + ", a" + "!" * 80]
+    texts += ["".join(rng.choice("ab,.)($ \n\t▁\x00é") for _ in range(80)) for _ in range(200)]
+    units = {n for t in texts for n in pieces.names(t, cutter)}
+    known = {n: folder.ids(n) for n in units if len(n) <= pieces.LONGEST_UNIT}
+    for most in (2, 1000):
+        monkeypatch.setattr(pieces, "MOST_KEPT", most)
+        found = pieces.Encodings(cutter, folder, known)
+        for t in texts:
+            assert b"".join(found[w] for w in cutter.words(t)) == b"".join(map(folder.ids, pieces.names(t, cutter)))
+        assert len(found.more) <= most and known.items() <= found.items() and len(found) == len(known) + len(found.more)
+    asked = []
+    monkeypatch.setattr(cutter, "cut", lambda w, cut=cutter.cut: asked.append(w) or cut(w))
+    found = pieces.Encodings(cutter, folder, {"word": folder.ids("word"), **{pieces.INNER + c: folder.ids(pieces.INNER + c) for c in ",.;"}})
+    assert all(found[w] for w in ("word", "word,", "word.", "word;")) and not asked
