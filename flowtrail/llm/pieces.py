@@ -262,25 +262,29 @@ def unpacked(data: bytes) -> pa.Table:
 
 
 def lister(cutter: Cutter):
-    """Distinct units of every chunk. All parts of a chunk are in one task, so each unit comes once."""
+    """Distinct units of every chunk. The parts of a chunk follow one another, so each unit comes once."""
+
+    def listed(own: set[str], chunk: int):
+        units = list(own)
+        for at in range(0, len(units), 50_000):
+            part = units[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk, np.int32))], ["name", "chunk"])
 
     def run(batches):
-        found: dict[int, set[str]] = {}
-        seen: dict[int, set[str]] = {}
+        # Only the chunk at hand is held.
+        now, own, old = None, set(), set()
         for batch in batches:
-            for chunk, data in zip(batch["chunk"].to_pylist(), batch["packed"].to_pylist()):
-                own, old = found.setdefault(chunk, set()), seen.setdefault(chunk, set())
-                for text in unpacked(data)["text"].to_pylist():
+            for chunk, data in zip(batch["chunk"].to_pylist(), batch["packed"]):
+                if chunk != now:
+                    yield from listed(own, now)
+                    now, own, old = chunk, set(), set()
+                for text in unpacked(data.as_buffer())["text"].to_pylist():
                     if text is not None:
                         for word in {half for word in set(cutter.words(text)) - old for half in cutter.halves(word)} - old:
                             own.update(n for n in cutter.cut(word) if len(n) <= LONGEST_UNIT)
                             if len(word) <= LONGEST_KEPT:
                                 old.add(word)
-        for chunk, own in found.items():
-            listed = list(own)
-            for at in range(0, len(listed), 50_000):
-                part = listed[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk, np.int32))], ["name", "chunk"])
+        yield from listed(own, now)
 
     return run
 
@@ -439,7 +443,7 @@ def encode(docs: DataFrame, model: Model, chunk_docs: int = CHUNK_DOCS, keep: tu
     n_chunks = max(1, -(-docs.count() // chunk_docs))
     packed = rows.mapInArrow(packer(n_chunks), "chunk int, packed binary").repartition("chunk")
     # Each chunk lists a unit once, so nothing is gained by summing up before this shuffle.
-    units = packed.mapInArrow(lister(model.cutter()), "name string, chunk int").repartition(max(UNIT_PARTS * n_chunks, 8), "name")
+    units = packed.sortWithinPartitions("chunk").mapInArrow(lister(model.cutter()), "name string, chunk int").repartition(max(UNIT_PARTS * n_chunks, 8), "name")
     units = units.groupBy("name").agg(F.collect_set("chunk").alias("chunks"))
     ids = encoded_units(units, model.table(spark), model.longest, model.byte_ids)
     by_chunk = ids.select(F.explode("chunks").alias("chunk"), "name", "ids").mapInArrow(unit_packer, "chunk int, packed binary")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from tests.llm.helpers import frame, odd_rows, prose, row
 
 from flowtrail.llm import pieces
@@ -135,3 +137,18 @@ def test_words_before_punctuation_are_cut_once_and_units_take_no_place_of_words(
     monkeypatch.setattr(cutter, "cut", lambda w, cut=cutter.cut: asked.append(w) or cut(w))
     found = pieces.Encodings(cutter, folder, {"word": folder.ids("word"), **{pieces.INNER + c: folder.ids(pieces.INNER + c) for c in ",.;"}})
     assert all(found[w] for w in ("word", "word,", "word.", "word;")) and not asked
+
+
+def test_units_of_a_chunk_are_listed_before_the_next_chunk_is_read():
+    def texts(*rows):
+        return pieces.parts(pa.table({"text": pa.array(rows)}), np.zeros(len(rows), np.int32))["packed"][0]
+
+    def batch(chunk, *rows):
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([texts(*rows).as_py()], pa.binary())], ["chunk", "packed"])
+
+    given, read = [batch(0, "a b, c", None), batch(0, "b d"), batch(1, "b e"), batch(2, None), batch(3, "f")], []
+    found = []
+    for out in pieces.lister(MODEL.cutter())(read.append(b) or b for b in given):
+        found.append((out["chunk"].to_pylist()[0], sorted(out["name"].to_pylist()), len(read)))
+    units = lambda *rows: sorted({n for t in rows for n in pieces.names(t, MODEL.cutter())})
+    assert found == [(0, units("a b, c", "b d"), 3), (1, units("b e"), 4), (3, units("f"), 5)]
