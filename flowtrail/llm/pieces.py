@@ -17,11 +17,12 @@ from __future__ import annotations
 import re
 import string
 from array import array
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,10 @@ LONGEST_UNIT = 64
 #: Longest word whose ids are kept, and how many of those that are no unit themselves.
 LONGEST_KEPT, MOST_KEPT = 1024, 100_000
 CHUNK_DOCS = 16_384
+#: Characters of texts that are cut at once.
+CHARS_AT_ONCE = 1 << 20
+#: Rows that are encoded together, and bytes up to which small tables are put together for it.
+ROWS_ENCODED, BYTES_ENCODED = 1024, 4 << 20
 #: Partitions of distinct units for each chunk of documents.
 UNIT_PARTS = 12
 #: A piece of the model's n-th rank has the log-probability -ln(n + SHIFT), up to a constant.
@@ -42,7 +47,6 @@ INNER = "\x00"  # starts the name of a unit that does not follow a blank
 # Packed lattice: an edge is end, start, id + 1 and cost; a best path's end is cost, start, id + 1.
 COST_BITS, ID_BITS, PLACE_BITS = 20, 16, 7
 COST_UNIT = 10_000
-RARE = re.compile("^ |  |[\x00" + BLANK + "]")
 RUNS = re.compile(" +[^ \x00" + BLANK + "]*|[\x00" + BLANK + "]|[^ \x00" + BLANK + "]+")
 
 
@@ -124,7 +128,7 @@ class Cutter:
 
     def words(self, text: str) -> list[str]:
         """The text in parts, each named like a unit, that ``cut`` cuts further."""
-        if self.ends_lines and not RARE.search(text):
+        if self.ends_lines and not (text.startswith(" ") or "  " in text or INNER in text or BLANK in text):
             return text.replace("\n", f" {INNER}\n {INNER}").split(" ")
         out = []
         for run in RUNS.findall(" " + text):
@@ -149,6 +153,77 @@ class Cutter:
         found = [unit[i:j] for i, j in zip([0, *ends], ends)] if unit else []
         return [u[1:] if u[0] == BLANK else INNER + u for u in found]
 
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the characters as texts write them, 0 for those in no pair, and which numbers are joined side by side."""
+        chars = sorted({c for p in self.joined for c in p})
+        number = np.zeros(0x110000, np.uint16)
+        number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for a, b in self.joined:
+            joined[number[ord(a)], number[ord(b)]] = True
+        # A blank of a text is the blank mark of pieces, and a mark in a text is in no pair.
+        number[ord(" ")], number[ord(BLANK)] = number[ord(BLANK)], 0
+        return number, joined
+
+    def spelled_units(self, texts: list[str]) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+        """The units of some texts: distinct ones as texts spell them, the places of all among these, and where each text's units end.
+
+        The same units as those of ``words`` and ``cut``, for all characters at once.
+        """
+        text = "".join([" " + t for t in texts])
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        number, joined = self.pairs
+        kinds = number[codes]
+        last = np.append(~joined[kinds[:-1], kinds[1:]], True)
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        last[text_ends - 1] = True
+        ends = np.flatnonzero(last) + 1
+        data = text.encode()
+        if len(data) == len(text):
+            at = ends
+        else:
+            at = np.cumsum(1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800) + (codes >= 0x10000), dtype=np.int64)[ends - 1]
+        offsets = np.concatenate([[0], at]).astype(np.int64)
+        units = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        return units.dictionary.cast(pa.string()), units.indices.to_numpy(), np.searchsorted(ends, text_ends, "right")
+
+
+def unit_name(spelled: str) -> str:
+    """The name of a unit as texts spell it."""
+    return spelled[1:].replace(" ", BLANK) if spelled[0] == " " else INNER + spelled
+
+
+def unit_spelled(name: str) -> str:
+    """The unit of a name as texts spell it."""
+    return name[1:] if name.startswith(INNER) else " " + name.replace(BLANK, " ")
+
+
+def strings(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
+    """The strings of a column, without a scalar for each."""
+    return column.to_numpy(zero_copy_only=False).tolist() if isinstance(column, pa.Array) else column.to_numpy().tolist()
+
+
+def portions(texts: list[str]):
+    """Texts side by side, ``CHARS_AT_ONCE`` characters at a time or one text."""
+    some, size = [], 0
+    for text in texts:
+        if some and size + len(text) > CHARS_AT_ONCE:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
+def taken(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``start`` and are ``n`` long, one after another."""
+    ends = np.cumsum(n)
+    at = np.repeat((start - ends + n).astype(np.int32 if len(ends) and ends[-1] < 1 << 31 else np.int64), n)
+    at += np.arange(len(at), dtype=at.dtype)
+    return values[at]
+
 
 @cache
 def default_cutter() -> Cutter:
@@ -196,7 +271,7 @@ class Folder:
 class Encodings(dict):
     """Ids of the parts of texts: those of units, and others put together from them when first asked for.
 
-    A part that bears the name of a unit is that unit.
+    A part that bears the name of a unit is that unit. The plain way, one part after another, to which tests compare ``UnitTable``.
     """
 
     def __init__(self, cutter: Cutter, folder: Folder, known: dict[str, bytes]):
@@ -221,6 +296,44 @@ class Encodings(dict):
         return ids
 
 
+class UnitTable:
+    """Ids of the units of a chunk in one array; texts are encoded by gathering from it."""
+
+    def __init__(self, cutter: Cutter, folder: Folder, units: pa.StringArray, n_ids: np.ndarray, ids: np.ndarray):
+        """``units`` as texts spell them, how many ids each has, and the ids of all."""
+        self.cutter, self.folder, self.units, self.ids, self.n = cutter, folder, units, ids, n_ids.astype(np.int64)
+        self.start = np.cumsum(self.n) - self.n
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if not texts:
+            return []
+        cut = [self.cutter.spelled_units(some) for some in portions(texts)]
+        # Looked up together, as a lookup goes over the whole table.
+        units = pa.concat_arrays([c[0] for c in cut])
+        place = pc.index_in(units, self.units).fill_null(-1).to_numpy()
+        known = place >= 0
+        n = np.zeros(len(place), np.int64)
+        n[known] = self.n[place[known]]
+        ids = [taken(self.ids, self.start[place[known]], n[known])]
+        start = np.cumsum(n) - n
+        # A unit that is not known is a long one.
+        size = len(ids[0])
+        for i in np.flatnonzero(~known).tolist():
+            ids.append(np.frombuffer(self.folder.ids(unit_name(units[i].as_py())), np.int32))
+            start[i], n[i] = size, len(ids[-1])
+            size += len(ids[-1])
+        ids, first, out = np.concatenate(ids), 0, []
+        for own, index, ends in cut:
+            index = index + first
+            first += len(own)
+            each = n[index]
+            data = taken(ids, start[index], each).tobytes()
+            bounds = (4 * np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], ends])]).tolist()
+            out += [data[i:j] for i, j in zip(bounds, bounds[1:])]
+        return out
+
+
 def parts(table: pa.Table, chunk: np.ndarray) -> pa.RecordBatch:
     """The rows of a table packed by chunk, as compressed Arrow streams."""
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
@@ -261,30 +374,62 @@ def unpacked(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
+def unpacked_some(packed: pa.ChunkedArray):
+    """The rows of packed tables, ``ROWS_ENCODED`` at most at a time; small tables are put together."""
+    some, size = [], 0
+    for data in packed:
+        some.append(unpacked(data.as_buffer()))
+        size += some[-1].nbytes
+        if size >= BYTES_ENCODED:
+            yield from cut_rows(some)
+            some, size = [], 0
+    if some:
+        yield from cut_rows(some)
+
+
+def cut_rows(tables: list[pa.Table]):
+    table = pa.concat_tables(tables)
+    for at in range(0, len(table), ROWS_ENCODED):
+        yield table.slice(at, ROWS_ENCODED)
+
+
 def lister(cutter: Cutter):
     """Distinct units of every chunk. The parts of a chunk follow one another, so each unit comes once."""
 
-    def listed(own: set[str], chunk: int):
-        units = list(own)
-        for at in range(0, len(units), 50_000):
-            part = units[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk, np.int32))], ["name", "chunk"])
+    def distinct(found: list[pa.StringArray]) -> list[pa.StringArray]:
+        return [pa.concat_arrays(found).unique()] if found else []
+
+    def listed(found: list[pa.StringArray], chunk: int):
+        for units in distinct(found):
+            for at in range(0, len(units), 50_000):
+                part = [n for n in map(unit_name, strings(units[at : at + 50_000])) if len(n) <= LONGEST_UNIT]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk, np.int32))], ["name", "chunk"])
 
     def run(batches):
         # Only the chunk at hand is held.
-        now, own, old = None, set(), set()
+        now, found, most, waiting = None, [], 0, []
+
+        def add(least: int):
+            nonlocal found, most
+            if sum(t.nbytes for t in waiting) < least:
+                return
+            for some in portions([t for table in waiting for t in strings(table["text"]) if t is not None]):
+                found.append(cutter.spelled_units(some)[0])
+                if sum(map(len, found)) > most:
+                    found = distinct(found)
+                    most = 2 * len(found[0]) + 100_000
+            waiting.clear()
+
         for batch in batches:
             for chunk, data in zip(batch["chunk"].to_pylist(), batch["packed"]):
                 if chunk != now:
-                    yield from listed(own, now)
-                    now, own, old = chunk, set(), set()
-                for text in unpacked(data.as_buffer())["text"].to_pylist():
-                    if text is not None:
-                        for word in {half for word in set(cutter.words(text)) - old for half in cutter.halves(word)} - old:
-                            own.update(n for n in cutter.cut(word) if len(n) <= LONGEST_UNIT)
-                            if len(word) <= LONGEST_KEPT:
-                                old.add(word)
-        yield from listed(own, now)
+                    add(0)
+                    yield from listed(found, now)
+                    now, found, most = chunk, [], 0
+                waiting.append(unpacked(data.as_buffer()).select(["text"]))
+                add(CHARS_AT_ONCE)
+        add(0)
+        yield from listed(found, now)
 
     return run
 
@@ -369,11 +514,7 @@ class Speller:
 
     def spelled(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids, all in one gather."""
-        n = self.length[ids]
-        ends = np.cumsum(n)
-        at = np.repeat((self.start[ids] - ends + n).astype(np.int32 if len(ends) and ends[-1] < 1 << 31 else np.int64), n)
-        at += np.arange(len(at), dtype=at.dtype)
-        return self.flat[at].tobytes()
+        return taken(self.flat, self.start[ids], self.length[ids]).tobytes()
 
     def text(self, ids: np.ndarray) -> str:
         """The bytes of the ids, without the blank in front."""
@@ -403,17 +544,17 @@ def applier(model: Model, columns: list[str]):
 
     def apply(packed: pa.Table, units: pa.Table) -> pa.Table:
         speller = Speller(pieces)
-        encodings = Encodings(cutter, folder, {})
+        spelled, n_ids, flat = [pa.array([], pa.string())], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for batch in (b for data in units["packed"].to_pylist() for b in unpacked(data).to_batches()):
-            ids = batch["ids"]
-            ends = ((ids.offsets.to_numpy() - ids.offsets[0].as_py()) * 4).tolist()
-            data = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
-            encodings.update(zip(batch["name"].to_pylist(), (data[i:j] for i, j in zip(ends, ends[1:]))))
+            spelled.append(pa.array(list(map(unit_spelled, strings(batch["name"]))), pa.string()))
+            n_ids.append(np.diff(batch["ids"].offsets.to_numpy()))
+            flat.append(batch["ids"].flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+        encodings = UnitTable(cutter, folder, pa.concat_arrays(spelled), np.concatenate(n_ids), np.concatenate(flat))
         out = []
-        for data in packed["packed"].to_pylist():
-            table = unpacked(data)
-            texts = table["text"].to_pylist()
-            found = [None if t is None else b"".join(map(encodings.__getitem__, cutter.words(t))) for t in texts]
+        for table in unpacked_some(packed["packed"]):
+            texts = strings(table["text"])
+            ids_of = iter(encodings.encoded([t for t in texts if t is not None]))
+            found = [None if t is None else next(ids_of) for t in texts]
             exact = speller.exact(texts, found)
             lengths = np.array([len(x or b"") // 4 for x in found])
             ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32(), mask=np.array([x is None for x in found] + [False]))

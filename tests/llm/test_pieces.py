@@ -152,3 +152,24 @@ def test_units_of_a_chunk_are_listed_before_the_next_chunk_is_read():
         found.append((out["chunk"].to_pylist()[0], sorted(out["name"].to_pylist()), len(read)))
     units = lambda *rows: sorted({n for t in rows for n in pieces.names(t, MODEL.cutter())})
     assert found == [(0, units("a b, c", "b d"), 3), (1, units("b e"), 4), (3, units("f"), 5)]
+
+
+def test_units_of_all_characters_at_once_equal_those_of_single_words(monkeypatch):
+    cutter, folder = MODEL.cutter(), pieces.Folder(MODEL)
+    rng = random.Random(7)
+    texts = ["", " ", "\n", "▁", "\x00", " ▁▁  x, y.\n", "é日本, 😀x (ab)$$$", "q" * 90 + "  z", prose(80)]
+    texts += ["".join(rng.choice('ab,.)( "\'\n\r\t▁\x00  theé日€😀9') for _ in range(rng.randrange(120))) for _ in range(200)]
+    listed = [[n for n in pieces.names(t, cutter) if n != pieces.INNER] for t in texts]
+    want = [b"".join(map(folder.ids, names)) for names in listed]
+    known = sorted({n for names in listed for n in names if len(n) <= pieces.LONGEST_UNIT})
+    ids = [np.frombuffer(folder.ids(n), np.int32) for n in known]
+    packed = pieces.parts(pa.table({"text": texts}), np.zeros(len(texts), np.int32))
+    # Neither side goes from word to word.
+    for name in ("words", "cut", "halves"):
+        monkeypatch.delattr(pieces.Cutter, name)
+    for most in (50, 1 << 20):
+        monkeypatch.setattr(pieces, "CHARS_AT_ONCE", most)
+        assert sorted(n for b in pieces.lister(cutter)([packed]) for n in b["name"].to_pylist()) == known
+        table = pieces.UnitTable(cutter, folder, pa.array(map(pieces.unit_spelled, known)), np.array([len(x) for x in ids]), np.concatenate(ids))
+        assert table.encoded(texts) == want
+    assert pieces.UnitTable(cutter, folder, pa.array([], pa.string()), np.zeros(0, int), np.zeros(0, np.int32)).encoded(["q" * 90]) == [folder.ids("q" * 90)]
