@@ -34,8 +34,8 @@ LONGEST_UNIT = 64
 #: Longest word whose ids are kept, and how many of those that are no unit themselves.
 LONGEST_KEPT, MOST_KEPT = 1024, 100_000
 CHUNK_DOCS = 16_384
-#: Characters of texts that are cut at once.
-CHARS_AT_ONCE = 1 << 20
+#: Characters of texts that are cut at once, and texts that are read at once for their chunks.
+CHARS_AT_ONCE, TEXTS_AT_ONCE = 1 << 20, 256
 #: Rows that are encoded together, and bytes up to which small tables are put together for it.
 ROWS_ENCODED, BYTES_ENCODED = 1024, 4 << 20
 #: Partitions of distinct units for each chunk of documents.
@@ -338,13 +338,13 @@ def parts(table: pa.Table, chunk: np.ndarray) -> pa.RecordBatch:
     """The rows of a table packed by chunk, as compressed Arrow streams."""
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
     order = np.argsort(chunk, kind="stable")
-    table, chunk = table.take(order), chunk[order]
-    keys, starts = np.unique(chunk, return_index=True)
+    keys, starts = np.unique(chunk[order], return_index=True)
     packed = []
     for a, b in zip(starts, [*starts[1:], len(chunk)]):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema, options=options) as out:
-            out.write_table(table.slice(a, b - a).combine_chunks())
+            # Only the rows at hand are copied.
+            out.write_table(table.take(order[a:b]).combine_chunks())
         packed.append(sink.getvalue().to_pybytes())
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "packed"])
 
@@ -357,7 +357,8 @@ def packer(n_chunks: int):
         for batch in batches:
             table = pa.Table.from_batches([batch])
             chunk = [digest(f"{i}\n{t}".encode("utf-8", "surrogatepass")) % n_chunks
-                     for i, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist())]
+                     for some in table.select(["doc_id", "text"]).to_batches(max_chunksize=TEXTS_AT_ONCE)
+                     for i, t in zip(some["doc_id"].to_pylist(), some["text"].to_pylist())]
             yield parts(table, np.array(chunk, np.int32))
 
     return pack

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -173,3 +174,15 @@ def test_units_of_all_characters_at_once_equal_those_of_single_words(monkeypatch
         table = pieces.UnitTable(cutter, folder, pa.array(map(pieces.unit_spelled, known)), np.array([len(x) for x in ids]), np.concatenate(ids))
         assert table.encoded(texts) == want
     assert pieces.UnitTable(cutter, folder, pa.array([], pa.string()), np.zeros(0, int), np.zeros(0, np.int32)).encoded(["q" * 90]) == [folder.ids("q" * 90)]
+
+
+def test_packing_holds_few_texts_beside_their_batch():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(4000)), "text": [f"{i} " * 500 for i in range(4000)]})
+    tracemalloc.start()
+    try:
+        packed = next(iter(pieces.packer(3)([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    back = pa.concat_tables(pieces.unpacked(x.as_buffer()) for x in packed["packed"])
+    assert back.sort_by("doc_id").equals(pa.table(batch)) and peak < batch.nbytes / 4
