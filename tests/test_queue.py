@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from flowtrail.functions import skew
 from flowtrail.operators import queue
+from flowtrail.plans.detect import Detection
+from flowtrail.plans.evaluate import CaseBook, Evaluation
 from flowtrail.schema import CANDIDATE
 
 
@@ -59,6 +61,26 @@ def test_top_selection_equals_head_of_queue(candidates):
     assert whole == queue.top_rings(df, 10).select(*cols).orderBy("ring_id").collect()
 
 
+def test_ranked_and_head_equal_the_whole_queue(candidates):
+    rng = random.Random(3)
+    kinds = ["fan_out", "fan_in", "pass_through", "velocity_burst", "cycle"]
+    rows = [(rng.sample("ABCDEFGHIJKL", 3), rng.choice(kinds), rng.choice([0.2, 0.4, 0.8])) for _ in range(80)]
+    df = candidates([*rows, ([f"x{i:02d}" for i in range(61)] + ["A"], "fan_in", 0.9)])
+    order = queue.ranked(df)
+    whole = queue.combine(df).orderBy("ring_id").collect()
+    assert order.orderBy("ring_id").collect() == [r[:3] for r in whole]
+    assert order.columns == ["ring_id", "score", "accounts"]
+    assert queue.head(order, df, 10).orderBy("ring_id").collect() == whole[:10]
+
+
+def test_ranks_depths_and_top_rings_need_no_evidence_of_the_whole_queue(transfers):
+    run = Detection(transfers([("A", "B", 100, 0), ("B", "C", 98, 2), ("C", "A", 97, 5), ("C", "D", 5, 9)]))
+    assert Evaluation(run).depths.where("depth is not null").count() == 3
+    assert Evaluation(run).predicted.count() > 0
+    assert CaseBook(run).roles.count() > 0
+    assert "rings" not in run.__dict__
+
+
 def test_global_rank_equals_row_number_with_ties(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(rng.randrange(4), i) for i in range(500)], "s int, i int").repartition(9)
