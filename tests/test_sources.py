@@ -141,3 +141,23 @@ def test_a_partitioned_table_is_written_without_sorting_a_task(spark):
     writes = [p for i in range(plans.size()) if "InsertIntoHadoopFsRelationCommand" in (p := plans.apply(i).physicalPlanDescription()) and "/rails-" in p]
     assert writes and "Sort" not in writes[-1]
     assert spark.conf.get(key) == before and sorted(back.select("id", "rail").collect()) == sorted(rows.collect())
+
+
+def test_transfers_are_exploded_by_name_and_their_parts_follow(spark):
+    from flowtrail.sources.commerce import derive_transfers, with_parts
+
+    rows = derive_transfers(spark, "/root/testdata/sf0.001")
+    # A filter over an array of whole transfers is interpreted row by row.
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not {"from_bank", "from_account", "to_bank", "to_account", "amount_received"} & set(rows.columns)
+    full = with_parts(rows)
+    off = full.where(
+        "concat(from_bank, '-', from_account) <> from_node or concat(to_bank, '-', to_account) <> to_node "
+        "or length(from_bank) <> 3 or amount_received <> amount_paid"
+    )
+    legs = {r.leg: r["count"] for r in full.groupBy("leg").count().collect()}
+    orders, lines = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("orders", "lineitem"))
+    assert off.count() == 0 and legs == {
+        "pay": orders.count(), "cancel": orders.where("o_orderkey % 7 = 0").count(), "self": orders.where("o_orderkey % 9 = 0").count(),
+        "line": lines.count(), "refund": lines.where("l_returnflag = 'R'").count(),
+    }
