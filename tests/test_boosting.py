@@ -144,3 +144,22 @@ def test_only_the_smaller_child_is_counted_and_sums_are_whole(spark):
         want = [np.bincount(np.where(codes[rows, f] == boosting.MISSING, 5, codes[rows, f]), minlength=6) for f in range(3)]
         assert (whole[2, 0, node] == want).all()
     assert (whole.sum(axis=2) == sums(0)[:, :, 0]).all()
+
+
+def test_rows_of_other_splits_are_folded_into_one(spark):
+    held = [[], [0], [1], [0, 1]]
+    rows = [(i, 1.0, None, 3.0, 1.0, held[i % 4]) for i in range(40)] + [(40, 1.0, None, 3.0, 0.0, [])]
+    table = spark.createDataFrame(rows, "id int, a double, b double, c double, label double, held_out array<int>").repartition(3)
+    got = boosting.folded(table, boosting.Binner(NAMES, [np.array([1.0, 2.0])] * 3), 2).orderBy("label").collect()
+    assert [(r.label, r.w0, r.w1) for r in got] == [(0.0, 1, 1), (1.0, 20, 20)]
+
+
+def test_each_task_sends_one_row_of_sums(spark):
+    rows = [(i, float(i % 9), None, float(i % 5), float(i % 2), [i % 2]) for i in range(300)]
+    table = spark.createDataFrame(rows, "id int, a double, b double, c double, label double, held_out array<int>")
+    binner = boosting.Binner(NAMES, [np.arange(8.0), np.array([]), np.arange(4.0)])
+    state = boosting.packed(boosting.folded(table, binner, 2), np.zeros(2)).repartition(7).persist()
+    trees, shape = boosting.Trees.empty(2, 2), (2, 1, 3, 10)
+    alone, grouped = (boosting.level_sums(state, trees, 0, [], shape, 0.1, g) for g in (None, 2))
+    assert (alone == grouped).all()
+    assert alone[2].sum(axis=(1, 3)).tolist() == [[150] * 3] * 2
