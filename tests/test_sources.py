@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +145,27 @@ def test_a_partitioned_table_is_written_without_sorting_a_task(spark):
     assert spark.conf.get(key) == before and sorted(back.select("id", "rail").collect()) == sorted(rows.collect())
 
 
+def test_what_a_staged_table_was_shuffled_for_does_not_stay(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for i in range(files.size()) if (f := files.apply(i).getName()).startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for adaptive in ("false", "true"):
+        before, old = shuffled(), (spark.conf.get(key, None), spark.conf.get("spark.sql.adaptive.enabled"))
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            back = stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "sevenths")
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", old[1])
+        until = time.time() + 10
+        while shuffled() - before and time.time() < until:
+            time.sleep(0.1)
+        assert not shuffled() - before
+        assert back.count() == 7 and spark.conf.get(key, None) == old[0]
+        assert all(".zstd." in f for f in back.inputFiles())
+
+
 def test_transfers_are_exploded_by_name_and_their_parts_follow(spark):
     from flowtrail.sources.commerce import derive_transfers, with_parts
 
