@@ -157,6 +157,27 @@ def test_triangle_orientations_and_hamiltonian_cycles_collapse(transfers):
         cycles.cycles(edges, 1)
 
 
+def test_only_cycles_of_the_lengths_asked_for_are_looked_for(transfers, monkeypatch):
+    rng = random.Random(4)
+    pairs = {(f"n{rng.randrange(11)}", f"n{rng.randrange(11)}") for _ in range(60)}
+    pairs = {(a, b) for a, b in pairs if a != b}
+    _, edges = tables(transfers([(a, b, 1, 0) for a, b in pairs]))
+    monkeypatch.setattr(cycles, "three_cycles", None)
+    monkeypatch.setattr(cycles, "four_cycles", None)
+    got = {tuple(r.accounts): tuple(r.evidence.path) for r in cycles.cycles(edges, 6, 5).collect()}
+    assert got and got == {k: v for k, v in brute_cycles(pairs, 6).items() if len(k) >= 5}
+    with pytest.raises(ValueError):
+        cycles.cycles(edges, 4, 5)
+
+
+def test_half_paths_are_gone_before_cycles_are_grouped(transfers, monkeypatch):
+    gone = []
+    monkeypatch.setattr(cycles, "release", lambda t: gone.extend({f.rsplit("/", 2)[1].rsplit("-", 1)[0] for f in t.inputFiles()}))
+    _, edges = tables(transfers([(f"n{i}", f"n{(i + 1) % 6}", 1, 0) for i in range(6)]))
+    assert [r.path for r in cycles.cycles(edges, 6).select("evidence.path").collect()] == [[f"n{i}" for i in range(6)]]
+    assert sorted(gone) == ["cycle-edges", *["half-paths"] * 4]
+
+
 def test_order_and_partitioning_do_not_matter(transfers, spark):
     rng = random.Random(5)
     rows = [(f"n{rng.randrange(15)}", f"n{rng.randrange(15)}", rng.randrange(1, 9) * 100, rng.randrange(200)) for _ in range(150)]
