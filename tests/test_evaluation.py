@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowtrail.operators import compare, graph, labels, ranker, rules, scoring
+from flowtrail.schema import CANDIDATE
+from flowtrail.session import stage
 
 
 @pytest.fixture
@@ -200,3 +202,19 @@ def test_rings_reaching_broadcasts_no_table_that_grows(spark, toy, share):
 def test_scoring_rings_broadcasts_no_table_that_grows(spark, toy):
     per_ring = scoring.ring_metrics(predict(spark, LOOP), scoring.ring_truth(toy), scoring.ring_accounts(toy))
     assert "Broadcast" not in plan_of(per_ring)
+
+
+def test_labels_and_splits_are_written_before_features_meet_them(spark, monkeypatch):
+    rows = [(["A", "B"], "cycle", 0.4, None), (["C"], "velocity_burst", 0.5, None), (["B", "D"], "fan_in", 0.6, None)]
+    candidates = spark.createDataFrame(rows, CANDIDATE)
+    truth = spark.createDataFrame([(7, "B"), (3, "B"), (9, "D")], "ring_id bigint, account string")
+    touched = ranker.touched_ring(candidates, truth)
+    # Keys are shuffled as the bytes that their digits stand for.
+    assert "unhex" in plan_of(touched)
+    keys = {r.kind: r.cand_key for r in candidates.select("kind", ranker.candidate_key().alias("cand_key")).collect()}
+    assert dict(touched.collect()) == {keys["cycle"]: 3, keys["velocity_burst"]: -1, keys["fan_in"]: 3}
+    written = []
+    monkeypatch.setattr(ranker, "stage", lambda df, name: written.append(name) or stage(df, name))
+    table = ranker.training_table(candidates, truth, 2)
+    assert written == ["splits"] and "evidence" not in table.columns
+    assert {r.kind: r.label for r in table.collect()} == {"cycle": 1.0, "velocity_burst": 0.0, "fan_in": 1.0}
