@@ -189,6 +189,21 @@ def test_hot_account_is_not_joined_where_rarer_ones_decide(spark):
     assert [(r.predicted_id, r.overlap) for r in got.orderBy("predicted_id").collect()] == [(7, 3), (8, 2)]
 
 
+def test_pairs_that_cannot_get_there_are_not_looked_up_again(spark, monkeypatch):
+    made = lambda d: spark.createDataFrame([(k, a) for k, v in d.items() for a in v], "ring_id bigint, account string")
+    kept = {}
+    monkeypatch.setattr(scoring, "stage", lambda df, name: kept.setdefault(name, df))
+    truth = {1: "abcdef"}
+    sets = {1: "abcdef", 2: "abcdeg", 3: "ahijkl", 4: "abhijk", 5: "f", 6: "abcf"}
+    got = scoring.rings_reaching(made(sets), made(truth), jaccard=0.6)
+    assert sorted((r.predicted_id, r.overlap) for r in got.collect()) == [(1, 6), (2, 5), (6, 4)]
+    # The others share too few accounts even if they held all those not yet looked up.
+    assert {r.predicted_id for r in kept["ring-candidates"].collect()} == {1, 2, 6}
+    kept.clear()
+    met = scoring.rings_reaching(made(sets), made(truth), coverage=0.1)
+    assert sorted((r.predicted_id, r.overlap) for r in met.collect()) == [(1, 6), (2, 5), (3, 1), (4, 2), (5, 1), (6, 4)]
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
