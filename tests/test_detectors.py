@@ -170,6 +170,17 @@ def test_only_cycles_of_the_lengths_asked_for_are_looked_for(transfers, monkeypa
         cycles.cycles(edges, 4, 5)
 
 
+def test_smallest_paths_are_found_by_number_and_by_array(spark):
+    names = [f"n{i:02}" for i in range(15)]
+    paths = [[names[0], *rest] for rest in itertools.permutations(names[1:4])] + [names, [names[0], *reversed(names[1:])]]
+    rows = spark.createDataFrame([(p,) for p in paths], "path array<string>")
+    by = {n: cycles._smallest_paths(rows, n) for n in (15, 16)}
+    for got in by.values():
+        assert sorted((r.accounts, r.path) for r in got.collect()) == sorted([(names[:4], names[:4]), (names, names)])
+    plans = {n: d._jdf.queryExecution().executedPlan().toString() for n, d in by.items()}
+    assert "SortAggregate" not in plans[15] and "SortAggregate" in plans[16]
+
+
 def test_half_paths_are_gone_before_cycles_are_grouped(transfers, monkeypatch):
     gone = []
     monkeypatch.setattr(cycles, "release", lambda t: gone.extend({f.rsplit("/", 2)[1].rsplit("-", 1)[0] for f in t.inputFiles()}))
